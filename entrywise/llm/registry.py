@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import backoff, bpe, fingerprint, importance, langid, licenses, maglev, mixing, neardup, repetition
 from .common import documents
-from .oracles import ORACLES
+from .oracles import oracles
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return oracles(SHARDS)
