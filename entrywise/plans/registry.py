@@ -527,7 +527,10 @@ def stream_xattrs(spark, sf_dir):
     """The same fold by a stream of three micro-batches into a store of snapshots."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="entrywise-stream-")
     folder = f"{base.rstrip('/')}/stream-{abs(hash((sf_dir, id(spark)))) % 10**9}-{next(_counter)}"
-    adapter.events(spark, sf_dir).repartitionByRange(3, "seq").write.mode("overwrite").parquet(f"{folder}/in")
+    ev = adapter.events(spark, sf_dir)
+    low, high = ev.agg(F.min("seq"), F.max("seq")).first()
+    for k in range(3):  # in order of seq, as files are read in order of their time stamps
+        ev.where(F.floor((F.col("seq") - low) * 3 / F.lit(high - low + 1)) == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     q = stream.start(stream.read_events(spark, f"{folder}/in", fold.SCHEMA, files_per_batch=1), f"{folder}/store", f"{folder}/ckpt")
     q.awaitTermination()
     return stream.Store(spark, f"{folder}/store").read().xattrs
@@ -548,14 +551,14 @@ _REC = "SELECT event_id AS idx, CASE event_id % 8 WHEN 0 THEN 'CREAT' WHEN 1 THE
 
 @query(
     f"""WITH r AS ({_REC.format(events='events')}), x AS (
-    SELECT idx, 0 AS at, CASE rec_type WHEN 'CREAT' THEN 'LINK' WHEN 'HLINK' THEN 'LINK' WHEN 'SATTR' THEN 'UPSERT' WHEN 'HSM' THEN 'XATTR' ELSE CASE WHEN flags & 3 = 3 THEN 'PARTIAL_UNLINK' WHEN flags & 1 = 1 THEN 'DELETE' ELSE 'UNLINK' END END AS type, target AS id FROM r WHERE rec_type NOT IN ('RENME', 'MARK')
+    SELECT idx, 0 AS pos, CASE rec_type WHEN 'CREAT' THEN 'LINK' WHEN 'HLINK' THEN 'LINK' WHEN 'SATTR' THEN 'UPSERT' WHEN 'HSM' THEN 'XATTR' ELSE CASE WHEN flags & 3 = 3 THEN 'PARTIAL_UNLINK' WHEN flags & 1 = 1 THEN 'DELETE' ELSE 'UNLINK' END END AS type, target AS id FROM r WHERE rec_type NOT IN ('RENME', 'MARK')
     UNION ALL SELECT idx, 1, 'UPSERT', target FROM r WHERE rec_type IN ('CREAT', 'HLINK') UNION ALL SELECT idx, 2, 'UPSERT', parent FROM r WHERE rec_type IN ('CREAT', 'HLINK') UNION ALL SELECT idx, 3, 'XATTR', parent FROM r WHERE rec_type IN ('CREAT', 'HLINK')
     UNION ALL SELECT idx, 1, 'UPSERT', parent FROM r WHERE rec_type IN ('UNLNK', 'RMDIR') UNION ALL SELECT idx, 2, 'XATTR', parent FROM r WHERE rec_type IN ('UNLNK', 'RMDIR')
     UNION ALL SELECT idx, 0, CASE WHEN flags & 1 = 1 THEN 'DELETE' ELSE 'UNLINK' END, overwritten FROM r WHERE rec_type = 'RENME' AND overwritten IS NOT NULL
     UNION ALL SELECT idx, o + 0, 'UNLINK', target FROM (SELECT *, CASE WHEN overwritten IS NULL THEN 0 ELSE 1 END AS o FROM r) WHERE rec_type = 'RENME' UNION ALL SELECT idx, o + 1, 'LINK', target FROM (SELECT *, CASE WHEN overwritten IS NULL THEN 0 ELSE 1 END AS o FROM r) WHERE rec_type = 'RENME'
     UNION ALL SELECT idx, o + 2, 'UPSERT', parent FROM (SELECT *, CASE WHEN overwritten IS NULL THEN 0 ELSE 1 END AS o FROM r) WHERE rec_type = 'RENME' UNION ALL SELECT idx, o + 3, 'UPSERT', source_parent FROM (SELECT *, CASE WHEN overwritten IS NULL THEN 0 ELSE 1 END AS o FROM r) WHERE rec_type = 'RENME'
     UNION ALL SELECT idx, 4, 'XATTR', parent FROM r WHERE rec_type = 'RENME' AND overwritten IS NULL UNION ALL SELECT idx, 5, 'XATTR', source_parent FROM r WHERE rec_type = 'RENME')
-    SELECT idx * 8 + at AS seq, type, id FROM x"""
+    SELECT idx * 8 + pos AS seq, type, id FROM x"""
 )
 def changelog_events(spark, sf_dir):
     records = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*_columns())
