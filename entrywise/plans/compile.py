@@ -42,8 +42,11 @@ def _element(part: tuple, x: Column) -> Column:
 
 
 def compile_filter(node: Node, negate: bool = False) -> Column:
-    """A boolean Column that is never null."""
-    sure = lambda c: F.coalesce(c, F.lit(False))
+    """A boolean Column to filter by: null counts as false.
+
+    Leaves stay plain comparisons of columns, so that they reach the scan; no
+    NOT is ever put above something that can be null.
+    """
     if isinstance(node, Always):
         return F.lit(not negate)
     if isinstance(node, Not):
@@ -63,16 +66,16 @@ def compile_filter(node: Node, negate: bool = False) -> Column:
         return col.isNotNull() if node.present != negate else col.isNull()
     if isinstance(node, Cmp) and node.op != "=":
         op = _DUAL[node.op] if negate else node.op
-        return sure(some(lambda x: _compare(op, x, node.value)))
+        return some(lambda x: _compare(op, x, node.value))
     if isinstance(node, Bits):
         op = _BIT_DUAL[node.op] if negate else node.op
-        return sure(some(lambda x: _bits(op, x, node.mask)))
+        return some(lambda x: _bits(op, x, node.mask))
     if isinstance(node, Cmp):
-        test = sure(some(lambda x: _compare("=", x, node.value)))
+        test = some(lambda x: _compare("=", x, node.value))
     elif isinstance(node, Regex):
-        test = sure(some(lambda x: _regex(node, x)))
+        test = some(lambda x: _regex(node, x))
     elif isinstance(node, In):
-        test = sure(some(lambda x: x.isin(*node.values))) if node.values else F.lit(False)
+        test = some(lambda x: x.isin(*node.values)) if node.values else F.lit(False)
     elif isinstance(node, Elem):
 
         def all_parts(x: Column) -> Column:
@@ -81,10 +84,18 @@ def compile_filter(node: Node, negate: bool = False) -> Column:
                 out = out & _element(p, x)
             return out
 
-        test = sure(F.exists(col, all_parts))
+        test = F.exists(col, all_parts)
     else:
         raise TypeError(f"not a predicate: {node!r}")
-    return ~test if negate else test
+    if not negate:
+        return test
+    # What a missing value doesn't satisfy, its negation does; an array may also hold missing elements.
+    return ~F.coalesce(test, F.lit(False)) if f.array else col.isNull() | ~test
+
+
+def holds(node: Node) -> Column:
+    """The same as a value that is never null."""
+    return F.coalesce(compile_filter(node), F.lit(False))
 
 
 def resolve(node: Node, entries: DataFrame) -> Node | None:
