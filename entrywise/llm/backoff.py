@@ -117,7 +117,7 @@ def score_texts(doc: np.ndarray, counts: list[np.ndarray], n_texts: int, total:
         done[j] = True
         steps[i[~hit]] += 1
     tally = lambda w=None: np.bincount(doc, weights=w, minlength=n_texts)
-    return tally().astype(np.int64), tally((steps > 0).astype(float)).astype(np.int64), tally(log)
+    return tally().astype(np.int64), tally((steps > 0).astype(float)).astype(np.int64), tally(log).astype(float)  # bincount of nothing is whole numbers
 
 
 def backoff_scores(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = 2, alpha: float = ALPHA, min_count: int = 2) -> DataFrame:

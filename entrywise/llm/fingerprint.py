@@ -92,7 +92,7 @@ def as_text(a: Column) -> Column:
 
 def from_text(text: Column) -> Column:
     """The sketch that as_text() wrote."""
-    at = F.transform(F.sequence(F.lit(0), F.length(text) / 16 - 1), lambda i: F.substring(text, (i * 16 + 1).cast("int"), F.lit(16)))
+    at = F.transform(F.sequence(F.lit(0), (F.length(text) / 16).cast("int") - 1), lambda i: F.substring(text, i * 16 + 1, F.lit(16)))
     high = lambda x: F.conv(F.substring(x, 1, 8), 16, 10).cast("bigint")
     low = lambda x: F.conv(F.substring(x, 9, 8), 16, 10).cast("bigint")
     return F.when(F.length(text) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(at, lambda x: F.shiftleft(high(x), 32).bitwiseOR(low(x))))
