@@ -15,8 +15,9 @@ equal sets are one class; each class is first compared with the smallest class
 of its buckets; components are found; only classes that share a bucket and are
 still in different components are compared further, first with the ends of the
 bucket and then with each other, and of those only pairs whose sizes and
-256-bit sketch digests allow the similarity (a digest more than 60 bits off is
-more than six standard deviations away at 0.8).
+digests allow the similarity. A digest holds two bits of each of 1,024
+coordinates; at similarity 0.8 more than 216 differing coordinates would be 5.5
+standard deviations off. A pair is compared in the first bucket it shares.
 
 Defined results: a null or wordless text has no shingles and is alone; a text
 with fewer words than a shingle is one shingle; rows with a null key are alone
@@ -41,8 +42,9 @@ T = 128
 ROWS = 4
 SHINGLE = 5
 PERCENT = 80
-#: The most differing bits of two 256-bit digests that are still compared.
-MAX_BITS = 60
+#: Coordinates of the digest, and standard deviations by which two digests may differ more than expected.
+DIGEST = 1024
+DEVIATIONS = 5.5
 #: Bits of the filter that keeps texts outside all candidate pairs from the shuffle; its size is fixed.
 FILTER_BITS = 1 << 25
 
@@ -106,12 +108,13 @@ def sketch(values: np.ndarray, offs: np.ndarray, t: int = T) -> np.ndarray:
 
 def sketch_column(text: Column, k: int, t: int = T, rows: int = ROWS) -> Column:
     """struct<n, s1, s2, bands, digest> of a text."""
-    names = ["n", "s1", "s2", "bands", "d0", "d1", "d2", "d3"]
+    names = ["n", "s1", "s2", "bands", "digest"]
     bands = t // rows
+    width = {"bands": bands, "digest": DIGEST // 32}
 
-    @F.arrow_udf("n long, s1 long, s2 long, bands array<long>, d0 long, d1 long, d2 long, d3 long")
+    @F.arrow_udf("n long, s1 long, s2 long, bands array<long>, digest array<long>")
     def make(batch: pa.Array) -> pa.Array:
-        got = {c: [np.zeros((0, bands) if c == "bands" else 0, np.int64)] for c in names}
+        got = {c: [np.zeros((0, width[c]) if c in width else 0, np.int64)] for c in names}
         for b in blocks(batch):
             v, offs = shingle_sets(b, k)
             n = np.diff(offs)
@@ -127,13 +130,13 @@ def sketch_column(text: Column, k: int, t: int = T, rows: int = ROWS) -> Column:
             for j in range(rows):
                 key = mix(key * _U(0x9E3779B97F4A7C15) + w[:, :, j])
             got["bands"].append(key.view(np.int64))
-            for j in range(4):
-                half, bit = j % 2, _U(j // 2)
-                ones = ((s[:, half * 64 : half * 64 + 64] >> bit) & _U(1)) << np.arange(64, dtype=_U)
-                got[f"d{j}"].append(np.bitwise_or.reduce(ones, axis=1).view(np.int64))
+            d = mix(sketch(v, offs, DIGEST)).reshape(b.n, DIGEST // 64, 64)
+            at = np.arange(64, dtype=_U)
+            bits = [np.bitwise_or.reduce(((d >> _U(k)) & _U(1)) << at, axis=2) for k in (0, 1)]
+            got["digest"].append(np.concatenate(bits, axis=1).view(np.int64))
         flat = {c: np.concatenate(p) for c, p in got.items()}
         m = len(flat["n"])
-        cols = [pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * bands), pa.array(flat[c].reshape(-1))) if c == "bands" else pa.array(flat[c], pa.int64()) for c in names]
+        cols = [pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * width[c]), pa.array(flat[c].reshape(-1))) if c in width else pa.array(flat[c], pa.int64()) for c in names]
         return pa.StructArray.from_arrays(cols, names)
 
     return make(text)
@@ -176,8 +179,18 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int = PERCENT) ->
 
 def _near(percent: int) -> Column:
     """Whether sizes and digests of x and y allow the similarity."""
-    off = sum((F.bit_count(F.col(f"x.d{j}").bitwiseXOR(F.col(f"y.d{j}"))) for j in range(4)), F.lit(0))
-    return (F.lit(100) * F.least("x.n", "y.n") >= F.lit(percent) * F.greatest("x.n", "y.n")) & (off <= MAX_BITS)
+    words_ = DIGEST // 64
+    half = lambda j: F.get("x.digest", F.lit(j)).bitwiseXOR(F.get("y.digest", F.lit(j)))
+    off = sum((F.bit_count(half(j).bitwiseOR(half(words_ + j))) for j in range(words_)), F.lit(0))
+    p = 0.75 * (100 - percent) / 100  # two bits of different values agree once in four times
+    most = int(DIGEST * p + DEVIATIONS * (DIGEST * p * (1 - p)) ** 0.5)
+    return (F.lit(100) * F.least("x.n", "y.n") >= F.lit(percent) * F.greatest("x.n", "y.n")) & (off <= most)
+
+
+def _first_shared() -> Column:
+    """Whether x and y share no bucket of an earlier band."""
+    earlier = F.exists(F.sequence(F.lit(0), F.col("x.band") - 1), lambda j: F.get("x.bands", j) == F.get("y.bands", j))
+    return (F.col("x.band") == 0) | ~earlier
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -189,10 +202,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     classes = materialize(full.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")))
     members = full.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).where("id <> rep").select("id", "rep")
     reps = full.join(classes.select("n", "s1", "s2", F.col("rep").alias("id")), ["id", "n", "s1", "s2"], "left_semi").dropDuplicates(["id"])
-    buckets = reps.select(F.col("id").alias("rep"), F.explode("bands").alias("bucket"))
+    buckets = reps.select(F.col("id").alias("rep"), F.posexplode("bands").alias("band", "bucket"))
     ends = materialize(buckets.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high"))
     shared = materialize(buckets.join(ends, "bucket"))
-    marks = reps.select("id", "n", "d0", "d1", "d2", "d3")
+    marks = reps.select("id", "n", "digest")
 
     def plausible(pairs: DataFrame) -> DataFrame:
         x, y = (marks.select(*[F.col(c).alias("a" if c == "id" and s == "x" else "b" if c == "id" else c) for c in marks.columns]).alias(s) for s in "xy")
@@ -219,12 +232,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
         found = materialize(components(edges))
         tried = first.unionAll(more)
 
-    named = shared.select("bucket", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = shared.select("bucket", "band", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("bucket")
-    open_ = materialize(named.join(materialize(mixed), "bucket", "left_semi").join(marks.withColumnRenamed("id", "rep"), "rep"))
+    open_ = materialize(named.join(materialize(mixed), "bucket", "left_semi").join(reps.select(F.col("id").alias("rep"), "n", "digest", "bands"), "rep"))
     x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _near(percent))
-    rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _near(percent) & _first_shared())
+    rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).join(tried, ["a", "b"], "left_anti")
     rest = materialize(rest)
     if not rest.isEmpty():
         edges = materialize(edges.unionAll(verify(docs, rest, shingle, percent)))
