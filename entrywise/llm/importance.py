@@ -59,7 +59,8 @@ def count_models(df: DataFrame, key: str, text: str, target_keys: np.ndarray, ng
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, aim = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
-            mine = np.isin(np.nan_to_num(batch.column(0).to_numpy(zero_copy_only=False), nan=-1).astype(np.int64), targets) & ~batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            keys = batch.column(0)
+            mine = np.isin(keys.fill_null(0).to_numpy(), targets) & keys.is_valid().to_numpy(zero_copy_only=False)
             for b in blocks(batch.column(1)):
                 doc, bins = features(b, ngrams, buckets)
                 raw += np.bincount(bins, minlength=buckets)
@@ -139,6 +140,11 @@ def resample(df: DataFrame, target_keys: np.ndarray, keep: float, key: str = "do
 
 def target_sample(labels: DataFrame, key: str = "doc_id", good: str = "quality = 1", rows: int = TARGET_ROWS) -> tuple[np.ndarray, float]:
     """Keys of a bounded sample of the good rows, chosen by hash, and the share of good rows."""
-    n, share = labels.agg(F.count(F.lit(1)), F.avg(F.when(F.expr(good), 1.0).otherwise(0.0))).first()
-    picked = labels.where(good).where(f"{key} IS NOT NULL").select(key).orderBy(F.xxhash64(key), key).limit(rows).toPandas()[key]
-    return picked.to_numpy(np.int64) if len(picked) else np.zeros(0, np.int64), float(share if n else 1.0)
+    n, of = labels.agg(F.count_if(F.expr(good)), F.count(F.lit(1))).first()
+    if n == 0:
+        return np.zeros(0, np.int64), 0.0 if of else 1.0
+    # A hash below a threshold leaves about 1.5 times the rows wanted, so that no task sends more than its part of them.
+    unit = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    near = labels.where(good).where(f"{key} IS NOT NULL").select(key, unit.alias("h")).where(F.col("h") < F.lit(int(min(1.0, 1.5 * rows / n + 0.001) * (1 << 30))))
+    picked = near.orderBy("h", key).limit(rows).toPandas()[key]
+    return picked.to_numpy(np.int64), n / of
