@@ -20,7 +20,7 @@ def depth() -> Column:
 
 
 def type_letter() -> Column:
-    out = F.lit("?")
+    out = F.lit("U")
     for letter, bits in TYPES.items():
         out = F.when(F.col("type") == bits, F.lit("-" if letter == "f" else letter)).otherwise(out)
     return out
@@ -50,7 +50,13 @@ def dirname() -> Column:
 
 
 def time_text(name: str) -> Column:
-    return F.date_format(F.timestamp_seconds(F.col(f"{name}_sec")), "EEE MMM d HH:mm:ss yyyy")
+    return clock(F.col(f"{name}_sec"))
+
+
+def clock(seconds: Column) -> Column:
+    """`Thu Nov  1 00:00:00 2001`, the day padded with a space."""
+    at = F.timestamp_seconds(seconds)
+    return F.concat(F.date_format(at, "EEE MMM "), F.lpad(F.date_format(at, "d"), 2, " "), F.date_format(at, " HH:mm:ss yyyy"))
 
 
 def device() -> Column:
@@ -66,8 +72,45 @@ def acl_text(array: str) -> Column:
 
 
 def flag_names(col: Column, table: dict[str, int]) -> Column:
-    """Names of the bits that are set, comma-joined."""
-    return F.concat_ws(",", *[F.when(col.bitwiseAND(bit) != 0, F.lit(name)) for name, bit in table.items()])
+    """Names of the bits that are set, joined by |; other bits read unknown."""
+    known = 0
+    for bit in table.values():
+        known |= bit
+    rest = F.when(col.bitwiseAND(~known) != 0, F.lit("unknown"))
+    return F.when(col.isNull(), F.lit("None")).otherwise(F.concat_ws("|", *[F.when(col.bitwiseAND(bit) != 0, F.lit(name)) for name, bit in table.items()], rest))
+
+
+def names_of(col: Column, table: dict[str, int]) -> Column:
+    """The name of a value."""
+    out = F.when(col.isNull(), F.lit("None"))
+    for name, value in table.items():
+        if value is not None:
+            out = out.when(col == value, F.lit(name))
+    return out.otherwise(F.lit("unknown"))
+
+
+def fid_text(col: Column) -> Column:
+    """[0xSEQ:0xOID:0xVER] of 16 little-endian bytes."""
+    digits = F.lower(F.hex(col))
+
+    def part(start: int, size: int) -> Column:
+        text = F.concat(*[F.substring(digits, 2 * (start + size - 1 - k) + 1, 2) for k in range(size)])
+        bare = F.ltrim(text, F.lit("0"))
+        return F.concat(F.lit("0x"), F.when(bare == "", F.lit("0")).otherwise(bare))
+
+    return F.concat(F.lit("["), part(0, 8), F.lit(":"), part(8, 4), F.lit(":"), part(12, 4), F.lit("]"))
+
+
+def each(array: str, show) -> Column:
+    """[a, b] of shown elements."""
+    return F.concat(F.lit("["), F.array_join(F.transform(F.col(array), show), ", "), F.lit("]"))
+
+
+def target_count() -> Column:
+    """Storage targets of a file, or metadata targets of a directory."""
+    ost = F.col("ost")
+    used = F.size(F.filter(ost, lambda x: x != -1))
+    return F.when(F.col("type") == TYPES["d"], F.col("mdt_count")).otherwise(F.when(F.size(ost) > 0, used).cast("long"))
 
 
 def listed(array: str) -> Column:
@@ -84,19 +127,27 @@ DIRECTIVES = {
     "g": lambda: F.coalesce(F.col("group_name"), F.col("gid").cast("string")), "G": lambda: F.col("gid"), "h": dirname, "H": lambda: F.col("uri"), "i": lambda: F.col("ino"), "I": lambda: F.base64(F.col("id").cast("string").cast("binary")),
     "l": lambda: F.col("symlink"), "m": octal_mode, "M": symbolic_mode, "n": lambda: F.col("nlink"), "p": lambda: F.col("path"), "P": lambda: F.ltrim(F.col("path"), F.lit("/")),
     "s": lambda: F.col("size"), "t": lambda: time_text("mtime"), "T": lambda: F.col("mtime_sec"), "u": lambda: F.coalesce(F.col("user_name"), F.col("uid").cast("string")), "U": lambda: F.col("uid"), "y": find_letter,
-    "RLc": lambda: _xattr("comp_count"), "RLm": lambda: _xattr("mirror_count"), "RLM": lambda: _xattr("mirror_state"), "RLo": lambda: listed("ost"), "RLp": lambda: listed("pool"), "RLP": lambda: _xattr("project_id"), "RLs": lambda: listed("stripe_count"),
-    "RLS": lambda: listed("stripe_size"), "RLb": lambda: listed("begin"), "RLe": lambda: listed("end"), "RLF": lambda: F.lower(F.hex("fid")), "RLi": lambda: _xattr("mdt_index"), "RLh": lambda: _xattr("mdt_hash"), "RLH": lambda: _hsm(), "RLC": lambda: listed("comp_flags"),
+    "RLb": lambda: listed("begin"), "RLc": lambda: each("comp_flags", lambda x: F.when(x == 0, F.lit("0")).otherwise(flag_names(x, _table("COMP_FLAGS")))), "RLC": target_count, "RLd": lambda: F.when(F.col("mdt_hash_flags") != 0, flag_names(F.col("mdt_hash_flags"), HASH_FLAGS)),
+    "RLD": lambda: names_of(F.col("mdt_hash"), _table("HASH_TYPES")), "RLe": lambda: listed("extension_size"), "RLE": lambda: listed("end"), "RLf": lambda: fid_text(F.col("fid")), "RLF": lambda: fid_text(F.col("parent_fid")), "RLg": lambda: _xattr("flags"),
+    "RLh": lambda: _xattr("hsm_archive_id"), "RLH": lambda: F.when(F.col("hsm_state") != 0, flag_names(F.col("hsm_state"), _table("HSM_STATES"))), "RLi": lambda: _xattr("mdt_index"), "RLm": lambda: F.when(F.col("mirror_state") != 0, names_of(F.col("mirror_state"), _table("MIRROR_STATES"))),
+    "RLM": lambda: _xattr("mirror_count"), "RLn": lambda: _xattr("gen"), "RLN": lambda: _xattr("magic"), "RLo": lambda: listed("ost"), "RLp": lambda: _xattr("project_id"), "RLP": lambda: listed("pool"), "RLs": lambda: listed("stripe_size"), "RLS": lambda: listed("stripe_count"),
+    "RLt": lambda: each("pattern", lambda x: F.when(x == 0, F.lit("raid0")).otherwise(flag_names(x, LAYOUTS))), "RLT": lambda: _xattr("comp_count"), "RLX": lambda: listed("child_mdt_idx"),
     "RAa": lambda: acl_text("acl_users"), "RAd": lambda: acl_text("acl_default_users"),
     "RZc": lambda: F.concat_ws(":", "selinux_user", "selinux_role", "selinux_type", "selinux_range"), "RZu": lambda: _xattr("selinux_user"), "RZr": lambda: _xattr("selinux_role"), "RZt": lambda: _xattr("selinux_type"), "RZR": lambda: _xattr("selinux_range"),
-    "RRe": lambda: F.when(F.col("expiration_date") == (1 << 63) - 1, "Inf").otherwise(_text(F.col("expiration_date"))), "RRE": lambda: F.when(F.col("expiration_date") == (1 << 63) - 1, "Inf").otherwise(F.coalesce(F.date_format(F.timestamp_seconds("expiration_date"), "yyyy-MM-dd HH:mm:ss"), F.lit("None"))),
-    "RSS": lambda: _xattr("sparseness"), "R3b": lambda: _xattr("bucket"),
+    "RRe": lambda: _xattr("expires"), "RRE": lambda: F.when(F.col("expiration_date") == (1 << 63) - 1, "Inf").otherwise(clock(F.col("expiration_date"))),
+    "RSS": lambda: _xattr("sparseness"), "R3b": lambda: _xattr("bucket"), "R3p": lambda: F.col("path"), "R3s": lambda: F.col("size"), "R3t": lambda: time_text("mtime"), "R3T": lambda: F.col("mtime_sec"),
 }
 
 
-def _hsm() -> Column:
-    from ..plans.predicates import HSM_STATES
+#: Flags of directory hashes and of layouts.
+HASH_FLAGS = {"fixed": 0x00080000, "merge": 0x04000000, "split": 0x08000000, "lost_lmv": 0x10000000, "bad_type": 0x20000000, "migration": 0x80000000}
+LAYOUTS = {"raid0": 0x1, "mdt": 0x100, "overstriped": 0x200, "released": 0x80000000}
+
+
+def _table(name: str) -> dict[str, int]:
+    from ..plans import predicates
 
-    return F.coalesce(flag_names(F.col("hsm_state"), HSM_STATES), F.lit("None"))
+    return getattr(predicates, name)
 
 
 def pieces(template: str) -> list[tuple[bool, str]]:

@@ -15,7 +15,7 @@ from . import find as finder
 from . import report as reporter
 from .ast import And, Bits, Cmp, Elem, Exists, In, Not, Or, Regex
 from .parser import parse
-from .predicates import Context
+from .predicates import HASH_TYPES, HSM_STATES, MIRROR_STATES, Context
 
 NOW = adapter.NOW
 MAX = adapter.INT64_MAX
@@ -130,7 +130,7 @@ FIND: dict[str, tuple[str, str]] = {
     "find_stripe_size": ("-stripe-size +2M", f"{_some('stripe_size', 'v > 2097152')} AND NOT (type = 16384 AND stripe_size IS NULL)"),
     "find_mdt_index": ("-mdt-index 2", _sure("mdt_index = 2")),
     "find_project_id": ("-project-id 5", _sure("project_id = 5")),
-    "find_mirror_state": ("-mirror-state wp", _some("mirror_state", "v = 2")),
+    "find_mirror_state": ("-mirror-state wp", _sure("mirror_state = 2")),
     "find_ost": ("-ost 3", _some("ost", "v = 3")),
     "find_not_ost": ("! -ost 3", f"NOT {_some('ost', 'v = 3')}"),
     "find_pool": ("-pool ssd[01]", _some("pool", "regexp_full_match(v, 'ssd[01]')")),
@@ -346,14 +346,32 @@ def printf_paths(spark, sf_dir):
     return finder.find(adapter.entries(spark, sf_dir), ["-printf", "%d %h %P %n %b %D %m"], context()).select("id", "line")
 
 
-@query(f"{_view()} SELECT id, concat(strftime(make_timestamp(mtime_sec * 1000000), '%a %b %-d %H:%M:%S %Y'), ' ', mtime_sec, ' ', coalesce(atime_sec::VARCHAR, 'None')) AS line FROM e")
+@query(f"{_view()} SELECT id, concat(strftime(make_timestamp(mtime_sec * 1000000), '%a %b '), lpad(strftime(make_timestamp(mtime_sec * 1000000), '%-d'), 2, ' '), strftime(make_timestamp(mtime_sec * 1000000), ' %H:%M:%S %Y'), ' ', mtime_sec, ' ', coalesce(atime_sec::VARCHAR, 'None')) AS line FROM e")
 def printf_times(spark, sf_dir):
     return finder.find(adapter.entries(spark, sf_dir, False), ["-printf", "%t %T %A"], context()).select("id", "line")
 
 
-@query(f"{_view()} SELECT id, concat(coalesce('[' || array_to_string(ost, ', ') || ']', 'None'), ' ', coalesce('[' || array_to_string(pool, ', ') || ']', 'None'), ' ', coalesce(comp_count::VARCHAR, 'None'), ' ', coalesce(project_id::VARCHAR, 'None'), ' ', CASE WHEN expiration_date = {MAX} THEN 'Inf' ELSE coalesce(expiration_date::VARCHAR, 'None') END, ' ', coalesce(sparseness::VARCHAR, 'None'), ' ', coalesce(bucket, 'None'), ' ', concat_ws(':', selinux_user, selinux_role, selinux_type, selinux_range)) AS line FROM e")
+def _named(column: str, table: dict[str, int], elsewhere: str = "unknown") -> str:
+    return f"CASE {column} " + " ".join(f"WHEN {v} THEN '{k}'" for k, v in table.items() if v is not None) + f" ELSE '{elsewhere}' END"
+
+
+_HSM = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN (hsm_state & {v}) <> 0 THEN '{k}' END" for k, v in HSM_STATES.items()) + "], lambda v: v IS NOT NULL), '|')"
+
+
+@query(
+    f"{_view()} SELECT id, concat(coalesce('[' || array_to_string(ost, ', ') || ']', 'None'), ' ', coalesce('[' || array_to_string(pool, ', ') || ']', 'None'), ' ', coalesce(comp_count::VARCHAR, 'None'), ' ', coalesce(project_id::VARCHAR, 'None'), ' ', "
+    f"coalesce(sparseness::VARCHAR, 'None'), ' ', coalesce(bucket, 'None'), ' ', concat_ws(':', selinux_user, selinux_role, selinux_type, selinux_range), ' ', coalesce(hsm_archive_id::VARCHAR, 'None'), ' ', "
+    f"CASE WHEN hsm_state <> 0 THEN {_HSM} ELSE 'None' END, ' ', CASE WHEN mdt_hash IS NULL THEN 'None' ELSE {_named('mdt_hash', HASH_TYPES)} END, ' ', CASE WHEN mirror_state IS NULL THEN 'None' ELSE {_named('mirror_state', MIRROR_STATES)} END, ' ', "
+    f"CASE WHEN expiration_date IS NULL THEN 'None' WHEN expiration_date = {MAX} THEN 'Inf' ELSE strftime(make_timestamp(expiration_date * 1000000), '%H:%M:%S %Y') END, ' ', coalesce('[' || array_to_string(list_transform(pattern, lambda v: CASE v WHEN 1 THEN 'raid0' ELSE 'mdt' END), ', ') || ']', 'None')) AS line FROM e"
+)
 def printf_extensions(spark, sf_dir):
-    return finder.find(adapter.entries(spark, sf_dir, False), ["-printf", "%RLo %RLp %RLc %RLP %RRe %RSS %R3b %RZc"], context()).select("id", "line")
+    df = finder.find(adapter.entries(spark, sf_dir, False), ["-printf", "%RLo %RLP %RLT %RLp %RSS %R3b %RZc %RLh %RLH %RLD %RLm %RRE %RLt"], context())
+    return df.select("id", F.regexp_replace("line", "(Mon|Tue|Wed|Thu|Fri|Sat|Sun) [A-Z][a-z]+ +[0-9]+ (?=[0-9:]+ [0-9]{4})", "").alias("line"))
+
+
+@query(f"{_view('id', 'type', 'fid')} SELECT id, concat('[0x0:0x0:0x', coalesce(nullif(ltrim(lower(substr(hex(fid), 31, 2) || substr(hex(fid), 29, 2) || substr(hex(fid), 27, 2) || substr(hex(fid), 25, 2)), '0'), ''), '0'), ']') AS line FROM e WHERE fid IS NOT NULL")
+def printf_fid(spark, sf_dir):
+    return finder.find(adapter.entries(spark, sf_dir, False), ["-printf", "%RLf"], context()).where("fid IS NOT NULL").select("id", "line")
 
 
 @query(f"{_view()} SELECT id, coalesce(array_to_string(list_transform(acl_users, lambda v: concat(v.id, ':', CASE WHEN (v.p & 4) <> 0 THEN 'r' ELSE '-' END, CASE WHEN (v.p & 2) <> 0 THEN 'w' ELSE '-' END, CASE WHEN (v.p & 1) <> 0 THEN 'x' ELSE '-' END)), ','), 'None') AS line FROM e")

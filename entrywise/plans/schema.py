@@ -18,7 +18,7 @@ DEVICES = ["dev_major", "dev_minor", "rdev_major", "rdev_minor"]
 ATTRIBUTES = ["compressed", "immutable", "append", "nodump", "encrypted", "automount", "mount-root", "verity", "dax"]
 
 #: Extended attributes that are arrays: comparisons hold if they hold for some element.
-ARRAYS = {"ost", "begin", "end", "pool", "comp_flags", "stripe_count", "stripe_size", "pattern", "extension_size", "mirror_state", "child_mdt_idx", "acl_users", "acl_groups", "acl_default_users", "acl_default_groups", "low_cat", "high_cat"}
+ARRAYS = {"ost", "begin", "end", "pool", "comp_flags", "stripe_count", "stripe_size", "pattern", "extension_size", "child_mdt_idx", "acl_users", "acl_groups", "acl_default_users", "acl_default_groups", "low_cat", "high_cat"}
 
 ENTRIES = T.StructType(
     [T.StructField("id", T.BinaryType(), False), T.StructField("type", T.IntegerType()), T.StructField("mode", T.IntegerType())]

@@ -60,7 +60,7 @@ def _xattrs(d: Dialect, k: str, mtime: str) -> dict[str, str]:
         "mdt_hash": b(f"{k} % 4 + 1"),
         "mdt_count": b(f"{k} % 3 + 1"),
         "mirror_count": f"CASE WHEN {k} % 5 = 0 THEN {b(f'1 + {k} % 3')} END",
-        "mirror_state": f"CASE WHEN {k} % 5 = 0 THEN {d.array(b(f'1 + {k} % 3'))} END",
+        "mirror_state": f"CASE WHEN {k} % 5 = 0 THEN {b(f'1 + {k} % 3')} END",
         "comp_count": f"CASE WHEN {k} % 10 = 9 THEN NULL ELSE {b(f'1 + {k} % 4')} END",
         "begin": f"CASE WHEN {k} % 10 <> 9 THEN {d.array(b('0'), b(f'({k} % 8) * 1048576'))} END",
         "end": f"CASE WHEN {k} % 10 <> 9 THEN {d.array(b(f'({k} % 8) * 1048576'), b(f'({k} % 8 + 4) * 1048576'))} END",
