@@ -117,3 +117,18 @@ def recheck(selected: DataFrame, fresh: DataFrame, node: Node) -> DataFrame:
 
 def below(entries: DataFrame, path: str) -> DataFrame:
     return branch_by_path(entries, path)
+
+
+def with_owner_names(entries: DataFrame, users: DataFrame, groups: DataFrame) -> DataFrame:
+    """user_name and group_name from (name, uid) and (name, gid) tables; null for unknown owners."""
+    u = users.select("uid", F.col("name").alias("user_name"))
+    g = groups.select("gid", F.col("name").alias("group_name"))
+    return entries.join(u, "uid", "left").join(g, "gid", "left")
+
+
+def append_log(log: DataFrame, command: str, started: int, fields: dict[str, str]) -> DataFrame:
+    """The log with one more run; its number follows the largest."""
+    last = log.agg(F.coalesce(F.max("log_id"), F.lit(0)).alias("n"))
+    pairs = [x for k, v in fields.items() for x in (F.lit(k), F.lit(str(v)))]
+    row = last.select((F.col("n") + 1).alias("log_id"), F.lit(command).alias("command"), F.lit(started).cast("long").alias("started"), (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("fields"))
+    return log.unionByName(row, allowMissingColumns=True)

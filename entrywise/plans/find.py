@@ -80,5 +80,14 @@ def run(entries: DataFrame, args: list[str], ctx: Context | None = None, execute
             done = output(rows, act)
             done = done if "line" in done.columns else done.withColumn("line", F.col("path"))
             end = "\0" if act.name.endswith("0") else "" if "printf" in act.name else "\n"
-            for r in done.select("line").toLocalIterator():
-                yield r["line"] + end
+            lines = (r["line"] + end for r in done.select("line").toLocalIterator())
+            if act.name.startswith("-f"):
+                with open(act.args[0], "w", encoding="utf-8") as f:
+                    f.writelines(lines)
+            else:
+                yield from lines
+
+
+def dry_run(entries: DataFrame, args: list[str], ctx: Context | None = None) -> str:
+    """The plan of a command line, which isn't run."""
+    return find(entries, args, ctx)._jdf.queryExecution().toString()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import maintenance, policy, tree
-from ..sources import adapter, sync
+from ..sources import adapter, config, sync
 from ..streaming import changelog, fold, stream
 from . import find as finder
 from . import report as reporter
@@ -330,12 +330,42 @@ def project_fields(spark, sf_dir):
     return sync.project(e, sync.projection(["id", "statx.size", "+statx.mtime", "+xattrs.user_tag", "+name", "-name"]))
 
 
+def _runs(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return ev.selectExpr("event_id AS log_id", "CASE event_id % 4 WHEN 0 THEN 'sync' WHEN 1 THEN 'find' WHEN 2 THEN 'gc' ELSE 'report' END AS command", "event_id * 10 AS started")
+
+
+_RUNS = "l AS (SELECT event_id AS log_id, CASE event_id % 4 WHEN 0 THEN 'sync' WHEN 1 THEN 'find' WHEN 2 THEN 'gc' ELSE 'report' END AS command, event_id * 10 AS started FROM events)"
+
+
 # Formatting.
 
 _PERM = "concat(" + ", ".join(f"CASE WHEN (mode & {b << k}) <> 0 THEN '{c}' ELSE '-' END" for k in (6, 3, 0) for b, c in ((4, "r"), (2, "w"), (1, "x"))) + ")"
 _LETTER = "CASE type WHEN 16384 THEN 'd' WHEN 40960 THEN 'l' ELSE '-' END"
 
 
+@query(f"{_view()} SELECT id, concat(CASE WHEN uid BETWEEN 1000 AND 1039 THEN concat('u', uid - 1000) ELSE uid::VARCHAR END, ' ', CASE WHEN gid BETWEEN 0 AND 7 THEN concat('g', gid) ELSE gid::VARCHAR END) AS line FROM e")
+def printf_owners(spark, sf_dir):
+    ctx = context()
+    users = spark.createDataFrame(list(ctx.users.items()), "name string, uid long")
+    groups = spark.createDataFrame(list(ctx.groups.items()), "name string, gid long")
+    e = maintenance.with_owner_names(adapter.entries(spark, sf_dir, False), users, groups)
+    return finder.find(e, ["-printf", "%u %g"], ctx).select("id", "line")
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CASE WHEN value >= 0 AND round(value) <= 4294967295 THEN round(value)::BIGINT END AS amount, event_type AS kind, value < 0 AS bad FROM events")
+def typed_xattrs(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    maps = ev.select("event_id", F.create_map(F.lit("user.k"), F.get_json_object("props", "$.k"), F.lit("user.amount"), F.round("value").cast("decimal(20,0)").cast("string"), F.lit("user.kind"), F.col("event_type")).alias("xattrs"))
+    out = config.typed_xattrs(maps, {"user.k": "int32", "user.amount": "uint32", "user.kind": "string"})
+    return out.select("event_id", "k", "amount", "kind", F.array_contains("bad_xattrs", "user.amount").alias("bad"))
+
+
+@query(f"WITH {_RUNS} SELECT log_id, command, started FROM l UNION ALL SELECT max(log_id) + 1, 'gc', 77 FROM l")
+def log_append(spark, sf_dir):
+    return maintenance.append_log(_runs(spark, sf_dir), "gc", 77, {"removed": "3"}).select("log_id", "command", "started")
+
+
 @query(f"{_view()} SELECT id, concat(path, '|', name, '|', size, '|', uid, ':', gid, '|', {_LETTER}, {_PERM}, '|', CASE type WHEN 16384 THEN 'd' WHEN 40960 THEN 'l' ELSE 'f' END, '|', coalesce(symlink, 'None'), '%', chr(10)) AS line FROM e")
 def printf_basic(spark, sf_dir):
     return finder.find(adapter.entries(spark, sf_dir), ["-printf", r"%p|%f|%s|%U:%G|%M|%y|%l%%\n"], context()).select("id", "line")
@@ -479,14 +509,6 @@ def checked_select(spark, sf_dir):
     return maintenance.recheck(finder.select(e, node), fresh, node).select("id")
 
 
-def _runs(spark, sf_dir):
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return ev.selectExpr("event_id AS log_id", "CASE event_id % 4 WHEN 0 THEN 'sync' WHEN 1 THEN 'find' WHEN 2 THEN 'gc' ELSE 'report' END AS command", "event_id * 10 AS started")
-
-
-_RUNS = "l AS (SELECT event_id AS log_id, CASE event_id % 4 WHEN 0 THEN 'sync' WHEN 1 THEN 'find' WHEN 2 THEN 'gc' ELSE 'report' END AS command, event_id * 10 AS started FROM events)"
-
-
 @query(f"{_view()}, {_RUNS} SELECT count(*) AS count, sum(size)::BIGINT AS total_size, round(avg(size), 4) AS average_size, (SELECT max(started) FROM l WHERE command = 'sync') AS last_sync, '/mnt' AS mountpoint FROM e")
 def info(spark, sf_dir):
     return maintenance.info(adapter.entries(spark, sf_dir, False), _runs(spark, sf_dir), {"mountpoint": "/mnt"}).withColumn("average_size", F.round("average_size", 4))

@@ -112,3 +112,18 @@ def test_report_arguments():
     for bad in ("nope", "statx.size[5;0]", "statx.size[a]"):
         with pytest.raises(UsageError):
             parse_group_by(bad)
+
+
+def test_config(tmp_path, monkeypatch):
+    from entrywise.sources.config import Config
+
+    monkeypatch.setenv("WHERE", "/mnt")
+    f = tmp_path / "c.json"
+    f.write_text('{"alias": {"big": "-size +1G"}, "a": {"b.c": 1, "b": {"d": "${WHERE}/x"}}, "backends": {"lus": {"extends": "posix", "enrichers": ["lustre"]}, "keep": {"extends": "lus", "enrichers": ["retention"], "iterator": "mfu"}, "x": {"extends": "y"}, "y": {"extends": "x"}}}')
+    c = Config.load(str(f))
+    assert c.get("a.b.c") == 1 and c.get("a.b.d") == "/mnt/x" and c.get("a.z", 5) == 5
+    assert c.backend("keep") == {"plugin": "posix", "extends": "lus", "enrichers": ["lustre", "retention"], "iterator": "mfu"}
+    assert c.aliases() == {"big": ["-size", "+1G"]}
+    for bad in ("x", "none"):
+        with pytest.raises(UsageError):
+            c.backend(bad)
