@@ -34,8 +34,8 @@ def rates(df: DataFrame, weights: dict[str | None, float] | None, source: str =
         for name, value in weights.items():
             w = F.when(F.col("source").isNull() if name is None else F.col("source") == name, F.lit(float(value))).otherwise(w)
         weighed = counts.withColumn("w", w)
-    total = weighed.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
-    return weighed.crossJoin(F.broadcast(total)).select("source", F.coalesce(F.try_divide(F.col("w") * F.col("all_n") * ratio, F.col("all_w") * F.col("n")), F.lit(0.0)).alias("rate"))  # one row: the totals
+    rows, weight = weighed.agg(F.sum("n"), F.sum("w")).first()
+    return weighed.select("source", F.coalesce(F.try_divide(F.col("w") * F.lit((rows or 0) * ratio), F.col("n") * F.lit(weight or 0.0)), F.lit(0.0)).alias("rate"))
 
 
 def poisson_steps(rate: Column) -> Column:
