@@ -82,9 +82,8 @@ def retention_updates(entries: DataFrame, expired: DataFrame, now: int) -> DataF
 def info(entries: DataFrame, log: DataFrame, facts: dict[str, str]) -> DataFrame:
     """One row: count, total and average size, last sync and the stored facts of a mirror."""
     counts = entries.agg(F.count(F.lit(1)).alias("count"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_size"), F.avg("size").alias("average_size"))
-    last = log.where("command = 'sync'").agg(F.max("started").alias("last_sync"))
-    out = counts.crossJoin(F.broadcast(last))  # one row each
-    return out.withColumns({k: F.lit(v) for k, v in facts.items()})
+    last = log.where("command = 'sync'").agg(F.max("started")).first()[0]
+    return counts.withColumns({"last_sync": F.lit(last).cast("long"), **{k: F.lit(v) for k, v in facts.items()}})
 
 
 def merge_info(old: dict, new: dict) -> dict:

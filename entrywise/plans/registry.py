@@ -556,10 +556,9 @@ def fold_xattrs(spark, sf_dir):
 @query(_INODES)
 def fold_two_batches(spark, sf_dir):
     ev = adapter.events(spark, sf_dir)
-    middle = ev.agg(F.expr("cast((min(seq) + max(seq)) / 2 as bigint) AS m"))
-    ev = ev.crossJoin(F.broadcast(middle))  # one row
-    first = fold.fold(ev.where("seq <= m").drop("m"))
-    return fold.apply(first, ev.where("seq > m").drop("m")).inodes
+    middle = ev.agg(F.expr("cast((min(seq) + max(seq)) / 2 as bigint)")).first()[0]
+    first = fold.fold(ev.where(F.col("seq") <= middle))
+    return fold.apply(first, ev.where(F.col("seq") > middle)).inodes
 
 
 @query(_XATTRS)
