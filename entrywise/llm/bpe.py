@@ -33,7 +33,7 @@ from .common import ship, unused
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _RUN = regex.compile(r"\s\s")
 #: Entries of a worker's tables; a full table is emptied.
-TABLE_SIZE = 600_000
+TABLE_SIZE = 300_000
 
 
 def byte_letters() -> dict[str, int]:

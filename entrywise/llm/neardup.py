@@ -115,7 +115,7 @@ def sketch_column(text: Column, k: int, t: int = T, rows: int = ROWS) -> Column:
     @F.arrow_udf("n long, s1 long, s2 long, bands array<long>, digest array<long>")
     def make(batch: pa.Array) -> pa.Array:
         got = {c: [np.zeros((0, width[c]) if c in width else 0, np.int64)] for c in names}
-        for b in blocks(batch):
+        for b in blocks(batch, most=256):
             v, offs = shingle_sets(b, k)
             n = np.diff(offs)
             sums = np.zeros((2, len(v) + 1), _U)

@@ -72,8 +72,8 @@ class Block:
         return self.hi - self.lo
 
 
-def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Cut an Arrow string array into blocks; a null is an empty text."""
+def blocks(texts: pa.Array, limit: int = BLOCK_BYTES, most: int = 4096) -> Iterator[Block]:
+    """Cut an Arrow string array into blocks of about `limit` bytes and at most `most` texts; a null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -86,7 +86,7 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + most)
         yield Block(lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
         lo = hi
 
