@@ -153,10 +153,14 @@ def _filter_bits(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of keys whose full shingle sets have the similarity; docs has columns id and text."""
+def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int = PERCENT, narrow: bool = False) -> DataFrame:
+    """The pairs (a, b) of keys whose full shingle sets have the similarity; docs has columns id and text.
+
+    narrow: sets go by half their hash bits, with one per cent of slack for hashes that
+    fall together: that loses no pair but may leave some too many.
+    """
     spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    ids = pairs.select(F.col("a").alias("id")).distinct().unionAll(pairs.select(F.col("b").alias("id")).distinct())
     bits = spark.sparkContext.broadcast(_filter_bits(ids))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,13 +172,13 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int = PERCENT) ->
                 continue
             for b in blocks(batch.column(1)):
                 v, offs = shingle_sets(b, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[b.lo : b.hi], pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(v.view(np.int64)))], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[b.lo : b.hi], pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array((v >> _U(32)).astype(np.uint32).view(np.int32) if narrow else v.view(np.int64)))], ["id", "shingles"])
 
-    rows = docs.where("id IS NOT NULL").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("at")).mapInArrow(sets, "id long, shingles array<long>")
+    rows = docs.where("id IS NOT NULL").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("at")).mapInArrow(sets, f"id long, shingles array<{'int' if narrow else 'long'}>")
     left = rows.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = rows.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").where(F.lit(100) * both >= F.lit(percent) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").where(F.lit(100) * both >= F.lit(percent - narrow) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
 def _near(percent: int) -> Column:
@@ -240,7 +244,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).join(tried, ["a", "b"], "left_anti")
     rest = materialize(rest)
     if not rest.isEmpty():
-        edges = materialize(edges.unionAll(verify(docs, rest, shingle, percent)))
+        likely = materialize(verify(docs, rest, shingle, percent, narrow=True))
+        edges = materialize(edges.unionAll(verify(docs, likely, shingle, percent)))
         found = components(edges)
 
     # Classes carry their component to their members.
