@@ -2,115 +2,208 @@
 
 Normalized text has lower-case words of letters and digits with single spaces,
 so `Apache-2.0` reads `apache 2 0`. Each licence gives one rule for each form
-in which it is stated; the general rules follow.
+in which it is stated; the general rules follow. What lets a text be skipped is
+derived from the patterns, so a match is never skipped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cached_property
+from re import _parser
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A labelled pattern; texts without the keyword are not searched. A higher priority wins."""
+    """A labelled pattern. A higher priority wins."""
 
     label: str
     priority: int
-    keyword: str
     pattern: str
 
+    @cached_property
+    def needs(self) -> tuple[tuple[str, ...], ...]:
+        """Groups of words: every match, with a space before and after it, has a word of each group; the most telling group first."""
+        found = {g for g in _needs(list(_parser.parse(f" (?:{self.pattern}) ")), "") if min(map(len, g)) >= LEAST_WORD}
+        return tuple(tuple(sorted(g)) for g in sorted(found, key=lambda g: (-_telling(g), sorted(g))))
 
-#: label, keyword, identifier, name, address
+    @property
+    def keyword(self) -> str:
+        """What every match has, where that is one word; else nothing."""
+        return next((g[0] for g in self.needs if len(g) == 1), "")
+
+
+#: Shorter words, with their spaces, are not looked for.
+LEAST_WORD = 3
+
+
+#: Words that many texts have are the last to look for.
+COMMON = {" see ", " under ", " without ", " for details "}
+
+
+def _telling(group: Iterable[str]) -> int:
+    """Words of many letters are rare, and each more word of a group is one more to find."""
+    group = list(group)
+    return min(0 if w in COMMON else 2 * sum(map(str.isalpha, w)) for w in group) - len(group)
+
+
+def _tail(items: list) -> str:
+    """The character with which every match of the items ends, if there is one."""
+    if not items:
+        return ""
+    op, value = items[-1]
+    if str(op) == "LITERAL":
+        return chr(value)
+    if str(op) == "SUBPATTERN":
+        return _tail(list(value[3]))
+    if not str(op).endswith("_REPEAT"):
+        return ""
+    last = _tail(list(value[2]))
+    return last if value[0] > 0 or last == _tail(items[:-1]) else ""
+
+
+def _needs(items: list, run: str) -> list[frozenset[str]]:
+    """Groups of literals of which a match of the items, after the literal `run`, has one each."""
+    out: list[frozenset[str]] = []
+
+    def end() -> None:
+        nonlocal run
+        out.extend([frozenset((run,))] if run else [])
+        run = ""
+
+    done: list = [("LITERAL", ord(c)) for c in run]
+    while items:
+        op, value = items.pop(0)
+        done.append((op, value))
+        op = str(op)
+        if op == "LITERAL":
+            run += chr(value)
+        elif op == "SUBPATTERN":
+            done.pop()
+            items[:0] = list(value[3])
+        elif op == "BRANCH":
+            ways = [_needs(list(way), run) for way in value[1]]
+            if all(ways):
+                out.append(frozenset().union(*(max(way, key=_telling) for way in ways)))
+            end()
+        else:
+            end()
+            if op.endswith("_REPEAT") and value[0] > 0:
+                out += _needs(list(value[2]), "")
+            run = _tail(done)
+    end()
+    return out
+
+
+def gate(some: Iterable[Rule]) -> list[str] | None:
+    """Words of which every match of any of the rules has one; None if a rule has none."""
+    some = sorted(some, key=lambda r: len(r.needs))
+
+    def covered(r: Rule, words: list[str]) -> bool:
+        return any(all(any(v in w for v in words) for w in g) for g in r.needs)
+
+    words: list[str] = []
+    for r in some:
+        if not r.needs:
+            return None
+        if not covered(r, words):
+            words += r.needs[0]
+    words = sorted(set(words))
+    for w in sorted(words, key=lambda w: (-len(w), w)):
+        fewer = [v for v in words if v != w]
+        if all(covered(r, fewer) for r in some):
+            words = fewer
+    return words
+
+
+#: label, identifier, name, address
 LICENSES = [
-    ("mit", "mit", "mit", "(?:mit|expat)(?: x11)? licen[sc]e", "opensource org licenses? mit"),
-    ("mit-0", "mit", "mit 0", "mit no attribution(?: licen[sc]e)?", "opensource org licenses? mit 0"),
-    ("apache-1.1", "apache", "apache 1 1", "apache(?: software)? licen[sc]e(?: version)? 1 1", "apache org licenses license 1 1"),
-    ("apache-2.0", "apache", "apache 2 0", "apache(?: software)? licen[sc]e(?: version)? v?2(?: 0)?", "apache org licenses license 2 0"),
-    ("gpl-1.0", "g", "gpl 1 0(?: only| or later)?", "(?:gnu )?(?:general public licen[sc]e|gpl)(?: version)? v?1(?: 0)?", "gnu org licenses gpl 1 0"),
-    ("gpl-2.0", "g", "gpl 2 0(?: only| or later)?", "(?:gnu )?(?:general public licen[sc]e|gpl)(?: version)? v?2(?: 0)?", "gnu org licenses (?:old licenses )?gpl 2 0"),
-    ("gpl-3.0", "g", "gpl 3 0(?: only| or later)?", "(?:gnu )?(?:general public licen[sc]e|gpl)(?: version)? v?3(?: 0)?", "gnu org licenses gpl 3 0"),
-    ("lgpl-2.0", "l", "lgpl 2 0(?: only| or later)?", "(?:gnu )?(?:library general public licen[sc]e|lgpl)(?: version)? v?2(?: 0)?", "gnu org licenses (?:old licenses )?lgpl 2 0"),
-    ("lgpl-2.1", "l", "lgpl 2 1(?: only| or later)?", "(?:gnu )?(?:lesser general public licen[sc]e|lgpl)(?: version)? v?2 1", "gnu org licenses (?:old licenses )?lgpl 2 1"),
-    ("lgpl-3.0", "l", "lgpl 3 0(?: only| or later)?", "(?:gnu )?(?:lesser general public licen[sc]e|lgpl)(?: version)? v?3(?: 0)?", "gnu org licenses lgpl 3 0"),
-    ("agpl-3.0", "a", "agpl 3 0(?: only| or later)?", "(?:gnu )?(?:affero general public licen[sc]e|agpl)(?: version)? v?3(?: 0)?", "gnu org licenses agpl 3 0"),
-    ("gfdl-1.3", "free documentation", "gfdl 1 3(?: only| or later)?", "gnu free documentation licen[sc]e(?: version)? 1 3", "gnu org licenses fdl 1 3"),
-    ("bsd-2-clause", "bsd", "bsd 2 clause", "(?:simplified bsd|freebsd|bsd (?:2|two) clause)(?: licen[sc]e)?", "opensource org licenses? bsd 2 clause"),
-    ("bsd-3-clause", "bsd", "bsd 3 clause", "(?:new bsd|revised bsd|modified bsd|bsd (?:3|three) clause)(?: licen[sc]e)?", "opensource org licenses? bsd 3 clause"),
-    ("bsd-4-clause", "bsd", "bsd 4 clause", "(?:original bsd|bsd (?:4|four) clause)(?: licen[sc]e)?", "directory fsf org wiki license bsd 4 ?clause"),
-    ("0bsd", "bsd", "0bsd", "(?:zero clause bsd|0bsd|bsd zero clause)(?: licen[sc]e)?", "opensource org licenses? 0bsd"),
-    ("isc", "isc", "isc", "isc licen[sc]e", "opensource org licenses? isc"),
-    ("mpl-1.1", "m", "mpl 1 1", "(?:mozilla public licen[sc]e|mpl)(?: version)? v?1 1", "mozilla org mpl 1 1"),
-    ("mpl-2.0", "m", "mpl 2 0", "(?:mozilla public licen[sc]e|mpl)(?: version)? v?2(?: 0)?", "mozilla org mpl 2 0"),
-    ("epl-1.0", "e", "epl 1 0", "(?:eclipse public licen[sc]e|epl)(?: version)? v?1(?: 0)?", "eclipse org legal epl v10"),
-    ("epl-2.0", "e", "epl 2 0", "(?:eclipse public licen[sc]e|epl)(?: version)? v?2(?: 0)?", "eclipse org legal epl 2 0"),
-    ("cddl-1.0", "c", "cddl 1 0", "(?:common development and distribution licen[sc]e|cddl)(?: version)?(?: v?1(?: 0)?)?", "opensource org licenses? cddl 1 0"),
-    ("cpl-1.0", "c", "cpl 1 0", "common public licen[sc]e(?: version)?(?: 1 0)?", "opensource org licenses? cpl 1 0"),
-    ("artistic-1.0", "artistic", "artistic 1 0", "artistic licen[sc]e(?: version)? 1 0", "opensource org licenses? artistic 1 0"),
-    ("artistic-2.0", "artistic", "artistic 2 0", "artistic licen[sc]e(?: version)? 2 0", "opensource org licenses? artistic 2 0"),
-    ("zlib", "zlib", "zlib", "zlib(?: libpng)? licen[sc]e", "opensource org licenses? zlib"),
-    ("bsl-1.0", "boost", "bsl 1 0", "boost software licen[sc]e(?: version)?(?: 1 0)?", "boost org license 1 0"),
-    ("unlicense", "unlicen", "unlicense", "(?:the )?unlicen[sc]e", "unlicense org"),
-    ("wtfpl", "w", "wtfpl", "(?:wtfpl|do what the \\S+ you want to public licen[sc]e)", "wtfpl net"),
-    ("postgresql", "postgresql", "postgresql", "postgresql licen[sc]e", "opensource org licenses? postgresql"),
-    ("python-2.0", "p", "(?:python|psf) 2 0", "(?:python software foundation|psf|python) licen[sc]e(?: version)?(?: 2)?", "docs python org 3 license"),
-    ("ruby", "ruby", "ruby", "ruby licen[sc]e", "ruby lang org en about license"),
-    ("php-3.01", "php", "php 3 01", "php licen[sc]e(?: version)?(?: 3 01)?", "php net license"),
-    ("ofl-1.1", "o", "ofl 1 1", "(?:sil )?open font licen[sc]e(?: version)?(?: 1 1)?", "scripts sil org ofl"),
-    ("openssl", "openssl", "openssl", "openssl licen[sc]e", "openssl org source license"),
-    ("ncsa", "n", "ncsa", "(?:university of illinois )?ncsa(?: open source)? licen[sc]e", "opensource org licenses? ncsa"),
-    ("ms-pl", "microsoft", "ms pl", "microsoft public licen[sc]e", "opensource org licenses? ms pl"),
-    ("eupl-1.2", "e", "eupl 1 2", "(?:european union public licen[sc]e|eupl)(?: version)? v?1 2", "joinup ec europa eu collection eupl"),
-    ("upl-1.0", "universal", "upl 1 0", "universal permissive licen[sc]e(?: version)?(?: 1 0)?", "oss oracle com licenses upl"),
-    ("cc0-1.0", "c", "cc0 1 0", "(?:cc0|creative commons zero)(?: licen[sc]e)?(?: 1 0)?", "creativecommons org publicdomain zero 1 0"),
-    ("cc-by-3.0", "c", "cc by 3 0", "(?:creative commons attribution|cc by) 3 0(?: licen[sc]e)?", "creativecommons org licenses by 3 0"),
-    ("cc-by-4.0", "c", "cc by 4 0", "(?:creative commons attribution|cc by) 4 0(?: licen[sc]e)?", "creativecommons org licenses by 4 0"),
-    ("cc-by-sa-4.0", "c", "cc by sa 4 0", "(?:creative commons attribution share ?alike|cc by sa) 4 0(?: licen[sc]e)?", "creativecommons org licenses by sa 4 0"),
-    ("cc-by-nc-4.0", "c", "cc by nc 4 0", "(?:creative commons attribution non ?commercial|cc by nc) 4 0(?: licen[sc]e)?", "creativecommons org licenses by nc 4 0"),
-    ("cc-by-nd-4.0", "c", "cc by nd 4 0", "(?:creative commons attribution no ?deriv\\S*|cc by nd) 4 0(?: licen[sc]e)?", "creativecommons org licenses by nd 4 0"),
+    ("mit", "mit", "(?:mit|expat)(?: x11)? licen[sc]e", "opensource org licenses? mit"),
+    ("mit-0", "mit 0", "mit no attribution(?: licen[sc]e)?", "opensource org licenses? mit 0"),
+    ("apache-1.1", "apache 1 1", "apache(?: software)? licen[sc]e(?: version)? 1 1", "apache org licenses license 1 1"),
+    ("apache-2.0", "apache 2 0", "apache(?: software)? licen[sc]e(?: version)? v?2(?: 0)?", "apache org licenses license 2 0"),
+    ("gpl-1.0", "gpl 1 0(?: only| or later)?", "(?:gnu )?(?:general public licen[sc]e|gpl)(?: version)? v?1(?: 0)?", "gnu org licenses gpl 1 0"),
+    ("gpl-2.0", "gpl 2 0(?: only| or later)?", "(?:gnu )?(?:general public licen[sc]e|gpl)(?: version)? v?2(?: 0)?", "gnu org licenses (?:old licenses )?gpl 2 0"),
+    ("gpl-3.0", "gpl 3 0(?: only| or later)?", "(?:gnu )?(?:general public licen[sc]e|gpl)(?: version)? v?3(?: 0)?", "gnu org licenses gpl 3 0"),
+    ("lgpl-2.0", "lgpl 2 0(?: only| or later)?", "(?:gnu )?(?:library general public licen[sc]e|lgpl)(?: version)? v?2(?: 0)?", "gnu org licenses (?:old licenses )?lgpl 2 0"),
+    ("lgpl-2.1", "lgpl 2 1(?: only| or later)?", "(?:gnu )?(?:lesser general public licen[sc]e|lgpl)(?: version)? v?2 1", "gnu org licenses (?:old licenses )?lgpl 2 1"),
+    ("lgpl-3.0", "lgpl 3 0(?: only| or later)?", "(?:gnu )?(?:lesser general public licen[sc]e|lgpl)(?: version)? v?3(?: 0)?", "gnu org licenses lgpl 3 0"),
+    ("agpl-3.0", "agpl 3 0(?: only| or later)?", "(?:gnu )?(?:affero general public licen[sc]e|agpl)(?: version)? v?3(?: 0)?", "gnu org licenses agpl 3 0"),
+    ("gfdl-1.3", "gfdl 1 3(?: only| or later)?", "gnu free documentation licen[sc]e(?: version)? 1 3", "gnu org licenses fdl 1 3"),
+    ("bsd-2-clause", "bsd 2 clause", "(?:simplified bsd|freebsd|bsd (?:2|two) clause)(?: licen[sc]e)?", "opensource org licenses? bsd 2 clause"),
+    ("bsd-3-clause", "bsd 3 clause", "(?:new bsd|revised bsd|modified bsd|bsd (?:3|three) clause)(?: licen[sc]e)?", "opensource org licenses? bsd 3 clause"),
+    ("bsd-4-clause", "bsd 4 clause", "(?:original bsd|bsd (?:4|four) clause)(?: licen[sc]e)?", "directory fsf org wiki license bsd 4 ?clause"),
+    ("0bsd", "0bsd", "(?:zero clause bsd|0bsd|bsd zero clause)(?: licen[sc]e)?", "opensource org licenses? 0bsd"),
+    ("isc", "isc", "isc licen[sc]e", "opensource org licenses? isc"),
+    ("mpl-1.1", "mpl 1 1", "(?:mozilla public licen[sc]e|mpl)(?: version)? v?1 1", "mozilla org mpl 1 1"),
+    ("mpl-2.0", "mpl 2 0", "(?:mozilla public licen[sc]e|mpl)(?: version)? v?2(?: 0)?", "mozilla org mpl 2 0"),
+    ("epl-1.0", "epl 1 0", "(?:eclipse public licen[sc]e|epl)(?: version)? v?1(?: 0)?", "eclipse org legal epl v10"),
+    ("epl-2.0", "epl 2 0", "(?:eclipse public licen[sc]e|epl)(?: version)? v?2(?: 0)?", "eclipse org legal epl 2 0"),
+    ("cddl-1.0", "cddl 1 0", "(?:common development and distribution licen[sc]e|cddl)(?: version)?(?: v?1(?: 0)?)?", "opensource org licenses? cddl 1 0"),
+    ("cpl-1.0", "cpl 1 0", "common public licen[sc]e(?: version)?(?: 1 0)?", "opensource org licenses? cpl 1 0"),
+    ("artistic-1.0", "artistic 1 0", "artistic licen[sc]e(?: version)? 1 0", "opensource org licenses? artistic 1 0"),
+    ("artistic-2.0", "artistic 2 0", "artistic licen[sc]e(?: version)? 2 0", "opensource org licenses? artistic 2 0"),
+    ("zlib", "zlib", "zlib(?: libpng)? licen[sc]e", "opensource org licenses? zlib"),
+    ("bsl-1.0", "bsl 1 0", "boost software licen[sc]e(?: version)?(?: 1 0)?", "boost org license 1 0"),
+    ("unlicense", "unlicense", "(?:the )?unlicen[sc]e", "unlicense org"),
+    ("wtfpl", "wtfpl", "(?:wtfpl|do what the \\S+ you want to public licen[sc]e)", "wtfpl net"),
+    ("postgresql", "postgresql", "postgresql licen[sc]e", "opensource org licenses? postgresql"),
+    ("python-2.0", "(?:python|psf) 2 0", "(?:python software foundation|psf|python) licen[sc]e(?: version)?(?: 2)?", "docs python org 3 license"),
+    ("ruby", "ruby", "ruby licen[sc]e", "ruby lang org en about license"),
+    ("php-3.01", "php 3 01", "php licen[sc]e(?: version)?(?: 3 01)?", "php net license"),
+    ("ofl-1.1", "ofl 1 1", "(?:sil )?open font licen[sc]e(?: version)?(?: 1 1)?", "scripts sil org ofl"),
+    ("openssl", "openssl", "openssl licen[sc]e", "openssl org source license"),
+    ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)? licen[sc]e", "opensource org licenses? ncsa"),
+    ("ms-pl", "ms pl", "microsoft public licen[sc]e", "opensource org licenses? ms pl"),
+    ("eupl-1.2", "eupl 1 2", "(?:european union public licen[sc]e|eupl)(?: version)? v?1 2", "joinup ec europa eu collection eupl"),
+    ("upl-1.0", "upl 1 0", "universal permissive licen[sc]e(?: version)?(?: 1 0)?", "oss oracle com licenses upl"),
+    ("cc0-1.0", "cc0 1 0", "(?:cc0|creative commons zero)(?: licen[sc]e)?(?: 1 0)?", "creativecommons org publicdomain zero 1 0"),
+    ("cc-by-3.0", "cc by 3 0", "(?:creative commons attribution|cc by) 3 0(?: licen[sc]e)?", "creativecommons org licenses by 3 0"),
+    ("cc-by-4.0", "cc by 4 0", "(?:creative commons attribution|cc by) 4 0(?: licen[sc]e)?", "creativecommons org licenses by 4 0"),
+    ("cc-by-sa-4.0", "cc by sa 4 0", "(?:creative commons attribution share ?alike|cc by sa) 4 0(?: licen[sc]e)?", "creativecommons org licenses by sa 4 0"),
+    ("cc-by-nc-4.0", "cc by nc 4 0", "(?:creative commons attribution non ?commercial|cc by nc) 4 0(?: licen[sc]e)?", "creativecommons org licenses by nc 4 0"),
+    ("cc-by-nd-4.0", "cc by nd 4 0", "(?:creative commons attribution no ?deriv\\S*|cc by nd) 4 0(?: licen[sc]e)?", "creativecommons org licenses by nd 4 0"),
 ]
 
-#: Ways to state a licence: form, priority, extra keyword, pattern.
+#: Ways to state a licence: form, priority, pattern.
 FORMS = [
-    ("identifier", 4, "spdx", "spdx licen[sc]e identifier {id}"),
-    ("address", 4, "org", "(?:https? )?(?:www )?{address}"),
-    ("notice", 3, "under", "(?:licensed|released|distributed|available|published|provided|covered)(?: \\S+){{0,3}}? under (?:the )?(?:terms (?:of|and conditions of) (?:the )?)?{name}"),
-    ("see", 3, "see", "see (?:the )?(?:\\S+ ){{0,3}}?{name}"),
-    ("named", 2, "", "{name}"),
+    ("identifier", 4, "spdx licen[sc]e identifier {id}"),
+    ("address", 4, "(?:https? )?(?:www )?{address}"),
+    ("notice", 3, "(?:licensed|released|distributed|available|published|provided|covered)(?: \\S+){{0,3}}? under (?:the )?(?:terms (?:of|and conditions of) (?:the )?)?{name}"),
+    ("see", 3, "see (?:the )?(?:\\S+ ){{0,3}}?{name}"),
+    ("named", 2, "{name}"),
 ]
 
-#: label, priority, keyword, pattern of statements that name no licence.
+#: label, priority, pattern of statements that name no licence.
 GENERAL = [
-    ("mit", 2, "mit", "mit licen[sc]e"),
-    ("apache", 1, "apache", "apache(?: software)? licen[sc]e"),
-    ("gpl", 1, "general", "(?:gnu )?general public licen[sc]e"),
-    ("lgpl", 1, "lesser", "(?:gnu )?(?:lesser|library) general public licen[sc]e"),
-    ("agpl", 1, "affero", "(?:gnu )?affero general public licen[sc]e"),
-    ("bsd", 1, "bsd", "bsd(?: style)? licen[sc]e"),
-    ("mit", 3, "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("isc", 3, "permission", "permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd", 3, "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("gpl", 3, "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e"),
-    ("public-domain", 2, "public domain", "(?:released|dedicated|placed|put)(?: \\S+){0,3}? (?:in|into|to) the public domain"),
-    ("public-domain", 1, "public domain", "public domain"),
-    ("proprietary", 2, "all rights", "all rights reserved"),
-    ("proprietary", 2, "proprietary", "proprietary(?: and)?(?: confidential)? licen[sc]e"),
-    ("proprietary", 2, "license agreement", "end user licen[sc]e agreement"),
-    ("warranty-disclaimer", 2, "as is", "(?:software )?(?:is )?provided as is(?: without warranty of any kind)?"),
-    ("warranty-disclaimer", 1, "warrant", "without (?:any )?warrant(?:y|ies)(?: of any kind)?"),
-    ("copyright", 1, "copyright", "copyright(?: c)?(?: \\d{4})(?: \\d{4}){0,8}"),
-    ("license-file", 1, "file", "see (?:the )?licen[sc]e(?: txt| md)?(?: file)?(?: for details)"),
-    ("licensed", 1, "licensed", "licensed under(?: the)?"),
+    ("mit", 2, "mit licen[sc]e"),
+    ("apache", 1, "apache(?: software)? licen[sc]e"),
+    ("gpl", 1, "(?:gnu )?general public licen[sc]e"),
+    ("lgpl", 1, "(?:gnu )?(?:lesser|library) general public licen[sc]e"),
+    ("agpl", 1, "(?:gnu )?affero general public licen[sc]e"),
+    ("bsd", 1, "bsd(?: style)? licen[sc]e"),
+    ("mit", 3, "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("isc", 3, "permission to use copy modify and or distribute this software for any purpose"),
+    ("bsd", 3, "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("gpl", 3, "you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e"),
+    ("public-domain", 2, "(?:released|dedicated|placed|put)(?: \\S+){0,3}? (?:in|into|to) the public domain"),
+    ("public-domain", 1, "public domain"),
+    ("proprietary", 2, "all rights reserved"),
+    ("proprietary", 2, "proprietary(?: and)?(?: confidential)? licen[sc]e"),
+    ("proprietary", 2, "end user licen[sc]e agreement"),
+    ("warranty-disclaimer", 2, "(?:software )?(?:is )?provided as is(?: without warranty of any kind)?"),
+    ("warranty-disclaimer", 1, "without (?:any )?warrant(?:y|ies)(?: of any kind)?"),
+    ("copyright", 1, "copyright(?: c)?(?: \\d{4})(?: \\d{4}){0,8}"),
+    ("license-file", 1, "see (?:the )?licen[sc]e(?: txt| md)?(?: file)?(?: for details)"),
+    ("licensed", 1, "licensed under(?: the)?"),
 ]
 
-#: A text without any of these is not searched at all.
-GATE = ["licen", "spdx", "copyright", "public domain", "all rights", "warrant", "gnu", "opensource org", "creativecommons org", "permi"]
-
-
 def rules() -> list[Rule]:
     """All rules: every licence in every form, then the general ones."""
     out = []
-    for label, keyword, ident, name, address in LICENSES:
-        for _, priority, extra, form in FORMS:
-            out.append(Rule(label, priority, extra or (keyword if len(keyword) > 1 else ""), form.format(id=ident, name=name, address=address)))
+    for label, ident, name, address in LICENSES:
+        for _, priority, form in FORMS:
+            out.append(Rule(label, priority, form.format(id=ident, name=name, address=address)))
     out += [Rule(*g) for g in GENERAL]
     return out

@@ -1,7 +1,8 @@
 """Licence scans with ordered signature rules, in Spark functions only.
 
-Texts are normalized to lower-case words. A keyword gate leaves most texts
-aside, and a keyword for each rule leaves most rules aside for the others. The
+Texts are normalized to lower-case words. A gate leaves the texts aside that
+have none of the words of which every match has one, and the words that a rule
+needs leave most rules aside for the others; both only save work. The
 detections of all rules are word intervals; one that lies inside another of the
 same or higher priority is suppressed. Everything happens inside the row: there
 is no shuffle, and a text's detections never leave it.
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fingerprint import let
-from .license_rules import GATE, Rule, rules
+from .license_rules import Rule, gate, rules
 
 #: phrase of consecutive words and its label.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -60,12 +61,12 @@ def intervals(text: Column, pattern: Column, priority: Column, label: Column) ->
 
 def _table(some: list[Rule]) -> Column:
     bounded = "(?<= )(?:{})(?= )"
-    return F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.keyword).alias("keyword"), F.lit(bounded.format(r.pattern)).alias("pattern")) for r in some])
+    return F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.array(*[F.array(*map(F.lit, g)) for g in r.needs]).cast("array<array<string>>").alias("needs"), F.lit(bounded.format(r.pattern)).alias("pattern")) for r in some])
 
 
 def detect(text: Column, some: list[Rule]) -> Column:
     """All intervals of the rules in normalized lower-case text, with overlaps."""
-    chosen = F.filter(_table(some), lambda r: F.contains(text, r["keyword"]))
+    chosen = F.filter(_table(some), lambda r: F.forall(r["needs"], lambda g: F.exists(g, lambda w: F.contains(text, w))))
     return F.flatten(F.transform(chosen, lambda r: intervals(text, r["pattern"], r["priority"], r["label"])))
 
 
@@ -92,15 +93,16 @@ def suppress(found: Column, levels: int = 4) -> Column:
 def scan_column(text: Column, some: list[Rule] | None = None) -> Column:
     """struct<n_words, n_base, first_word, last_word, base_labels, labels, score, n_found> of a text."""
     some = rules() if some is None else some
-    base_rules = [Rule(label, 1, phrase, phrase) for phrase, label in PHRASES.items()]
+    base_rules = [Rule(label, 1, phrase) for phrase, label in PHRASES.items()]
     none = F.array().cast(_INTERVAL)
 
     def scan(norm: Column) -> Column:
         plain = F.lower(norm)
-        gate = F.lit(False)
-        for word in GATE:
-            gate = gate | F.contains(plain, F.lit(word))
-        both = F.when(gate, let(F.translate(norm, _UPPER, _LOWER), lambda low: F.struct(detect(low, base_rules).alias("base"), suppress(detect(low, some)).alias("own"))))
+        words = gate(base_rules + some)
+        passes = F.lit(words is None)
+        for word in words or []:
+            passes = passes | F.contains(plain, F.lit(word))
+        both = F.when(passes, let(F.translate(norm, _UPPER, _LOWER), lambda low: F.struct(detect(low, base_rules).alias("base"), suppress(detect(low, some)).alias("own"))))
 
         def report(x: Column) -> Column:
             base = F.coalesce(x["base"], none)

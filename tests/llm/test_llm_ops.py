@@ -359,6 +359,47 @@ def test_rules_are_many():
     assert len(rules()) > 200 and all(re.compile(r.pattern) for r in rules())
 
 
+def sample_texts(pattern):
+    """Matches of a pattern: with each way of every branch, with and without what may be missing."""
+    from re import _parser
+
+    def walk(items):
+        made = [""]
+        for op, value in items:
+            op = str(op)
+            if op == "LITERAL":
+                ways = [chr(value)]
+            elif op == "SUBPATTERN":
+                ways = walk(value[3])
+            elif op == "BRANCH":
+                ways = [w for way in value[1] for w in walk(way)]
+            elif op == "IN":
+                ways = ["1"] if str(value[0][0]) == "CATEGORY" else [chr(value[0][1])]
+            else:
+                once = walk(value[2])
+                ways = [w * value[0] for w in once] if value[0] else ["", once[0]]
+            made = [(made[k % len(made)] + ways[k % len(ways)]) for k in range(max(len(made), len(ways)))]
+        return made
+
+    return sorted(set(walk(_parser.parse(pattern))))
+
+
+def test_every_license_rule_is_searched(spark):
+    some = [(r, re.compile(f"(?<= )(?:{r.pattern})(?= )")) for r in rules()]
+    said = ["Library released under the GPL v2.", "Text under CC BY 4.0", "MPL 2.0", "BSD 3-clause", "The software is provided as is", "https://www.mozilla.org/MPL/2.0/", "http://www.wtfpl.net", "oss.oracle.com/licenses/upl", "0BSD", "EUPL v1.2", "php.net/license"]
+    for r, p in some:
+        made = sample_texts(r.pattern)
+        assert made and all(p.search(f" {t} ") for t in made), r
+        said += [f"Qq {t} qq." for t in made]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").repartition(4)).collect()}
+    for i, t in enumerate(said):
+        text = f" {' '.join(re.findall('[0-9a-z]+', t.lower()))} "
+        found = [(m.start(), m.end(), r.priority, r.label) for r, p in some for m in p.finditer(text)]
+        left = {z for a, b, q, z in found if not any(x <= a and b <= y and o >= q and ((x, y) != (a, b) or o > q or v < z) for x, y, o, v in found)}
+        assert found and set(got[i]["labels"].split(",")) == left | set(filter(None, got[i]["base_labels"].split(","))), t
+        assert got[i]["score"] > 0 and got[i]["n_found"] > 0, t
+
+
 def test_bpe_equals_the_library(spark, docs):
     from tokenizers import Tokenizer
 
