@@ -4,7 +4,9 @@ A source's rate is its target share of the output divided by its share of the
 input. Each row gets a Poisson number of copies with that mean, by inverting
 the distribution at a uniform number from a hash of its key, so the mixture is
 the same on every run. The copies are dealt to partitions and ordered there by
-another hash: a global shuffle.
+another hash: a global shuffle. A mean above PIECE_RATE is the sum of as many
+Poisson numbers of smaller means, each from a hash of its own, so any rate will
+do; the pieces of such rows are dealt out before they become copies.
 
 Defined results: a null source is a source of its own; a source without a
 target weight gets none of the output; rows with equal keys get equal numbers
@@ -20,8 +22,10 @@ from .common import hash_unit, unused
 
 #: Sources up to this number are broadcast with their distributions; more are joined by a shuffle.
 BROADCAST_SOURCES = 2_000
-#: The largest mean number of copies.
-LARGEST_RATE = 500.0
+#: The largest mean number of copies that is drawn at once.
+PIECE_RATE = 500.0
+#: With a larger mean the numbers of copies are longs.
+LARGEST_INT = 2e9
 
 
 def rates(df: DataFrame, weights: dict[str | None, float] | None, source: str = "source", ratio: float = 1.0) -> DataFrame:
@@ -54,16 +58,30 @@ def mix_sources(df: DataFrame, weights: dict[str | None, float] | None = None, s
     """Copies of the rows, shuffled; `copy` names a column for the number of the copy, from 1."""
     rate = rates(df, weights, source, ratio)
     few = rate.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    top = rate.agg(F.max("rate")).first()[0]
-    if top is not None and top > LARGEST_RATE:
-        raise ValueError(f"a source would be repeated {top:.0f} times; the most is {LARGEST_RATE:.0f}")
-    name, steps, n, order = (unused(df, x) for x in ("_src", "_steps", "_copies", "_order"))
+    top = rate.agg(F.max("rate")).first()[0] or 0.0
+    name, steps, pieces, n, run, order = (unused(df, x) for x in ("_src", "_steps", "_pieces", "_copies", "_run", "_order"))
     number = copy or unused(df, "_copy")
-    table = rate.select(F.col("source").alias(name), poisson_steps(F.col("rate")).alias(steps))
-    drawn = hash_unit(f"{seed}", F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(PIECE_RATE)).cast("int"))
+    table = rate.select(F.col("source").alias(name), poisson_steps(F.col("rate") / parts).alias(steps), parts.alias(pieces))
+    text = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
+
+    def copies(drawn: Column) -> Column:
+        return F.size(F.filter(F.col(steps), lambda c: c <= drawn))
+
     rows = df.join(F.broadcast(table) if few else table, F.col(f"`{source}`").eqNullSafe(F.col(name)))
-    rows = rows.withColumn(n, F.size(F.filter(F.col(steps), lambda c: c <= drawn))).drop(name, steps).where(F.col(n) > 0)
-    rows = rows.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(n)
-    rows = rows.withColumn(order, F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.col(number)))
-    out = rows.repartition(order).sortWithinPartitions(order).drop(order)
+    once = rows.where(F.col(pieces) == 1) if top > PIECE_RATE else rows
+    once = once.withColumn(n, copies(hash_unit(f"{seed}", text))).drop(name, steps, pieces).where(F.col(n) > 0)
+    out = once.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(n)
+    if top > PIECE_RATE:
+        # One row can have more copies than a task should write: they are dealt out as runs of numbers first.
+        whole = "long" if top > LARGEST_INT else "int"
+        each = F.lit(int(PIECE_RATE)).cast("long")
+        drawn = F.aggregate(F.sequence(F.lit(1), F.col(pieces)), F.lit(0).cast("long"), lambda acc, k: acc + copies(hash_unit(F.concat(F.lit(f"{seed}/"), k.cast("string")), text)))
+        often = rows.where(F.col(pieces) > 1).withColumn(n, drawn).drop(name, steps, pieces).where(F.col(n) > 0)
+        often = often.withColumn(run, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n), each))).repartition(F.col(f"`{key}`"), F.col(run))
+        numbers = F.sequence(F.col(run), F.least(F.col(n), F.col(run) + each - 1))
+        often = often.withColumn(number, F.explode(numbers.cast(f"array<{whole}>"))).drop(n, run)
+        out = out.unionByName(often)
+    out = out.withColumn(order, F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.col(number)))
+    out = out.repartition(order).sortWithinPartitions(order).drop(order)
     return out if copy else out.drop(number)

@@ -250,6 +250,42 @@ def test_mixing_meets_the_weights(spark):
     assert ids != sorted(ids)
 
 
+def test_mixing_at_any_rate(spark):
+    def unit(text):
+        return int(hashlib.md5(text.encode()).hexdigest()[:13], 16) / (1 << 52)
+
+    def poisson(rate, u):
+        p = total = math.exp(-rate)
+        k = 0
+        while total <= u:
+            k += 1
+            p *= rate / k
+            total += p
+        return k
+
+    rows = [(7, None, "x"), (8, None, "y")] + [(i, f"s{i % 19}", "z") for i in range(100, 28_000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    n = Counter(r[1] for r in rows)
+    rate = {name: len(rows) / (len(n) * k) for name, k in n.items()}
+    assert rate[None] > 690
+    want = {}
+    for i, name, _ in rows:
+        parts = max(1, math.ceil(rate[name] / 500))
+        want[i] = poisson(rate[name], unit(f"41:{i}")) if parts == 1 else sum(poisson(rate[name] / parts, unit(f"41/{k}:{i}")) for k in range(1, parts + 1))
+    per = defaultdict(list)
+    for r in mixing.mix_sources(df, copy="n").collect():
+        per[r["doc_id"]].append(r["n"])
+        assert r["source"] == (None if r["doc_id"] < 100 else f"s{r['doc_id'] % 19}")
+    assert {i: sorted(v) for i, v in per.items()} == {i: list(range(1, k + 1)) for i, k in want.items() if k}
+    assert abs(len(per[7]) - rate[None]) < 6 * rate[None] ** 0.5
+    for ratio in (3_000.0, 100_000.0):
+        few = mixing.mix_sources(spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, "b")], "doc_id long, source string"), ratio=ratio, copy="n")
+        got = {r["doc_id"]: r for r in few.groupBy("doc_id").agg(F.count("n").alias("k"), F.countDistinct("n").alias("d"), F.min("n").alias("low"), F.max("n").alias("high")).collect()}
+        for i in (1, 2, 3, 4):
+            mean = 2 * ratio / (1 if i == 1 else 3)
+            assert got[i]["k"] == got[i]["d"] == got[i]["high"] and got[i]["low"] == 1 and abs(got[i]["k"] - mean) < 6 * mean**0.5
+
+
 def test_poisson_steps(spark):
     for rate in (0.0, 0.3, 4.0, 90.0):
         got = spark.range(1).select(mixing.poisson_steps(F.lit(rate)).alias("c")).first()["c"]
