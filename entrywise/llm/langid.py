@@ -51,33 +51,48 @@ def normal(text: str) -> bytes:
 def learn_dictionaries(df: DataFrame, text: str = "text", lang: str = "lang", texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS, size: int = DICT_BYTES) -> dict[str, bytes]:
     """A raw-content dictionary for each language of the labelled rows.
 
-    The sample is chosen by a hash of the text, at most `texts` different texts
-    of a language, so it is the same whatever the partitioning and its size
-    doesn't grow with the input.
+    The sample has the `texts` different texts of a language with the smallest
+    hashes, so it is the same whatever the partitioning and the number of
+    copies, and its size doesn't grow with the input. Of each text, `chars`
+    characters from a hashed position are looked at, and each gets an equal part
+    of the dictionary; what short texts leave goes to the others.
     """
     rows = df.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang IS NOT NULL AND length(text) > 0")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.withColumn("h", F.xxhash64(F.lit(17), "text"))
+    # The number of different texts only says how many hashes to look at: three times as many as are wanted.
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("different")).collect()
+    counts = {r["lang"]: r["n"] for r in found}
     if not counts:
         return {}
-    unit = F.pmod(F.xxhash64(F.lit(17), "text"), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, 3.0 * texts / n))).otherwise(share)
+    unit = F.pmod(F.col("h"), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    share, room = F.lit(0.0), F.lit(chars)
+    for r in found:
+        # A position is left with twice the bytes of a text's part after it, as signs and spaces go.
+        room = F.when(F.col("lang") == r["lang"], F.lit(min(chars, 2 * size // max(1, min(texts, r["different"]))))).otherwise(room)
+        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 3.0 * texts / max(1, r["different"])))).otherwise(share)
+    start = F.pmod(F.xxhash64(F.lit(19), "text"), F.greatest(F.lit(1), F.length("text") - room + 1)).cast("int") + 1
     sample = (
-        rows.withColumn("h", unit).where(F.col("h") < share)
-        .groupBy("lang", "h").agg(F.min(F.substring("text", 1, chars)).alias("text"))
-        .withColumn("at", F.col("h") / share).orderBy("at", "lang").limit(4 * texts * len(counts)).collect()
+        rows.where(unit < share).select("lang", "h", (unit / share).alias("at"), F.substring("text", start, F.lit(chars)).alias("text")).distinct()
+        .orderBy("at", "lang", "h", "text").limit(4 * texts * len(counts)).collect()
     )
     out: dict[str, list[bytes]] = {}
     for r in sample:
         mine = out.setdefault(r["lang"], [])
         if len(mine) < texts:
             mine.append(normal(r["text"]))
-    made = {}
-    for name in sorted(out, key=lambda x: (-counts[x], x)):
-        each = max(64, size // len(out[name]))
-        made[name] = b" ".join(t[:each] if len(out[name]) * each >= size else t for t in out[name])[:size]
-    return made
+    return {name: b" ".join(_equal_parts(out[name], size - len(out[name]) + 1))[:size] for name in sorted(out, key=lambda x: (-counts[x], x))}
+
+
+def _equal_parts(parts: list[bytes], size: int) -> list[bytes]:
+    """The parts, cut at one length so that together they have `size` bytes at most."""
+    left, each = size, 0
+    lengths = sorted(map(len, parts))
+    for k, n in enumerate(lengths):
+        each = max(0, left) // (len(lengths) - k)
+        if n > each:
+            return [p[:each] for p in parts]
+        left -= n
+    return parts
 
 
 def _sizers(dictionaries: tuple[tuple[str, bytes], ...]) -> list:

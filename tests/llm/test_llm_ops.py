@@ -230,6 +230,18 @@ def test_language_accuracy_on_held_out(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in held) > 0.97 * len(held)
 
 
+def test_dictionaries_of_copies_and_long_texts(spark):
+    copied = spark.range(120_000, numPartitions=4).select(F.lit("xx").alias("lang"), F.concat(F.lit("mostly copies "), F.expr("substring('abc', cast(id % 3 as int) + 1, 1)")).alias("text"))
+    word = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(3))
+    long = [("yy", f"q{word(k)}z " * 350) for k in range(400)] + [("zz", "p" * 2048 + " " + f"q{word(k)}z " * 350) for k in range(400)]
+    learned = langid.learn_dictionaries(copied.unionByName(spark.createDataFrame(long, "lang string, text string")))
+    assert set(learned) == {"xx", "yy", "zz"} and all(f"mostly copies {c}".encode() in learned["xx"] for c in "abc")
+    assert len(set(re.findall(b"q[a-z]{3}z", learned["yy"]))) == 400 and 0.95 * langid.DICT_BYTES < len(learned["yy"]) <= langid.DICT_BYTES
+    assert len(set(re.findall(b"q[a-z]{3}z", learned["zz"]))) > 100
+    again = langid.learn_dictionaries(copied.unionByName(spark.createDataFrame(long * 2, "lang string, text string").repartition(7)))
+    assert again == learned
+
+
 def test_language_of_texts_without_letters(spark, odd):
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify_languages(odd, {"en": b"the one"}).collect()}
     assert got[1] == got[2] == got[3] == got[8] == "und" and got[4] == "en"
