@@ -133,8 +133,9 @@ def resample(df: DataFrame, target_keys: np.ndarray, keep: float, key: str = "do
     n, w = F.col(held)["n_ngrams"], F.col(held)["log_weight"]
     scored = scored.select(key, n.alias("n_ngrams"), w.alias("log_weight"), (w / n * temper + noise).alias("gumbel_key"))
     scored = materialize(scored.withColumn("q", F.round(F.col("gumbel_key") * _SCALE).cast("long")))
-    cut = kth_largest(scored, "q", int(round(keep * scored.count())))
-    keeps = F.col("q").isNotNull() if cut is None else F.col("q") >= cut
+    k = int(round(keep * scored.count()))
+    cut = kth_largest(scored, "q", k)
+    keeps = F.lit(False) if k <= 0 else F.col("q").isNotNull() if cut is None else F.col("q") >= cut
     return scored.withColumn("kept", F.coalesce(keeps, F.lit(False))).drop("q")
 
 

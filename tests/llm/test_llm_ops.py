@@ -120,6 +120,12 @@ def test_importance_prefers_the_target(spark, sf, docs):
     assert abs(got.where("kept").count() - round(share * got.count())) <= 2
 
 
+def test_importance_without_good_rows(spark, docs):
+    keys, share = importance.target_sample(spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, quality int"))
+    got = importance.resample(docs, keys, share)
+    assert got.count() == docs.count() and got.where("kept").count() == 0
+
+
 def test_importance_models_by_brute_force(spark):
     rows = [(1, "a b a"), (2, "b c"), (3, None)]
     raw, aim = importance.count_models(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", np.array([2]))
