@@ -11,25 +11,35 @@ def children(entries: DataFrame) -> DataFrame:
     return entries.where(F.col("parent_id").isNotNull()).groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("n_children"))
 
 
-def branch(entries: DataFrame, root_id, max_depth: int = 64) -> DataFrame:
+def branch(entries: DataFrame, root_id) -> DataFrame:
     """The entry and everything below it, level by level.
 
     Only directories are walked, so a level joins the next directories and not
     all entries; the files come with one join at the end. Levels are written to
-    the checkpoint folder, so the plan doesn't grow with the depth.
+    the checkpoint folder. The walk ends with an empty level, at any depth; an
+    entry that is met again, as in a cycle, isn't walked again.
     """
     directories = entries.where(F.col("type") == 0o040000).select("id", "parent_id")
-    level = entries.where(F.col("id") == root_id).select("id")
-    seen = level
-    for _ in range(max_depth):
-        level = keep(directories.join(level.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id"))
+    seen = level = entries.where(F.col("id") == root_id).select("id")
+    depth = 0
+    while True:
+        level = keep(directories.join(level.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id").join(seen, "id", "left_anti"))
         if level.isEmpty():
             break
-        seen = seen.unionAll(level)
-    below = entries.join(seen.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select(*entries.columns)
+        depth += 1
+        seen = _grown(seen.unionAll(level), depth)
+    below = entries.join(seen.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").where(F.col("id") != root_id).select(*entries.columns)
     return entries.where(F.col("id") == root_id).unionByName(below)
 
 
+#: Levels after which what was seen is written as one table, so that the plan doesn't grow with the depth.
+LEVELS_KEPT = 16
+
+
+def _grown(df: DataFrame, depth: int) -> DataFrame:
+    return keep(df) if depth % LEVELS_KEPT == 0 else df
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write to the shared checkpoint folder and cut the lineage."""
     import tempfile
@@ -47,21 +57,26 @@ def branch_by_path(entries: DataFrame, path: str) -> DataFrame:
     return entries.where((F.col("path") == path) | F.col("path").startswith(path.rstrip("/") + "/"))
 
 
-def derive_paths(entries: DataFrame, max_depth: int = 64) -> DataFrame:
+def derive_paths(entries: DataFrame) -> DataFrame:
     """(id, parent_id, name, path) of every link that is reachable from the root, from parents down.
 
     The directories' paths are found level by level; files take their parent's
-    path in one join.
+    path in one join. The walk ends with an empty level, at any depth; a
+    directory below itself, as in a cycle, isn't walked again.
     """
     directories = entries.where(F.col("type") == 0o040000).select("id", "parent_id", "name")
     root = entries.where(F.col("name") == "").select("id", "parent_id", "name", F.lit("/").alias("path"))
-    level = done = keep(root)
-    for _ in range(max_depth):
-        up = level.select(F.col("id").alias("parent_id"), F.col("path").alias("_up"))
-        level = keep(directories.join(up, "parent_id").select("id", "parent_id", "name", _join("_up").alias("path")))
+    level = keep(root.withColumn("_ids", F.array("id")))
+    done = level.drop("_ids")
+    depth = 0
+    while True:
+        up = level.select(F.col("id").alias("parent_id"), F.col("path").alias("_up"), "_ids")
+        level = directories.join(up, "parent_id").where(~F.coalesce(F.array_contains("_ids", F.col("id")), F.lit(False)))
+        level = keep(level.select("id", "parent_id", "name", _join("_up").alias("path"), F.concat(F.col("_ids"), F.array("id")).alias("_ids")))
         if level.isEmpty():
             break
-        done = done.unionAll(level)
+        depth += 1
+        done = _grown(done.unionAll(level.drop("_ids")), depth)
     up = done.select(F.col("id").alias("parent_id"), F.col("path").alias("_up"))
     files = entries.where(F.coalesce(F.col("type") != 0o040000, F.lit(True))).select("id", "parent_id", "name").join(up, "parent_id")
     return done.unionByName(files.select("id", "parent_id", "name", _join("_up").alias("path")))

@@ -227,3 +227,13 @@ def test_scan_and_sync(spark, tmp_path):
     assert mirror.links.count() == 4 and mirror.inodes.count() == 4
     with pytest.raises(UsageError):
         sync.projection(["-id"], frozenset({"id"}))
+
+
+def test_trees_of_any_depth(spark):
+    deep = 70
+    rows = [(1, 0, "", DIR)] + [(k, k - 1, "d", DIR) for k in range(2, deep + 2)] + [(900, deep + 1, "f", FILE), (500, 501, "a", DIR), (501, 500, "b", DIR), (502, 501, "g", FILE)]
+    e = spark.createDataFrame(rows, "id long, parent_id long, name string, type int").coalesce(1).withColumn("path", F.lit("?"))
+    assert sorted(r["id"] for r in tree.branch(e, 1).collect()) == [*range(1, deep + 2), 900]
+    assert sorted(r["id"] for r in tree.branch(e, 500).collect()) == [500, 501, 502]
+    fixed = {r["id"]: (r["path"], r["repaired"]) for r in tree.repair_paths(e).collect()}
+    assert fixed[900] == ("/d" * deep + "/f", True) and fixed[502] == ("?", False) and len(fixed) == len(rows)
