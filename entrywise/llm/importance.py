@@ -6,9 +6,9 @@ of the models. Adding Gumbel noise and keeping the k largest keys draws k texts
 without replacement in proportion to their weights; the noise comes from a hash
 of the row's key, so the draw is the same on every run and every cluster.
 
-Texts of very different lengths have log weights of very different sizes, so
-the key uses the mean log ratio of a text times `temper`, as if every text had
-that many n-grams.
+`temper` is off by default. With it the key uses the mean log ratio of a text
+times `temper`, as if every text had that many n-grams; rows are then no longer
+drawn in proportion to the ratio of the models.
 
 Defined results: a null or blank text has no n-grams, a null log weight and is
 never kept; rows equal to the k-th key are all kept (repeated rows tie); with no
@@ -31,7 +31,6 @@ BUCKETS = 10_000
 NGRAMS = (1, 2)
 #: At most so many labelled rows make the target model; they are chosen by hash.
 TARGET_ROWS = 20_000
-TEMPER = 400.0
 _SCALE = float(1 << 20)
 
 
@@ -124,19 +123,21 @@ def kth_largest(df: DataFrame, value: str, k: int) -> int | None:
     return int(low)
 
 
-def resample(df: DataFrame, target_keys: np.ndarray, keep: float, key: str = "doc_id", text: str = "text", temper: float = TEMPER, seed: int = 29, ngrams: tuple[int, ...] = NGRAMS, buckets: int = BUCKETS) -> DataFrame:
+def resample(df: DataFrame, target_keys: np.ndarray, keep: float, key: str = "doc_id", text: str = "text", temper: float | None = None, seed: int = 29, ngrams: tuple[int, ...] = NGRAMS, buckets: int = BUCKETS) -> DataFrame:
     """key, n_ngrams, log_weight, gumbel_key and kept for every row; the share `keep` of the rows is kept."""
     raw, aim = count_models(df, key, text, target_keys, ngrams, buckets)
     held = unused(df, "_dsir")
     scored = df.select(F.col(f"`{key}`").alias(key), weight_column(F.col(f"`{text}`"), log_ratio(raw, aim), ngrams).alias(held))
     noise = -F.log(-F.log((hash_unit(f"{seed}", F.col(f"`{key}`").cast("string")) + F.lit(2.0**-53))))
     n, w = F.col(held)["n_ngrams"], F.col(held)["log_weight"]
-    scored = scored.select(key, n.alias("n_ngrams"), w.alias("log_weight"), (w / n * temper + noise).alias("gumbel_key"))
-    scored = materialize(scored.withColumn("q", F.round(F.col("gumbel_key") * _SCALE).cast("long")))
+    exponent = w if temper is None else w / n * temper
+    scored = scored.select(key, n.alias("n_ngrams"), w.alias("log_weight"), (exponent + noise).alias("gumbel_key"))
+    rank = unused(scored, "_rank")
+    scored = materialize(scored.withColumn(rank, F.round(F.col("gumbel_key") * _SCALE).cast("long")))
     k = int(round(keep * scored.count()))
-    cut = kth_largest(scored, "q", k)
-    keeps = F.lit(False) if k <= 0 else F.col("q").isNotNull() if cut is None else F.col("q") >= cut
-    return scored.withColumn("kept", F.coalesce(keeps, F.lit(False))).drop("q")
+    cut = kth_largest(scored, rank, k)
+    keeps = F.lit(False) if k <= 0 else F.col(rank).isNotNull() if cut is None else F.col(rank) >= cut
+    return scored.withColumn("kept", F.coalesce(keeps, F.lit(False))).drop(rank)
 
 
 def target_sample(labels: DataFrame, key: str = "doc_id", good: str = "quality = 1", rows: int = TARGET_ROWS) -> tuple[np.ndarray, float]:

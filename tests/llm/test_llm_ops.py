@@ -134,6 +134,44 @@ def test_importance_models_by_brute_force(spark):
     assert ratio[aim > 0].min() > ratio[(raw > 0) & (aim == 0)].max()
 
 
+def test_importance_draw_by_brute_force(spark):
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choice("abcdefgH") for _ in range(rnd.randrange(25))) if i % 9 else None, "q") for i in range(120)]
+    keys, buckets = list(range(0, 120, 4)), importance.BUCKETS
+    df = spark.createDataFrame(rows, "doc_id long, text string, q string").repartition(5)
+
+    def grams(t):
+        data = np.frombuffer((t or "").translate(LOWER).encode(), np.uint8)
+        w = words(Block(0, 1, data, np.array([0, len(data)])))
+        roll = RollingHash(SpanHash(data)(w.start, w.end))
+        return [int(h >> np.uint64(32)) % buckets for n in (1, 2) for h in roll.windows(n)]
+
+    raw, aim = Counter(), Counter()
+    for i, t, _ in rows:
+        raw.update(grams(t))
+        aim.update(grams(t) if i in keys else [])
+    size, target = sum(raw.values()) + buckets, sum(aim.values()) + buckets
+    ratio = lambda b: math.log((aim[b] + buckets * (raw[b] + 1) / size) / target) - math.log((raw[b] + 1) / size)
+    got = {r["doc_id"]: r for r in importance.resample(df, np.array(keys), 0.25).collect()}
+    want = {}
+    for i, t, _ in rows:
+        g = grams(t)
+        unit = int(hashlib.md5(f"29:{i}".encode()).hexdigest()[:13], 16) / (1 << 52) + 2.0**-53
+        assert got[i]["n_ngrams"] == len(g)
+        if g:
+            want[i] = sum(map(ratio, g)) - math.log(-math.log(unit))
+            assert abs(got[i]["log_weight"] - sum(map(ratio, g))) < 1e-9 and abs(got[i]["gumbel_key"] - want[i]) < 1e-9
+        else:
+            assert got[i]["log_weight"] is None and got[i]["gumbel_key"] is None
+    assert {i for i in got if got[i]["kept"]} == set(sorted(want, key=want.get, reverse=True)[:30])
+
+
+def test_importance_keeps_all_ties_at_the_cut(spark):
+    df = spark.createDataFrame([(7, "a b c d")] * 5 + [(8, "x")] * 5, "doc_id long, text string")
+    kept = Counter(r["doc_id"] for r in importance.resample(df, np.array([7]), 0.3).where("kept").collect())
+    assert kept == {7: 5}
+
+
 @pytest.mark.parametrize("k", [1, 3, 10, 400])
 def test_kth_largest(spark, k):
     rnd = random.Random(k)
