@@ -9,15 +9,16 @@ prediction is marked as not accepted.
 
 Defined results: a null text, and one without letters, is `und` with score 0
 and not accepted; with no labelled text at all every text is `und`; ties go to
-the language with the most labelled rows; extra columns are kept.
+the language with the most labelled rows; extra columns are kept, but one that
+is called lang_pred, score or accepted is replaced. Every worker holds all
+dictionaries, so more than MOST_LANGUAGES labels are refused with an error.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ from .common import ship, unused
 SAMPLE_TEXTS = 400
 SAMPLE_CHARS = 2048
 DICT_BYTES = 96 << 10
+#: Languages that one classifier takes.
+MOST_LANGUAGES = 1_000
 #: Bytes of text compressed at a time.
 PIECE_BYTES = 2048
 #: Compressor settings: short matches count, and the search is a few steps deep.
@@ -37,7 +40,7 @@ MIN_MARGIN = 0.005
 #: The margin at which the score reaches one half.
 HALF_MARGIN = 0.05
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: ASCII characters other than letters say little about a language: they become spaces.
 _PLAIN = bytes(b if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _compressors: dict[tuple, list] = {}
@@ -60,7 +63,9 @@ def learn_dictionaries(df: DataFrame, text: str = "text", lang: str = "lang", te
     rows = df.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang IS NOT NULL AND length(text) > 0")
     rows = rows.withColumn("h", F.xxhash64(F.lit(17), "text"))
     # The number of different texts only says how many hashes to look at: three times as many as are wanted.
-    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("different")).collect()
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("different")).limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages in column {lang!r}")
     counts = {r["lang"]: r["n"] for r in found}
     if not counts:
         return {}
