@@ -8,7 +8,8 @@ broadcast. Shards get nearly equal numbers of slots, and adding or removing one
 moves few of the others' slots.
 
 Defined results: a null key is placed like an empty one; equal keys share a
-shard; extra columns are kept; columns called slot or shard are replaced.
+shard; extra columns are kept; columns called slot or shard are replaced; an
+empty table stays empty, and is written as an empty folder.
 """
 
 from __future__ import annotations
@@ -68,8 +69,18 @@ def assign_shards(df: DataFrame, shards: list[str], key: str = "doc_id", size: i
     return rows.join(F.broadcast(small), F.col("slot") == F.col(at), "left").withColumn("shard", F.col(name)).drop(at, name)
 
 
+def deal_shards(df: DataFrame, shards: list[str], key: str = "doc_id", size: int = TABLE_SIZE, files: int = 8) -> DataFrame:
+    """Whole rows with slot and shard, moved so that a shard's rows lie in at most `files` partitions.
+
+    No task holds a whole shard; rows without a key are dealt out by all their columns.
+    """
+    placed = assign_shards(df, shards, key, size)
+    plain = [f"`{c}`" for c, t in df.dtypes if "map" not in t]
+    own = F.xxhash64(F.col(f"`{key}`"))
+    spread = F.pmod(F.when(F.col(f"`{key}`").isNull(), F.xxhash64(*plain)).otherwise(own), F.lit(files))
+    return placed.repartition(F.col("shard"), spread)
+
+
 def write_shards(df: DataFrame, path: str, shards: list[str], key: str = "doc_id", size: int = TABLE_SIZE, files: int = 8) -> None:
-    """Write Parquet folders shard=<name>; rows of a shard are dealt over `files` files, so no task holds a whole shard."""
-    placed = assign_shards(df, shards, key, size).drop("slot")
-    spread = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(files))
-    placed.repartition(F.col("shard"), spread).write.partitionBy("shard").mode("overwrite").parquet(path)
+    """Write Parquet folders shard=<name> of `files` files at most."""
+    deal_shards(df, shards, key, size, files).drop("slot").write.partitionBy("shard").mode("overwrite").parquet(path)

@@ -52,8 +52,8 @@ def shards(names: list[str], size: int = TABLE_SIZE) -> str:
     listed = ", ".join(f"'{x}'" for x in names)
     return f"""
     WITH lut AS (SELECT unnest(string_split('{table}', ','))::INT AS k, unnest(range({size}))::INT AS slot),
-    d AS (SELECT doc_id, source, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {size})::INT AS slot FROM documents)
-    SELECT doc_id, source, slot, ([{listed}])[k + 1] AS shard FROM d JOIN lut USING (slot)"""
+    d AS (SELECT *, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {size})::INT AS slot FROM documents)
+    SELECT d.*, ([{listed}])[k + 1] AS shard FROM d JOIN lut USING (slot)"""
 
 
 def mixing(seed: int = 41) -> str:

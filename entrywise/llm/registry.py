@@ -35,7 +35,7 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maglev.assign_shards(documents(spark, sf_dir).select("doc_id", "source"), SHARDS)
+    return maglev.deal_shards(documents(spark, sf_dir), SHARDS)
 
 
 def held_out() -> F.Column:
