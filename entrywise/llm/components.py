@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every vertex of the edges; component is the smallest vertex reachable."""
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) for every vertex of the edges; component is the smallest vertex reachable.
+
+    The rounds end when the edges no longer change, however many that takes.
+    Loops and edges with a null end are left out; an empty table has no vertices.
+    """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     e = materialize(e)
     state = None
-    for _ in range(max_rounds):
+    while True:
         new = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state:
             break
