@@ -10,7 +10,9 @@ do; the pieces of such rows are dealt out before they become copies.
 
 Defined results: a null source is a source of its own; a source without a
 target weight gets none of the output; rows with equal keys get equal numbers
-of copies; extra columns are kept; an empty table stays empty.
+of copies; a row without a key draws by a hash of all its columns, so such rows
+neither share one number nor land in one partition; extra columns are kept, but
+one that has the name given as `copy` is replaced; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -28,9 +30,17 @@ PIECE_RATE = 500.0
 LARGEST_INT = 2e9
 
 
-def rates(df: DataFrame, weights: dict[str | None, float] | None, source: str = "source", ratio: float = 1.0) -> DataFrame:
-    """(source, rate) for each source; no weights: all sources alike. ratio: output rows for an input row."""
+def counted(df: DataFrame, source: str, most: int) -> tuple[DataFrame, bool]:
+    """(source, n) for each source, and whether they are few; the counts of few sources are kept, so the rows are counted once."""
     counts = df.groupBy(F.col(f"`{source}`").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    first = counts.limit(most + 1).collect()
+    if len(first) > most:
+        return counts, False
+    return df.sparkSession.createDataFrame(first, counts.schema), True
+
+
+def rates(counts: DataFrame, weights: dict[str | None, float] | None, ratio: float = 1.0) -> DataFrame:
+    """(source, rate) for each counted source; no weights: all sources alike. ratio: output rows for an input row."""
     if weights is None:
         weighed = counts.withColumn("w", F.lit(1.0))
     else:
@@ -54,16 +64,18 @@ def poisson_steps(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["steps"])
 
 
-def mix_sources(df: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", key: str = "doc_id", ratio: float = 1.0, seed: int = 41, copy: str | None = None) -> DataFrame:
+def mix_sources(df: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", key: str = "doc_id", ratio: float = 1.0, seed: int = 41, copy: str | None = None, broadcast: int = BROADCAST_SOURCES) -> DataFrame:
     """Copies of the rows, shuffled; `copy` names a column for the number of the copy, from 1."""
-    rate = rates(df, weights, source, ratio)
-    few = rate.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    counts, few = counted(df, source, broadcast)
+    rate = rates(counts, weights, ratio)
     top = rate.agg(F.max("rate")).first()[0] or 0.0
     name, steps, pieces, n, run, order = (unused(df, x) for x in ("_src", "_steps", "_pieces", "_copies", "_run", "_order"))
     number = copy or unused(df, "_copy")
+    df = df.drop(number)
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(PIECE_RATE)).cast("int"))
     table = rate.select(F.col("source").alias(name), poisson_steps(F.col("rate") / parts).alias(steps), parts.alias(pieces))
-    text = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
+    plain = [f"`{c}`" for c, t in df.dtypes if "map" not in t]
+    text = F.coalesce(F.col(f"`{key}`").cast("string"), F.xxhash64(F.lit("no key"), *plain).cast("string"))
 
     def copies(drawn: Column) -> Column:
         return F.size(F.filter(F.col(steps), lambda c: c <= drawn))
@@ -78,10 +90,10 @@ def mix_sources(df: DataFrame, weights: dict[str | None, float] | None = None, s
         each = F.lit(int(PIECE_RATE)).cast("long")
         drawn = F.aggregate(F.sequence(F.lit(1), F.col(pieces)), F.lit(0).cast("long"), lambda acc, k: acc + copies(hash_unit(F.concat(F.lit(f"{seed}/"), k.cast("string")), text)))
         often = rows.where(F.col(pieces) > 1).withColumn(n, drawn).drop(name, steps, pieces).where(F.col(n) > 0)
-        often = often.withColumn(run, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n), each))).repartition(F.col(f"`{key}`"), F.col(run))
+        often = often.withColumn(run, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n), each))).repartition(text, F.col(run))
         numbers = F.sequence(F.col(run), F.least(F.col(n), F.col(run) + each - 1))
         often = often.withColumn(number, F.explode(numbers.cast(f"array<{whole}>"))).drop(n, run)
         out = out.unionByName(often)
-    out = out.withColumn(order, F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.col(number)))
+    out = out.withColumn(order, F.xxhash64(F.lit(seed), text, F.col(number)))
     out = out.repartition(order).sortWithinPartitions(order).drop(order)
     return out if copy else out.drop(number)
