@@ -8,8 +8,10 @@ of distinct shingles, all exact while a set has fewer than k shingles.
 Defined results: a null or wordless text has an empty fingerprint; a text with
 fewer words than a shingle is one shingle; two empty fingerprints resemble each
 other fully, an empty and another not at all; equal texts have equal
-fingerprints. In `with_edited`, rows with a null key follow one another and the
-last of them has no next document; rows with equal keys are ordered by text.
+fingerprints. In `with_edited` a row with a null key has no next document, so
+what its edited text loses isn't replaced; rows with equal keys are ordered by
+text and follow one another. `merge_all` gives every group a fingerprint, an
+empty one where all its texts are null or wordless. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,11 +21,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import unused
+
 SIZE = 128
 SHINGLE = 5
-#: Buckets of consecutive keys, in which the next document is found; their table of firsts is broadcast.
-MOST_BUCKETS = 65_536
-BUCKET_ROWS = 64
+#: Ranges of consecutive keys, in which the next document is found; their table of firsts is broadcast.
+MOST_RANGES = 65_536
+RANGE_ROWS = 64
+#: Parts that rows without a key are dealt into.
+KEYLESS = 4_096
 _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 
 
@@ -63,9 +69,10 @@ def merge_all(df: DataFrame, by: list[str], sketch: str = "sketch", size: int =
 
     Groups are first reduced within salts, then over them; each step keeps `size` hashes.
     """
-    h = df.select(*by, F.explode(sketch).alias("_h"), F.pmod(F.hash(sketch), F.lit(64)).alias("_salt")).distinct()
-    some = h.groupBy(*by, "_salt").agg(F.slice(F.sort_array(F.collect_set("_h")), 1, size).alias("_s"))
-    return some.groupBy(*by).agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("_s")))), 1, size).alias(sketch))
+    one, salt, some = (unused(df, c) for c in ("_hash", "_salt", "_some"))
+    h = df.select(*by, F.explode_outer(sketch).alias(one), F.pmod(F.hash(sketch), F.lit(64)).alias(salt)).distinct()
+    parts = h.groupBy(*by, salt).agg(F.slice(F.sort_array(F.collect_set(one)), 1, size).alias(some))
+    return parts.groupBy(*by).agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list(some)))), 1, size).alias(sketch))
 
 
 def resemblance(a: Column, b: Column, size: int = SIZE) -> Column:
@@ -98,29 +105,48 @@ def from_text(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(at, lambda x: F.shiftleft(high(x), 32).bitwiseOR(low(x))))
 
 
+def _range_of(key: Column, bounds: list[int]) -> Column:
+    """The number of bounds at or below the key, by binary search in a constant array."""
+    table = F.lit(bounds) if bounds else F.array().cast("array<bigint>")
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.shiftright(acc["low"] + acc["high"], 1)
+        up = F.get(table, middle) <= key
+        open_ = acc["low"] < acc["high"]
+        return F.struct(F.when(open_ & up, middle + 1).otherwise(acc["low"]).alias("low"), F.when(open_ & ~up, middle).otherwise(acc["high"]).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), start, halve, lambda acc: acc["low"])
+
+
 def with_next(df: DataFrame, key: str, *columns: str) -> DataFrame:
     """Each row with next_<column> of the row with the next larger key; the last row gets the first's.
 
-    Keys are cut into ranges of equal width. A range's first row is also sent to
-    the range before it, so one exchange by range, of any number of rows, and a
-    window inside each range are enough.
+    Keys are cut into ranges at quantiles, so outliers and gaps make no range
+    large. A range's first row is also sent to the range before it, so one
+    exchange by range, of any number of rows, and a window inside each range are
+    enough. Rows with a null key have no next row.
     """
-    low, high, n = df.agg(F.min(key), F.max(key), F.count(key)).first()
-    if n == 0:
-        low, high = 0, 0
-    ranges = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
-    width = (high - low) // ranges + 1
-    at = F.coalesce(F.floor((F.col(key) - F.lit(low)) / F.lit(width)).cast("int"), F.lit(-1))
-    firsts = df.where(F.col(key).isNotNull()).groupBy(at.alias("_at")).agg(F.min(key).alias("_first"))  # at most MOST_BUCKETS rows
-    w = Window.orderBy("_at")
-    firsts = firsts.select("_first", F.lag("_at").over(w).alias("_before"), F.max("_at").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_last"))
-    firsts = firsts.select("_first", F.coalesce("_before", "_last").alias("_before"), F.when(F.col("_before").isNull(), 2).otherwise(1).alias("_guest"))
-    rows = df.withColumn("_at", at).join(F.broadcast(firsts), F.col(key) == F.col("_first"), "left")
-    home = F.struct(F.col("_at").alias("at"), F.lit(0).alias("guest"))
-    rows = rows.withColumn("_to", F.explode(F.when(F.col("_first").isNull(), F.array(home)).otherwise(F.array(home, F.struct(F.col("_before").alias("at"), F.col("_guest").alias("guest"))))))
-    w = Window.partitionBy("_to.at").orderBy("_to.guest", key, *columns[:1])
-    rows = rows.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns})
-    return rows.where("_to.guest = 0").drop("_at", "_first", "_before", "_guest", "_to")
+    keyed = df.where(F.col(key).isNotNull())
+    n = keyed.count()
+    ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS))
+    cuts = [k / ranges for k in range(1, ranges)]
+    accuracy = min(6 * ranges + 100, 400_000)
+    bounds = sorted(set(keyed.agg(F.percentile_approx(key, F.lit(cuts), F.lit(accuracy))).first()[0] or [])) if cuts else []
+    at_, first_, before_, guest_, to_ = (unused(df, c) for c in ("_at", "_first", "_before", "_guest", "_to"))
+    at = F.when(F.col(key).isNotNull(), _range_of(F.col(key), bounds)).otherwise(-1 - F.pmod(F.xxhash64(*columns), F.lit(KEYLESS)).cast("int"))
+    rows = df.withColumn(at_, at)
+    firsts = rows.where(F.col(key).isNotNull()).groupBy(at_).agg(F.min(key).alias(first_))  # at most MOST_RANGES rows
+    w = Window.orderBy(at_)
+    firsts = firsts.select(first_, F.lag(at_).over(w).alias(before_), F.max(at_).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_last"))
+    firsts = firsts.select(first_, F.coalesce(before_, "_last").alias(before_), F.when(F.col(before_).isNull(), 2).otherwise(1).alias(guest_))
+    rows = rows.join(F.broadcast(firsts), F.col(key) == F.col(first_), "left")
+    home = F.struct(F.col(at_).alias("at"), F.lit(0).alias("guest"))
+    away = F.struct(F.col(before_).alias("at"), F.col(guest_).alias("guest"))
+    rows = rows.withColumn(to_, F.explode(F.when(F.col(first_).isNull(), F.array(home)).otherwise(F.array(home, away))))
+    w = Window.partitionBy(f"{to_}.at").orderBy(f"{to_}.guest", key, *columns[:1])
+    rows = rows.withColumns({f"next_{c}": F.when(F.col(key).isNotNull(), F.lead(c).over(w)) for c in columns})
+    return rows.where(f"{to_}.guest = 0").drop(at_, first_, before_, guest_, to_)
 
 
 def with_edited(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, k: int = SHINGLE) -> DataFrame:
