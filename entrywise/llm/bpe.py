@@ -10,7 +10,9 @@ the ids. Pieces repeat a lot, so their encodings are kept in a bounded table.
 
 Defined results: a null text is an empty text and has no ids; special tokens of
 the vocabulary file that occur in a text become their ids, as the tokenizers
-library does; ill-formed sequences decode to U+FFFD.
+library does; ill-formed sequences decode to U+FFFD. A vocabulary file with a
+normalizer, another pre-tokenizer or stripping special tokens is refused.
+`add_tokens` replaces a column with the name of its output.
 """
 
 from __future__ import annotations
@@ -32,10 +34,42 @@ from .common import ship, unused
 #: The pattern that cuts text into pieces before any merge.
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _RUN = regex.compile(r"\s\s")
-#: Entries of a worker's tables; a full table is emptied.
+#: Entries of a worker's tables of pieces and pairs.
 TABLE_SIZE = 300_000
 
 
+class Recent:
+    """A table of at most TABLE_SIZE entries that keeps what is used: when half of it is new, what wasn't asked for since the last time goes."""
+
+    def __init__(self, size: int = TABLE_SIZE):
+        self.half, self.new, self.old = size // 2, {}, {}
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.half:
+            self.new, self.old = {}, self.new
+        self.new[key] = value
+
+    def get(self, key):
+        got = self.new.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is not None:
+                self.put(key, got)
+        return got
+
+
+def check_supported(spec: dict) -> None:
+    """Refuse a vocabulary file that asks for more than byte-level BPE without changes to the text."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [k for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "dropout", "byte_fallback", "ignore_merges") if model.get(k)]
+    wrong += ["normalizer"] if spec.get("normalizer") else []
+    wrong += ["model"] if model.get("type", "BPE") != "BPE" else []
+    wrong += ["pre_tokenizer"] if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) else []
+    wrong += sorted({k for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized") if t.get(k)})
+    if wrong:
+        raise ValueError(f"not supported in a vocabulary file: {', '.join(wrong)}")
+
+
 def byte_letters() -> dict[str, int]:
     """The printable letter that byte-level vocabularies write for each byte."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -49,6 +83,7 @@ class Codec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_supported(spec)
         letters = byte_letters()
         vocab = spec["model"]["vocab"]
         size = max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1
@@ -71,9 +106,8 @@ class Codec:
         for i in vocab.values():
             self.automaton.add_word(self.bytes_of[i].decode("latin-1"), i)
         self.automaton.make_automaton()
-        self._compatible: dict[int, bool] = {}
-        self._pieces: dict[str, bytes] = {}
-        self._chunks: dict[str, bytes] = {}
+        self._compatible = Recent(2 * TABLE_SIZE)
+        self._pieces, self._chunks = Recent(), Recent()
         self._split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def compatible(self, left: int, right: int) -> bool:
@@ -99,9 +133,7 @@ class Codec:
                 a, a_ends = pa_[1], pa_[2]
             else:
                 b, b_ends = pb_[0], pb_[2]
-        if len(self._compatible) >= 2 * TABLE_SIZE:
-            self._compatible.clear()
-        self._compatible[key] = fits
+        self._compatible.put(key, fits)
         return fits
 
     def encode_piece(self, piece: str) -> list[int]:
@@ -136,9 +168,7 @@ class Codec:
             ids = self.encode_piece(raw)
             got = struct.pack(f"<{len(ids)}I", *ids)
             if len(piece) <= 64:
-                if len(self._pieces) >= TABLE_SIZE:
-                    self._pieces.clear()
-                self._pieces[piece] = got
+                self._pieces.put(piece, got)
         return got
 
     def _plain(self, text: str) -> bytes:
@@ -148,17 +178,19 @@ class Codec:
             return b"".join(map(piece, PIECES.findall(text)))
         # Without two white space characters in a row no piece reaches over a space, and what follows a space depends on nothing before it.
         chunks = self._chunks
+        known = chunks.new.get
         out = []
         parts = text.split(" ")
         for k, part in enumerate(parts):
             chunk = " " + part if k else part
-            got = chunks.get(chunk)
+            got = known(chunk)
             if got is None:
-                got = b"".join(map(piece, PIECES.findall(chunk)))
-                if len(chunk) <= 32:
-                    if len(chunks) >= TABLE_SIZE:
-                        chunks.clear()
-                    chunks[chunk] = got
+                got = chunks.get(chunk)
+                if got is None:
+                    got = b"".join(map(piece, PIECES.findall(chunk)))
+                    if len(chunk) <= 32:
+                        chunks.put(chunk, got)
+                known = chunks.new.get
             out.append(got)
         return b"".join(out)
 
