@@ -11,12 +11,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; set one only where none is set (tests)."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="entrywise-ckpt-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; where none is set, a temporary one on a local master, else an error."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if base is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="entrywise-ckpt-"))
+        base = sc.getCheckpointDir()
+    return base.rstrip("/")
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables when the application ends: lazy results may read it until then."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
+def delete_now(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
@@ -42,10 +57,9 @@ def ship(spark: SparkSession) -> None:
 def materialize(df: DataFrame) -> DataFrame:
     """Write a DataFrame as a table in the shared checkpoint folder and read it back: lineage is cut and nothing is computed twice."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/entrywise/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/entrywise/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -263,6 +263,11 @@ def test_shards_on_disk(spark, docs, tmp_path):
     maglev.write_shards(docs, str(tmp_path / "s"), ["a", "b", "c"], size=101)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == docs.count() and set(back.columns) == {*docs.columns, "shard"}
+    keyless = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    dealt = maglev.deal_shards(keyless, ["a", "b", "c"], size=101, files=4)
+    assert dealt.select("shard").distinct().count() == 1 and dealt.select("text").exceptAll(docs.select("text")).count() == 0
+    assert dealt.where("slot IS NULL OR shard IS NULL").count() == 0 and set(dealt.columns) == {*docs.columns, "slot", "shard"}
+    assert maglev.deal_shards(docs.limit(0), ["a"], size=13).count() == 0
 
 
 def test_language_accuracy_on_held_out(spark):
@@ -289,6 +294,27 @@ def test_dictionaries_of_copies_and_long_texts(spark):
 def test_language_of_texts_without_letters(spark, odd):
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify_languages(odd, {"en": b"the one"}).collect()}
     assert got[1] == got[2] == got[3] == got[8] == "und" and got[4] == "en"
+    signs = spark.createDataFrame(list(enumerate(["²", "½ ³", "Ⅷ", "①", "_", "٣", "ª", "日", "é"])), "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify_languages(signs, {"en": b"the one"}).collect()} == {**dict.fromkeys(range(6), "und"), 6: "en", 7: "en", 8: "en"}
+
+
+def test_languages_against_a_plain_loop(spark, docs):
+    import zstandard
+
+    learned = langid.learn_dictionaries(docs)
+    params = zstandard.ZstdCompressionParameters(**langid.SETTINGS, write_checksum=False, write_content_size=False, write_dict_id=False)
+    tie = {"b": b"one two three", "a": b"one two three"}
+    for dictionaries in (learned, tie):
+        found = langid.identify_languages(docs, dictionaries).select("text", "lang_pred", "score", "accepted").collect()
+        for r in found[:120]:
+            plain = " ".join(re.sub("[\\x00-\\x40\\x5b-\\x60\\x7b-\\x7f]", " ", (r["text"] or "").lower()).split()).encode() if any(c.isalpha() for c in r["text"] or "") else None
+            if plain is None:
+                assert (r["lang_pred"], r["score"], r["accepted"]) == ("und", 0, False)
+                continue
+            total = {n: sum(len(zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(plain[i : i + 2048])) for i in range(0, max(1, len(plain)), 2048)) for n, d in dictionaries.items()}
+            best = min(total, key=total.get)
+            margin = 1 - total[best] / min(v for n, v in total.items() if n != best)
+            assert r["lang_pred"] == best and abs(r["score"] - margin / (margin + langid.HALF_MARGIN)) < 1e-12 and r["accepted"] == (margin >= langid.MIN_MARGIN)
 
 
 def test_mixing_meets_the_weights(spark):
@@ -342,6 +368,16 @@ def test_mixing_at_any_rate(spark):
             assert got[i]["k"] == got[i]["d"] == got[i]["high"] and got[i]["low"] == 1 and abs(got[i]["k"] - mean) < 6 * mean**0.5
 
 
+def test_mixing_of_rows_without_key_and_of_many_sources(spark):
+    df = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), (F.col("id") % 3).cast("string").alias("source"), F.col("id").cast("string").alias("text"), F.lit(9).alias("n"))
+    out = mixing.mix_sources(df, {"0": 1, "1": 1}, copy="n")
+    per = Counter(r["text"] for r in out.collect())
+    assert {1, 2, 3} <= set(per.values()) and abs(sum(per.values()) - 6000) < 400 and out.columns == ["doc_id", "source", "text", "n"]
+    keyed = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("source"))
+    few, many = (Counter(r["doc_id"] for r in mixing.mix_sources(keyed, {"hot": 1, "3": 1}, broadcast=b).collect()) for b in (10_000, 5))
+    assert few == many and few[3] > 1000
+
+
 def test_poisson_steps(spark):
     for rate in (0.0, 0.3, 4.0, 90.0):
         got = spark.range(1).select(mixing.poisson_steps(F.lit(rate)).alias("c")).first()["c"]
@@ -413,6 +449,29 @@ def test_next_document(spark, ids):
     assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1])}
 
 
+def test_next_document_with_outliers_and_null_keys(spark):
+    df = spark.range(5000).select(F.when(F.col("id") < 4999, F.col("id")).otherwise(F.lit(10**12)).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    df = df.unionByName(spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("n"), "id").alias("text")))
+    out = fingerprint.with_next(df.withColumn("_at", F.lit(1)), "doc_id", "text")
+    got = {r["text"]: r["next_text"] for r in out.collect()}
+    assert got == {**{str(k): str((k + 1) % 5000) for k in range(5000)}, **{f"n{k}": None for k in range(3000)}} and out.columns == ["doc_id", "text", "_at", "next_text"]
+    bounds = [3, 3 + 64, 10**12]
+    at = spark.createDataFrame([(k,) for k in (-5, 2, 3, 66, 67, 10**12, 10**13)], "k long").select(fingerprint._range_of(F.col("k"), bounds).alias("r"))
+    assert [r["r"] for r in at.collect()] == [0, 0, 1, 1, 2, 3, 3]
+    twice = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "doc_id long, text string")
+    assert {r["text"]: r["next_text"] for r in fingerprint.with_next(twice, "doc_id", "text").collect()} == {"a": "b", "b": "c", "c": "a"}
+
+
+def test_merge_keeps_empty_groups_and_containment_counts(spark):
+    long, part = " ".join(f"a{k}" for k in range(900)), " ".join(f"a{k}" for k in range(450))
+    df = spark.createDataFrame([(1, "x y"), (2, None), (3, "  "), (None, "z"), (4, long), (4, None)], "_salt int, text string").withColumn("sketch", fingerprint.fingerprint(F.col("text")))
+    got = {r["_salt"]: r["sketch"] for r in fingerprint.merge_all(df, ["_salt"]).collect()}
+    assert set(got) == {1, 2, 3, 4, None} and got[2] == got[3] == [] and len(got[1]) == len(got[None]) == 1 and len(got[4]) == fingerprint.SIZE
+    a, b = (fingerprint.fingerprint(F.lit(t)) for t in (long, part))
+    r = spark.range(1).select(fingerprint.containment(b, a).alias("in_"), fingerprint.containment(a, b).alias("half"), fingerprint.distinct_shingles(a).alias("n")).first()
+    assert r["in_"] > 0.75 and abs(r["half"] - 0.5) < 0.15 and abs(r["n"] - 896) < 250
+
+
 def test_sketches_merge(spark):
     a, b = " ".join(f"a{k}" for k in range(300)), " ".join(f"a{k}" for k in range(150, 500))
     df = spark.createDataFrame([(1, a), (1, b)], "g int, text string").select("g", fingerprint.fingerprint(F.col("text")).alias("sketch"), "text")
@@ -492,6 +551,22 @@ def test_every_license_rule_is_searched(spark):
         assert got[i]["score"] > 0 and got[i]["n_found"] > 0, t
 
 
+def test_bpe_tables_stay_bounded_and_files_are_checked(monkeypatch):
+    import json
+
+    table = bpe.Recent(8)
+    for k in range(100):
+        table.put(k, bytes([k]))
+        assert table.get(0) == b"\0" and len(table.new) + len(table.old) <= 8
+    assert table.get(99) == b"c" and table.get(50) is None
+    spec = json.load(open(registry.tokenizer_path()))
+    bpe.check_supported(spec)
+    changes = [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": None}, {"added_tokens": [{"id": 1, "content": "x", "lstrip": True}]}, {"model": {**spec["model"], "unk_token": "?"}}]
+    for change in changes:
+        with pytest.raises(ValueError):
+            bpe.check_supported({**spec, **change})
+
+
 def test_bpe_equals_the_library(spark, docs):
     from tokenizers import Tokenizer
 
