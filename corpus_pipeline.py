@@ -7,12 +7,11 @@ stage; an empty table passes all stages as an empty table.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from entrywise.llm import bpe, langid, mixing, neardup, registry, repetition
+from entrywise.llm import bpe, common, langid, mixing, neardup, registry, repetition
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +41,10 @@ ORACLE_SQL = None
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint folder; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="entrywise-")
-    return f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """A new folder in the cluster's shared checkpoint folder; it goes with the application."""
+    path = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    common.delete_at_end(spark, path)
+    return path
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,4 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            common.delete_now(spark, f"{folder}/{k - 1}")
     return docs

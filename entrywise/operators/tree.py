@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.folders import shared_folder
+
 
 def children(entries: DataFrame) -> DataFrame:
     """(id, n_children) of every directory that has children."""
@@ -42,11 +44,7 @@ def _grown(df: DataFrame, depth: int) -> DataFrame:
 
 def keep(df: DataFrame) -> DataFrame:
     """Write to the shared checkpoint folder and cut the lineage."""
-    import tempfile
-
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="entrywise-ckpt-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

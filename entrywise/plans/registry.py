@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import maintenance, policy, tree
 from ..sources import adapter, config, sync
+from ..sources.folders import shared_folder
 from ..streaming import changelog, fold, stream
 from . import find as finder
 from . import report as reporter
@@ -564,8 +564,7 @@ def fold_two_batches(spark, sf_dir):
 @query(_XATTRS)
 def stream_xattrs(spark, sf_dir):
     """The same fold by a stream of three micro-batches into a store of snapshots."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="entrywise-stream-")
-    folder = f"{base.rstrip('/')}/stream-{abs(hash((sf_dir, id(spark)))) % 10**9}-{next(_counter)}"
+    folder = f"{shared_folder(spark)}/stream-{abs(hash((sf_dir, id(spark)))) % 10**9}-{next(_counter)}"
     ev = adapter.events(spark, sf_dir)
     low, high = ev.agg(F.min("seq"), F.max("seq")).first()
     for k in range(3):  # in order of seq, as files are read in order of their time stamps
