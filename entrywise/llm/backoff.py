@@ -1,13 +1,16 @@
 """Stupid-backoff language-model scores of a corpus under its own n-gram counts.
 
-The texts are packed once into chunks of a few megabytes, written to the shared
-checkpoint folder. Each chunk lists its distinct n-grams of all orders, as hash
-values with counts, cut by hash into parts; the parts are the count tables,
-partitioned by hash. A part adds up the counts over all chunks and answers each
-chunk's list in its order; the chunk joins the answers to its exploded n-grams
-and sums the scores of each text. A frequent n-gram is one entry of a chunk's
-list however often it occurs, so no part is hot, and what travels grows with
-the corpus and not with the frequency of a word.
+Texts are dealt out in chunks of a few megabytes. Each chunk explodes its texts
+into n-grams of all orders and lists the distinct ones with their counts, by
+64-bit hash, cut by the hash into parts. The parts are the count tables: grouped
+by part, the lists are added up and every list gets its totals. Grouped again
+by chunk, the totals are joined to the chunk's n-grams and the scores of each
+text are summed.
+
+A frequent n-gram is one entry of a chunk's list however often it occurs, so no
+part is hot, and what travels grows with the corpus and not with the frequency
+of a word. Lists are sorted and stored as differences; a row for each n-gram
+would take more disk than the corpus allows (README).
 
     S(w | u v) = c(u v w) / c(u v)        if c(u v w) >= min_count
                = alpha * S(w | v)         else, and so on down to
@@ -29,16 +32,59 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import ship
 from .textops import LOWER, Block, RollingHash, SpanHash, blocks, words
 
 CHUNK_BYTES = 4 << 20
-#: Bytes of text for each part of the count tables, and the fewest parts.
+#: Bytes of text for each part of the count tables, the fewest parts, and bytes of text for each task that scores.
 PART_BYTES = 16 << 20
-FEWEST_PARTS = 256
+FEWEST_PARTS = 64
+TASK_BYTES = 32 << 20
 ALPHA = 0.4
-_KEY_BITS = 48
+#: Bits of a listed hash that are stored as they are; the others are stored as differences.
+_LOW_BITS = 40
 _U = np.uint64
+_zip = zstandard.ZstdCompressor(level=1).compress
+_unzip = zstandard.ZstdDecompressor().decompress
+
+
+def seal(zipped: np.ndarray, plain: bytes) -> bytes:
+    """Compressed numbers (their first bytes, then their second bytes, ...), then plain bytes."""
+    body = _zip(np.ascontiguousarray(zipped.view(np.uint8).reshape(len(zipped), -1).T).tobytes())
+    return len(body).to_bytes(4, "little") + body + plain
+
+
+def unseal(sealed: bytes, kind: str) -> tuple[np.ndarray, bytes]:
+    end = 4 + int.from_bytes(sealed[:4], "little")
+    planes = np.frombuffer(_unzip(sealed[4:end]), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind), sealed[end:]
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys."""
+    high = keys >> _U(_LOW_BITS)
+    step = np.diff(high, prepend=_U(0)).astype("<u4")
+    low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _LOW_BITS // 8]
+    return seal(step, np.ascontiguousarray(low).tobytes())
+
+
+def unpack_keys(sealed: bytes) -> np.ndarray:
+    step, plain = unseal(sealed, "<u4")
+    out = np.zeros((len(step), 8), np.uint8)
+    out[:, : _LOW_BITS // 8] = np.frombuffer(plain, np.uint8).reshape(len(step), -1)
+    return out.reshape(-1).view("<u8") | np.cumsum(step, dtype=_U) << _U(_LOW_BITS)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts, of which most are small."""
+    return seal(np.minimum(counts, 255).astype("u1"), counts[counts >= 255].astype("<i8").tobytes())
+
+
+def unpack_counts(sealed: bytes) -> np.ndarray:
+    small, plain = unseal(sealed, "u1")
+    out = small.astype(np.int64)
+    out[small == 255] = np.frombuffer(plain, "<i8")
+    return out
 
 
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,10 +98,7 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nulls = np.concatenate([k.is_null().to_numpy(zero_copy_only=False) for k in keys])
         ids = np.concatenate([k.fill_null(0).to_numpy() for k in keys])
         head = ids.astype("<i8").tobytes() + nulls.astype("u1").tobytes() + np.concatenate(sizes).astype("<i8").tobytes()
-        text = np.concatenate(data)
-        offs = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
-        n_words = len(words(Block(0, len(ids), text, offs)).start)
-        return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([len(ids)]), pa.array([len(text)]), pa.array([n_words]), pa.array([zip_(head)], pa.binary()), pa.array([zip_(text.tobytes())], pa.binary())], ["chunk", "n_texts", "n_bytes", "n_words", "head", "body"])
+        return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([len(ids)]), pa.array([zip_(head)], pa.binary()), pa.array([zip_(np.concatenate(data).tobytes())], pa.binary())], ["chunk", "n_texts", "head", "body"])
 
     for batch in batches:
         for b in blocks(batch.column(1), CHUNK_BYTES):
@@ -72,11 +115,10 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def unpack(n: int, head: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, Block]:
-    unzip = zstandard.ZstdDecompressor().decompress
-    h = unzip(head)
+    h = _unzip(head)
     ids, nulls, sizes = np.frombuffer(h, "<i8", n), np.frombuffer(h, "u1", n, 8 * n), np.frombuffer(h, "<i8", n, 9 * n)
     offs = np.concatenate(([0], np.cumsum(sizes)))
-    return ids, nulls.astype(bool), Block(0, n, np.frombuffer(unzip(body), np.uint8) if offs[-1] else np.zeros(0, np.uint8), offs)
+    return ids, nulls.astype(bool), Block(0, n, np.frombuffer(_unzip(body), np.uint8) if offs[-1] else np.zeros(0, np.uint8), offs)
 
 
 def ngram_keys(block: Block, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -86,7 +128,7 @@ def ngram_keys(block: Block, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
     out = []
     for n in range(1, order + 1):
         keys = np.zeros(len(w.doc), _U)
-        h = roll.windows(n) >> _U(64 - _KEY_BITS)
+        h = roll.windows(n)
         whole = w.doc[: len(h)] == w.doc[n - 1 :] if len(h) else np.zeros(0, bool)
         keys[: len(h)] = np.where(whole, np.maximum(h, _U(1)), _U(0))
         out.append(keys)
@@ -120,89 +162,72 @@ def score_texts(doc: np.ndarray, counts: list[np.ndarray], n_texts: int, total:
     return tally().astype(np.int64), tally((steps > 0).astype(float)).astype(np.int64), tally(log).astype(float)  # bincount of nothing is whole numbers
 
 
-def backoff_scores(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = 2, alpha: float = ALPHA, min_count: int = 2) -> DataFrame:
+def corpus_size(df: DataFrame, text: str) -> tuple[int, int]:
+    """Bytes and words of all texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = n = 0
+        for batch in batches:
+            for b in blocks(batch.column(0)):
+                size += len(b.data)
+                n += len(words(b).start)
+        yield pa.RecordBatch.from_arrays([pa.array([size]), pa.array([n])], ["size", "n"])
+
+    rows = df.select(F.col(f"`{text}`").alias("t")).mapInArrow(count, "size long, n long")
+    return tuple(x or 0 for x in rows.agg(F.sum("size"), F.sum("n")).first())
+
+
+def backoff_scores(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = 3, alpha: float = ALPHA, min_count: int = 2) -> DataFrame:
     """key, n_words, n_backoff, log_score (sum of natural logs) and mean_log for every row."""
-    ship(df.sparkSession)
-    packed = df.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(pack, "chunk long, n_texts long, n_bytes long, n_words long, head binary, body binary")
-    packed = materialize(packed)
-    size, total_words = (x or 0 for x in packed.agg(F.sum("n_bytes"), F.sum("n_words")).first())
-    parts = max(FEWEST_PARTS, 1 << int(np.ceil(np.log2(max(1, size / PART_BYTES)))))
-    low_bits = _KEY_BITS - (parts.bit_length() - 1)
-    low_bytes = (low_bits + 7) // 8
+    spark = df.sparkSession
+    ship(spark)
+    size, total_words = corpus_size(df, text)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(FEWEST_PARTS, -(-size // PART_BYTES) - 1).bit_length()
+    packed = df.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(pack, "chunk long, n_texts long, head binary, body binary")
+    # One exchange, of which both the lists and the scores read.
+    chunks = packed.repartition(max(least, size // TASK_BYTES), "chunk")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_ = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for chunk, n, head, body in zip(*(batch.column(i) for i in range(4))):
-                _, _, block = unpack(n.as_py(), head.as_py(), body.as_py())
-                keys, counts = _lists(ngram_keys(block, order)[1])
+                keys, counts = _lists(ngram_keys(unpack(n.as_py(), head.as_py(), body.as_py())[2], order)[1])
                 if len(keys) == 0:
                     continue
-                part = (keys >> _U(low_bits)).astype(np.int64)
-                low = np.ascontiguousarray((keys & _U((1 << low_bits) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :low_bytes])
+                part = (keys >> _U(64 - bits)).astype(np.int64)
                 cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
-                rows = [(int(part[a]), low[a:b].tobytes(), zip_(counts[a:b].astype("<u4").tobytes())) for a, b in zip(cuts[:-1], cuts[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([chunk.as_py()] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["part", "chunk", "keys", "counts"])
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_, unzip = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
-
-        def reply(part: int, lists: list) -> pa.RecordBatch:
-            sizes = [len(k) // low_bytes for _, k, _ in lists]
-            flat = np.zeros((sum(sizes), 8), np.uint8)
-            flat[:, :low_bytes] = np.frombuffer(b"".join(k for _, k, _ in lists), np.uint8).reshape(-1, low_bytes)
-            keys = flat.reshape(-1).view("<u8")
-            own = np.concatenate([np.frombuffer(unzip(c), "<u4") for _, _, c in lists])
-            _, inverse = np.unique(keys, return_inverse=True)
-            total = np.bincount(inverse, weights=own)[inverse].astype("<u8")
-            ends = np.cumsum(sizes)
-            return pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in lists], pa.int64()), pa.array([part] * len(lists), pa.int64()), pa.array([zip_(total[e - s : e].tobytes()) for s, e in zip(sizes, ends)], pa.binary())], ["chunk", "part", "totals"])
-
-        now, lists = None, []
-        for batch in batches:
-            for part, chunk, keys, counts in zip(*(batch.column(i) for i in range(4))):
-                part = part.as_py()
-                if part != now and lists:
-                    yield reply(now, lists)
-                    lists = []
-                now = part
-                lists.append((chunk.as_py(), keys.as_py(), counts.as_py()))
-        if lists:
-            yield reply(now, lists)
-
-    asked = packed.select("chunk", "n_texts", "head", "body").mapInArrow(ask, "part long, chunk long, keys binary, counts binary")
-    answered = asked.repartition("part").sortWithinPartitions("part").mapInArrow(answer, "chunk long, part long, totals binary")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip = zstandard.ZstdDecompressor().decompress
-
-        def scored(n: int, head: bytes, body: bytes, totals: list[bytes]) -> pa.RecordBatch:
-            ids, nulls, block = unpack(n, head, body)
-            doc, keys = ngram_keys(block, order)
-            known = _lists(keys)[0]
-            total = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(unzip(t), "<u8").astype(np.int64) for t in totals)])
-            counts = []
-            for k in keys:
-                at = np.searchsorted(known, k)
-                counts.append(np.where(k > 0, total[np.minimum(at, max(0, len(known) - 1))] if len(known) else 0, 0))
-            words_, backed, log = score_texts(doc, counts, n, total_words, alpha, min_count)
-            none = words_ == 0
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=nulls), pa.array(words_), pa.array(backed), pa.array(log, mask=none), pa.array(log / np.maximum(words_, 1), mask=none)], ["k", "n_words", "n_backoff", "log_score", "mean_log"])
-
-        now, totals = None, []
-        for batch in batches:
-            for part, n, head, body, got in zip(*(batch.column(i) for i in range(1, 6))):
-                if part.as_py() < 0:
-                    if now:
-                        yield scored(*now, totals)
-                    now, totals = (n.as_py(), head.as_py(), body.as_py()), []
-                else:
-                    totals.append(got.as_py())
-        if now:
-            yield scored(*now, totals)
-
-    none = F.lit(None)
-    both = packed.select("chunk", F.lit(-1).cast("long").alias("part"), "n_texts", "head", "body", none.cast("binary").alias("totals"))
-    both = both.unionAll(answered.select("chunk", "part", none.cast("long"), none.cast("binary"), none.cast("binary"), "totals"))
-    out = both.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(score, "k long, n_words long, n_backoff long, log_score double, mean_log double")
+                spans = list(zip(cuts[:-1], cuts[1:]))
+                yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), pa.array([chunk.as_py()] * len(spans), pa.int64()), pa.array([pack_keys(keys[a:b]) for a, b in spans], pa.binary()), pa.array([pack_counts(counts[a:b]) for a, b in spans], pa.binary())], ["part", "chunk", "keys", "counts"])
+
+    def add_up(lists: pa.Table) -> pa.Table:
+        keys = [unpack_keys(k.as_py()) for k in lists["keys"]]
+        own = np.concatenate([unpack_counts(c.as_py()) for c in lists["counts"]])
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(at, weights=own).astype(np.int64)[at]
+        ends = np.cumsum([len(k) for k in keys])
+        totals = [pack_counts(total[e - len(k) : e]) for k, e in zip(keys, ends)]
+        return pa.table({"chunk": lists["chunk"], "part": lists["part"], "totals": pa.array(totals, pa.binary())})
+
+    asked = chunks.mapInArrow(ask, "part long, chunk long, keys binary, counts binary")
+    asked = asked.repartition(max(least, 1 << (bits - 1)), "part")
+    totals = asked.groupBy("part").applyInArrow(add_up, "chunk long, part long, totals binary")
+
+    def score(own: pa.Table, found: pa.Table) -> pa.Table:
+        n = own["n_texts"][0].as_py()
+        ids, nulls, block = unpack(n, own["head"][0].as_py(), own["body"][0].as_py())
+        doc, keys = ngram_keys(block, order)
+        known = _lists(keys)[0]
+        answers = [unpack_counts(t.as_py()) for t in found.sort_by("part")["totals"]]
+        total = np.concatenate([np.zeros(0, np.int64), *answers])
+        if len(total) != len(known):
+            raise RuntimeError("the counts don't fit the texts: the table gave other rows when it was read again")
+        counts = []
+        for k in keys:
+            at = np.searchsorted(known, k)
+            counts.append(np.where(k > 0, total[np.minimum(at, max(0, len(known) - 1))] if len(known) else 0, 0))
+        n_words, backed, log = score_texts(doc, counts, n, total_words, alpha, min_count)
+        none = n_words == 0
+        return pa.table({"k": pa.array(ids, pa.int64(), mask=nulls), "n_words": n_words, "n_backoff": backed, "log_score": pa.array(log, mask=none), "mean_log": pa.array(log / np.maximum(n_words, 1), mask=none)})
+
+    out = chunks.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(score, "k long, n_words long, n_backoff long, log_score double, mean_log double")
     return out.withColumnRenamed("k", key)

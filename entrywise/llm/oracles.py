@@ -70,11 +70,12 @@ def mixing(seed: int = 41) -> str:
 def backoff(alpha: float = 0.4, min_count: int = 2) -> str:
     return f"""
     WITH t AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_WORD}'), []) AS ws FROM documents),
-    w AS (SELECT doc_id, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v FROM t, unnest(range(1, len(ws) + 1)) AS r(i)),
-    c1 AS (SELECT w, count(*) AS n FROM w GROUP BY 1), c2 AS (SELECT v, w, count(*) AS n FROM w WHERE v IS NOT NULL GROUP BY ALL), total AS (SELECT count(*) AS n FROM w),
-    s AS (SELECT w.doc_id, CASE WHEN w.v IS NOT NULL AND c2.n < {min_count} THEN 1 ELSE 0 END AS backed,
-        CASE WHEN w.v IS NULL THEN ln(cw.n / total.n) WHEN c2.n >= {min_count} THEN ln(c2.n / cv.n) ELSE ln(cw.n / total.n) + ln({alpha}) END AS lp
-      FROM w JOIN c1 cw ON cw.w = w.w LEFT JOIN c1 cv ON cv.w = w.v LEFT JOIN c2 ON c2.v = w.v AND c2.w = w.w, total)
+    w AS (SELECT doc_id, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v, CASE WHEN i > 2 THEN ws[i - 2] END AS u FROM t, unnest(range(1, len(ws) + 1)) AS r(i)),
+    c1 AS (SELECT w, count(*) AS n FROM w GROUP BY 1), c2 AS (SELECT v, w, count(*) AS n FROM w WHERE v IS NOT NULL GROUP BY ALL), c3 AS (SELECT u, v, w, count(*) AS n FROM w WHERE u IS NOT NULL GROUP BY ALL), total AS (SELECT count(*) AS n FROM w),
+    f AS (SELECT w.doc_id, w.v, w.u, c3.n AS uvw, cuv.n AS uv, c2.n AS vw, cv.n AS n_v, cw.n AS n_w, total.n AS n
+      FROM w JOIN c1 cw ON cw.w = w.w LEFT JOIN c1 cv ON cv.w = w.v LEFT JOIN c2 ON c2.v = w.v AND c2.w = w.w LEFT JOIN c2 cuv ON cuv.v = w.u AND cuv.w = w.v LEFT JOIN c3 ON c3.u = w.u AND c3.v = w.v AND c3.w = w.w, total),
+    s AS (SELECT doc_id, CASE WHEN (u IS NOT NULL AND uvw < {min_count}) OR (v IS NOT NULL AND u IS NULL AND vw < {min_count}) THEN 1 ELSE 0 END AS backed,
+        CASE WHEN uvw >= {min_count} THEN ln(uvw / uv) ELSE CASE WHEN u IS NULL THEN 0 ELSE ln({alpha}) END + CASE WHEN v IS NULL THEN ln(n_w / n) WHEN vw >= {min_count} THEN ln(vw / n_v) ELSE ln(n_w / n) + ln({alpha}) END END AS lp FROM f)
     SELECT t.doc_id, count(lp) AS n_words, coalesce(sum(backed), 0)::BIGINT AS n_backoff, round(sum(lp), 4) AS log_score, round(sum(lp) / count(lp), 6) AS mean_log
     FROM t LEFT JOIN s USING (doc_id) GROUP BY t.doc_id"""
 
