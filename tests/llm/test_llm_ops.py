@@ -496,7 +496,7 @@ def test_licenses_by_brute_force(docs, texts):
         base = {label for _, label in places}
         assert r["base_labels"] == ",".join(sorted(base))
         text = f" {' '.join(w)} "
-        found = [(text[: m.start()].count(" ") - 1, text[: m.end()].count(" "), rule.priority, rule.label) for rule, p in some if rule.keyword in text for m in p.finditer(text)]
+        found = [(text[: m.start()].count(" ") - 1, text[: m.end()].count(" "), rule.priority, rule.label) for rule, p in some for m in p.finditer(text)]
         left = set()
         for a, b, p, label in found:
             inside = [(x, y, q, z) for x, y, q, z in found if x <= a and b <= y and q >= p and ((x, y) != (a, b) or q > p or z < label)]
@@ -506,8 +506,15 @@ def test_licenses_by_brute_force(docs, texts):
         assert 0 <= r["score"] <= 1 and (r["score"] > 0) == bool(base | left)
 
 
-def test_rules_are_many():
-    assert len(rules()) > 200 and all(re.compile(r.pattern) for r in rules())
+def test_rules_are_many_and_keywords_are_whole_words():
+    assert len(rules()) > 400 and all(re.compile(r.pattern) for r in rules())
+    for r in rules():
+        assert r.keywords and all(re.fullmatch("[0-9a-z]+", w) for w in r.keywords), r
+        for t in sample_texts(r.pattern):
+            assert set(t.split()) & set(r.keywords), (r, t)
+    from entrywise.llm.license_rules import wordings
+
+    assert wordings("a(?: b+| c)? [xy]z{0,2}\\S") == {f"a{b} {x}{z}*" for b in ("", " b", " c") for x in "xy" for z in ("", "z")}
 
 
 def sample_texts(pattern):
