@@ -4,7 +4,10 @@ The sketch has T coordinates. In round i every shingle goes to one coordinate
 by a hash and leaves its hash value there; a coordinate keeps the smallest value
 of the first round that reaches it. After T such rounds, round T + j sends all
 shingles to coordinate j, so every coordinate is filled, and a text of n
-shingles needs about T log(T) / n rounds. Coordinates agree with the
+shingles needs about T log(T) / n rounds. A value carries its round in its high
+bits, so a coordinate simply keeps its smallest value, many rounds are done at
+once for short texts, and rounds after the last needed one change nothing.
+Coordinates agree with the
 probability of the Jaccard similarity and concentrate like those of T
 independent permutations.
 
@@ -45,8 +48,13 @@ PERCENT = 80
 #: Coordinates of the digest, and standard deviations by which two digests may differ more than expected.
 DIGEST = 1024
 DEVIATIONS = 5.5
-#: Bits of the filter that keeps texts outside all candidate pairs from the shuffle; its size is fixed.
-FILTER_BITS = 1 << 25
+#: Bits of the filter that lets texts without candidates pass by: eight for each candidate, within these bounds.
+FILTER_BITS = (1 << 20, 1 << 30)
+#: Pairs of one text that are compared in one task, about.
+PAIRS_TOGETHER = 4096
+#: Hash evaluations done at once in a sketch.
+_AT_ONCE = 1 << 17
+_ROUND_BITS = 12
 
 _U = np.uint64
 _EMPTY = np.iinfo(np.uint64).max
@@ -76,32 +84,24 @@ def shingle_sets(block, k: int) -> tuple[np.ndarray, np.ndarray]:
 def sketch(values: np.ndarray, offs: np.ndarray, t: int = T) -> np.ndarray:
     """The sketch of each set: an array (sets, t); rows of empty sets are all-ones."""
     n = len(offs) - 1
-    sizes = np.diff(offs)
     out = np.full(n * t, _EMPTY, dtype=_U)
-    live = np.repeat(np.arange(n), sizes)
+    live = np.repeat(np.arange(n), np.diff(offs)) * t
     x = values
+    keys = mix(np.arange(1, 2 * t + 1, dtype=_U))
     shift = _U(64 - (t.bit_length() - 1))
-    for i in range(2 * t):
-        if len(x) == 0:
-            break
-        h = mix(x ^ mix(np.array([i + 1], _U))[0])
-        place = (h >> shift).astype(np.int64) if i < t else np.full(len(x), i - t)
-        at = live * t + place
-        free = out[at] == _EMPTY
-        if free.any():
-            fresh = np.full(len(out), _EMPTY, dtype=_U) if len(x) * 4 > len(out) else None
-            at, value = at[free], (h[free] << _U(8)) >> _U(8)
-            if fresh is None:
-                order = np.lexsort((value, at))
-                at, value = at[order], value[order]
-                head = np.concatenate(([True], at[1:] != at[:-1]))
-                out[at[head]] = value[head] + (_U(i) << _U(56))
-            else:
-                np.minimum.at(fresh, at, value)
-                hit = fresh != _EMPTY
-                out[hit] = fresh[hit] + (_U(i) << _U(56))
-        full = ~(out.reshape(n, t) == _EMPTY).any(axis=1)
-        keep = ~full[live]
+    i = 0
+    while len(x) and i < 2 * t:
+        # Rounds up to t deal by hash, those after it by their number; a batch doesn't mix them.
+        rounds = np.arange(i, min(t if i < t else 2 * t, i + max(1, _AT_ONCE // len(x))))
+        h = mix(x[None, :] ^ keys[rounds][:, None])
+        place = (h >> shift).astype(np.int64) if i < t else (rounds - t)[:, None]
+        value = (h << _U(_ROUND_BITS)) >> _U(_ROUND_BITS)
+        value |= rounds.astype(_U)[:, None] << _U(64 - _ROUND_BITS)
+        np.minimum.at(out, (live[None, :] + place).ravel(), value.ravel())
+        i = int(rounds[-1]) + 1
+        open_ = np.flatnonzero(np.concatenate(([True], live[1:] != live[:-1])))
+        gaps = (out.reshape(n, t)[live[open_] // t] == _EMPTY).any(axis=1)
+        keep = np.repeat(gaps, np.diff(np.append(open_, len(live))))
         live, x = live[keep], x[keep]
     return out.reshape(n, t)
 
@@ -142,26 +142,23 @@ def sketch_column(text: Column, k: int, t: int = T, rows: int = ROWS) -> Column:
     return make(text)
 
 
-def _filter_bits(ids: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits with the hashes of the ids; what reaches the driver is at most the bitmap."""
-    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1  # the bitmap functions count from 1
-    rows = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
+def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap with the hashes of the ids; what reaches the driver is at most the bitmap."""
+    at = F.pmod(F.xxhash64("id"), F.lit(bits)) + 1  # the bitmap functions count from 1
+    rows = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toLocalIterator()
+    out = np.zeros(bits // 8 + 4096, np.uint8)
     for r in rows:
         k = (r["k"] - 1) * 4096
         out[k : k + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out
 
 
-def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int = PERCENT, narrow: bool = False) -> DataFrame:
-    """The pairs (a, b) of keys whose full shingle sets have the similarity; docs has columns id and text.
-
-    narrow: sets go by half their hash bits, with one per cent of slack for hashes that
-    fall together: that loses no pair but may leave some too many.
-    """
+def shingle_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, shingles) of the documents with these ids and of few others; docs has columns id and text."""
     spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("id")).distinct().unionAll(pairs.select(F.col("b").alias("id")).distinct())
-    bits = spark.sparkContext.broadcast(_filter_bits(ids))
+    least, most = FILTER_BITS
+    size = min(most, max(least, 1 << (8 * ids.count()).bit_length()))
+    bits = spark.sparkContext.broadcast(_bitmap(ids, size))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = bits.value
@@ -172,13 +169,33 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int = PERCENT, na
                 continue
             for b in blocks(batch.column(1)):
                 v, offs = shingle_sets(b, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[b.lo : b.hi], pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array((v >> _U(32)).astype(np.uint32).view(np.int32) if narrow else v.view(np.int64)))], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[b.lo : b.hi], pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(v.view(np.int64)))], ["id", "shingles"])
+
+    rows = docs.where("id IS NOT NULL").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(size)).alias("at"))
+    return materialize(rows.mapInArrow(sets, "id long, shingles array<long>"))
+
 
-    rows = docs.where("id IS NOT NULL").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("at")).mapInArrow(sets, f"id long, shingles array<{'int' if narrow else 'long'}>")
-    left = rows.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = rows.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").where(F.lit(100) * both >= F.lit(percent - narrow) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+def _with_sets(left: DataFrame, pairs: DataFrame, sets: DataFrame, mine: str, other: str, name: str, salts: int) -> DataFrame:
+    """`left`, rows of pairs, with the sets of column `mine`. A set goes once to each salt of its partners, so a text with very many partners is spread."""
+    salt = F.pmod(F.xxhash64(other), F.lit(salts)).alias("salt")
+    places = pairs.select(mine, salt).distinct()
+    dealt = places.join(sets.select(F.col("id").alias(mine), F.col("shingles").alias(name)), mine)
+    return left.select("*", salt).join(dealt, [mine, "salt"]).drop("salt")
+
+
+def verify(sets: DataFrame, pairs: DataFrame, percent: int = PERCENT, narrow: bool = False) -> DataFrame:
+    """The pairs (a, b) of keys whose full shingle sets have the similarity.
+
+    narrow: sets go by half their hash bits, with one per cent of slack for hashes that
+    fall together: that loses no pair but may leave some too many.
+    """
+    if narrow:
+        sets = sets.select("id", F.array_distinct(F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int"))).alias("shingles"))
+    pairs = pairs.select("a", "b")
+    salts = pairs.count() // PAIRS_TOGETHER + 16
+    both = _with_sets(_with_sets(pairs, pairs, sets, "a", "b", "sa", salts), pairs, sets, "b", "a", "sb", salts)
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(F.lit(100) * common >= F.lit(percent - narrow) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
 def _near(percent: int) -> Column:
@@ -218,8 +235,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     # Every class with the smallest class it may be linked with.
     stars = plausible(shared.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct())
     stars = materialize(stars)
-    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    edges = materialize(verify(docs, first, shingle, percent))
+    first = materialize(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    sets = shingle_table(docs, shared.select(F.col("rep").alias("id")).distinct(), shingle)
+    edges = materialize(verify(sets, first, percent))
     found = materialize(components(edges))
 
     # What else shares a bucket and is in another component: ends of buckets, then all.
@@ -232,7 +250,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     more = materialize(more)
     tried = first
     if not more.isEmpty():
-        edges = materialize(edges.unionAll(verify(docs, more, shingle, percent)))
+        edges = materialize(edges.unionAll(verify(sets, more, percent)))
         found = materialize(components(edges))
         tried = first.unionAll(more)
 
@@ -244,8 +262,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).join(tried, ["a", "b"], "left_anti")
     rest = materialize(rest)
     if not rest.isEmpty():
-        likely = materialize(verify(docs, rest, shingle, percent, narrow=True))
-        edges = materialize(edges.unionAll(verify(docs, likely, shingle, percent)))
+        likely = materialize(verify(sets, rest, percent, narrow=True))
+        edges = materialize(edges.unionAll(verify(sets, likely, percent)))
         found = components(edges)
 
     # Classes carry their component to their members.
