@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import maintenance, policy, tree
 from ..sources import adapter, config, sync
 from ..sources.folders import shared_folder
-from ..streaming import changelog, fold, stream
+from ..streaming import changelog, enrich, fold, stream
 from . import find as finder
 from . import report as reporter
 from .ast import And, Bits, Cmp, Elem, Exists, In, Not, Or, Regex
@@ -533,90 +534,211 @@ def log_first(spark, sf_dir):
 
 _EV = "ev AS MATERIALIZED (SELECT " + ", ".join(f'{e} AS "{c}"' for c, e in adapter.event_columns(adapter.Dialect(True)).items()) + " FROM events)"
 _LIVE = f"{_EV}, gone AS (SELECT id, max(seq) AS g FROM ev WHERE type = 'DELETE' GROUP BY 1), live AS MATERIALIZED (SELECT ev.* FROM ev LEFT JOIN gone USING (id) WHERE type <> 'DELETE' AND (g IS NULL OR seq > g))"
-_INODES = f"WITH {_LIVE} SELECT id, max_by(size, seq) FILTER (size IS NOT NULL) AS size, max_by(uid, seq) FILTER (uid IS NOT NULL) AS uid, max_by(mtime_sec, seq) FILTER (mtime_sec IS NOT NULL) AS mtime_sec FROM live WHERE type IN ('UPSERT', 'LINK') GROUP BY 1"
-_LINKS = f"WITH {_LIVE} SELECT id, parent_id, name FROM (SELECT id, parent_id, name, max_by(type, seq) AS t FROM live WHERE type IN ('LINK', 'UNLINK') GROUP BY ALL) WHERE t = 'LINK'"
-_XATTRS = f"WITH {_LIVE}, x AS (SELECT *, max(CASE WHEN op IN ('set', 'unset') THEN seq END) OVER (PARTITION BY id, key) AS base_at FROM live WHERE type = 'XATTR') SELECT id, key, (coalesce(max(CASE WHEN seq = base_at AND op = 'set' THEN value END), 0) + coalesce(sum(CASE WHEN op = 'inc' AND (base_at IS NULL OR seq > base_at) THEN value END), 0))::BIGINT AS value FROM x GROUP BY ALL HAVING count(CASE WHEN (seq = base_at AND op = 'set') OR (op = 'inc' AND (base_at IS NULL OR seq > base_at)) THEN 1 END) > 0"
+_EVENT_STATX = ["mode", "uid", "gid", "size", "mtime_sec", "mtime_nsec"]
+_INODES = f"WITH {_LIVE} SELECT id, " + ", ".join(f"max_by({c}, seq) FILTER ({c} IS NOT NULL) AS {c}" for c in [*_EVENT_STATX, "symlink"]) + " FROM live WHERE type IN ('UPSERT', 'LINK') GROUP BY 1"
+_CUTS = "cuts AS (SELECT id, max(seq) AS cut, max_by(rm_time, seq) AS rm FROM live WHERE type = 'PARTIAL_UNLINK' GROUP BY 1)"
+_LINKS = f"WITH {_LIVE}, {_CUTS} SELECT id, parent_id, name, NULL::BIGINT AS rm_time FROM (SELECT id, parent_id, name, max_by(type, seq) AS t, max(seq) AS s FROM live WHERE type IN ('LINK', 'UNLINK') GROUP BY ALL) LEFT JOIN cuts USING (id) WHERE t = 'LINK' AND (cut IS NULL OR s > cut) UNION ALL SELECT id, NULL, NULL, rm FROM cuts"
+_XATTRS = f"""WITH {_LIVE}, {_CUTS},
+    ends AS (SELECT l.id, l.parent_id, l.name, any_value(cut) AS cut, max_by(type, seq) AS now, max(seq) AS now_at, max_by(type, seq) FILTER (seq <= cut) AS before, max(seq) FILTER (seq <= cut) AS before_at FROM live l LEFT JOIN cuts USING (id) WHERE type IN ('LINK', 'UNLINK') GROUP BY ALL),
+    own AS (SELECT id, false AS ns, NULL::BIGINT AS parent_id, NULL::VARCHAR AS name, key, op, value, seq FROM live WHERE type = 'XATTR' AND NOT ns
+      UNION ALL SELECT l.id, true, l.parent_id, l.name, key, op, value, seq FROM live l JOIN ends USING (id, parent_id, name) WHERE type = 'XATTR' AND ns AND now = 'LINK' AND seq >= now_at AND (cut IS NULL OR seq > cut)
+      UNION ALL SELECT l.id, true, NULL, NULL, key, op, value, seq FROM live l JOIN ends USING (id, parent_id, name) WHERE type = 'XATTR' AND ns AND seq <= cut AND before = 'LINK' AND seq >= before_at),
+    x AS (SELECT *, max(CASE WHEN op IN ('set', 'unset') THEN seq END) OVER (PARTITION BY id, ns, parent_id, name, key) AS base_at FROM own),
+    y AS (SELECT id, ns, parent_id, name, key, max(CASE WHEN seq = base_at AND op = 'set' THEN value END) AS base, sum(CASE WHEN op = 'inc' AND (base_at IS NULL OR seq > base_at) THEN try_cast(value AS BIGINT) END) AS more FROM x GROUP BY ALL)
+    SELECT id, ns, parent_id, name, key, CASE WHEN more IS NULL THEN base ELSE (coalesce(try_cast(base AS BIGINT), 0) + more)::BIGINT::VARCHAR END AS value FROM y WHERE base IS NOT NULL OR more IS NOT NULL"""
+
+
+def _inodes(m: DataFrame) -> DataFrame:
+    return m.select("id", *_EVENT_STATX, "symlink")
+
+
+def _xattrs(m: DataFrame) -> DataFrame:
+    return m.select("id", "ns", "parent_id", "name", "key", "value")
 
 
 @query(_INODES)
 def fold_inodes(spark, sf_dir):
-    return fold.fold_inodes(adapter.events(spark, sf_dir))
+    return _inodes(fold.fold_inodes(adapter.events(spark, sf_dir)))
 
 
 @query(_LINKS)
 def fold_links(spark, sf_dir):
-    return fold.fold_links(adapter.events(spark, sf_dir)).select("id", "parent_id", "name")
+    return fold.fold_links(adapter.events(spark, sf_dir))
 
 
 @query(_XATTRS)
 def fold_xattrs(spark, sf_dir):
-    return fold.fold_xattrs(adapter.events(spark, sf_dir))
+    return _xattrs(fold.fold_xattrs(adapter.events(spark, sf_dir)))
 
 
-@query(_INODES)
-def fold_two_batches(spark, sf_dir):
+def _two_batches(spark, sf_dir) -> fold.Mirror:
     ev = adapter.events(spark, sf_dir)
     middle = ev.agg(F.expr("cast((min(seq) + max(seq)) / 2 as bigint)")).first()[0]
-    first = fold.fold(ev.where(F.col("seq") <= middle))
-    return fold.apply(first, ev.where(F.col("seq") > middle)).inodes
+    return fold.apply(fold.fold(ev.where(F.col("seq") <= middle)), ev.where(F.col("seq") > middle))
+
+
+@query(_INODES)
+def fold_two_batches(spark, sf_dir):
+    return _inodes(_two_batches(spark, sf_dir).inodes)
+
+
+@query(_LINKS)
+def fold_links_two_batches(spark, sf_dir):
+    return _two_batches(spark, sf_dir).links
 
 
 @query(_XATTRS)
-def stream_xattrs(spark, sf_dir):
-    """The same fold by a stream of three micro-batches into a store of snapshots."""
-    folder = f"{shared_folder(spark)}/stream-{abs(hash((sf_dir, id(spark)))) % 10**9}-{next(_counter)}"
+def fold_xattrs_two_batches(spark, sf_dir):
+    return _xattrs(_two_batches(spark, sf_dir).xattrs)
+
+
+@query(_INODES)
+def fold_compact(spark, sf_dir):
+    return _inodes(fold.fold(fold.compact(adapter.events(spark, sf_dir))).inodes)
+
+
+@query(f"WITH {_EV}, s AS (SELECT * FROM ev WHERE type = 'XATTR' AND op = 'set' AND try_cast(value AS BIGINT) IS NOT NULL), t AS (SELECT id, max(seq % 4) AS stamp FROM s GROUP BY 1) SELECT id, t.stamp, coalesce(min_by(value, seq) FILTER (seq % 3 = 0), max_by(value, seq)) AS value FROM s JOIN t USING (id) WHERE s.seq % 4 = t.stamp GROUP BY ALL")
+def fold_counters(spark, sf_dir):
+    """Counts with a stamp: the newest stays, of equal ones the first final one or else the last."""
+    sets = adapter.events(spark, sf_dir).where("type = 'XATTR' AND op = 'set' AND try_cast(value AS bigint) IS NOT NULL")
+    sets = sets.withColumns({"ns": F.lit(False), "key": F.lit("nb_children"), "stamp": F.col("seq") % 4, "final": F.col("seq") % 3 == 0})
+    middle = sets.agg(F.expr("cast((min(seq) + max(seq)) / 2 as bigint)")).first()[0]
+    return fold.apply(fold.fold(sets.where(F.col("seq") <= middle)), sets.where(F.col("seq") > middle)).xattrs.select("id", "stamp", "value")
+
+
+def _streamed(spark, sf_dir) -> fold.Mirror:
+    """A stream of three micro-batches into a store: it is started again whenever files have come."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     ev = adapter.events(spark, sf_dir)
     low, high = ev.agg(F.min("seq"), F.max("seq")).first()
-    for k in range(3):  # in order of seq, as files are read in order of their time stamps
-        ev.where(F.floor((F.col("seq") - low) * 3 / F.lit(high - low + 1)) == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    q = stream.start(stream.read_events(spark, f"{folder}/in", fold.SCHEMA, files_per_batch=1), f"{folder}/store", f"{folder}/ckpt")
-    q.awaitTermination()
-    return stream.Store(spark, f"{folder}/store").read().xattrs
+    for k in range(3):
+        ev.where(F.floor((F.col("seq") - low) * 3 / F.lit(high - low + 1)) == k).write.mode("append").parquet(f"{folder}/in")
+        stream.start(stream.read_events(spark, f"{folder}/in", files_per_batch=100_000), f"{folder}/store", f"{folder}/ckpt", buckets=16).awaitTermination()
+    return stream.Store(spark, f"{folder}/store").read()
 
 
-_counter = iter(range(10**9))
+@query(_XATTRS)
+def stream_xattrs(spark, sf_dir):
+    return _xattrs(_streamed(spark, sf_dir).xattrs)
 
 
-@query(f"WITH {_EV} SELECT seq, type, id, CASE WHEN type = 'UPSERT' AND size IS NULL AND uid IS NULL AND mtime_sec IS NULL THEN id * 10 ELSE size END AS size FROM ev")
-def enrich_partial(spark, sf_dir):
-    ev = adapter.events(spark, sf_dir)
-    snapshot = ev.select("id").distinct().select("id", (F.col("id") * 10).alias("size"), F.lit(1).cast("long").alias("uid"), F.lit(2).cast("long").alias("mtime_sec"))
-    return fold.resolve_partial(ev, snapshot).select("seq", "type", "id", "size")
+@query(_LINKS)
+def stream_links(spark, sf_dir):
+    return _streamed(spark, sf_dir).links
 
 
-_REC = "SELECT event_id AS idx, CASE event_id % 8 WHEN 0 THEN 'CREAT' WHEN 1 THEN 'UNLNK' WHEN 2 THEN 'RENME' WHEN 3 THEN 'SATTR' WHEN 4 THEN 'HSM' WHEN 5 THEN 'HLINK' WHEN 6 THEN 'RMDIR' ELSE 'MARK' END AS rec_type, user_id AS target, user_id % 7 AS parent, concat('n', cast(event_id % 9 as string)) AS name, user_id % 5 AS source_parent, concat('m', cast(event_id % 4 as string)) AS source_name, CASE WHEN event_id % 16 = 2 THEN user_id + 1 END AS overwritten, cast(event_id % 4 as int) AS flags, event_id AS time_sec FROM {events}"
+_SNAP = "snap AS (SELECT DISTINCT user_id AS id FROM events WHERE user_id % 5 <> 0)"
 
 
 @query(
-    f"""WITH r AS ({_REC.format(events='events')}), x AS (
-    SELECT idx, 0 AS pos, CASE rec_type WHEN 'CREAT' THEN 'LINK' WHEN 'HLINK' THEN 'LINK' WHEN 'SATTR' THEN 'UPSERT' WHEN 'HSM' THEN 'XATTR' ELSE CASE WHEN flags & 3 = 3 THEN 'PARTIAL_UNLINK' WHEN flags & 1 = 1 THEN 'DELETE' ELSE 'UNLINK' END END AS type, target AS id FROM r WHERE rec_type NOT IN ('RENME', 'MARK')
-    UNION ALL SELECT idx, 1, 'UPSERT', target FROM r WHERE rec_type IN ('CREAT', 'HLINK') UNION ALL SELECT idx, 2, 'UPSERT', parent FROM r WHERE rec_type IN ('CREAT', 'HLINK') UNION ALL SELECT idx, 3, 'XATTR', parent FROM r WHERE rec_type IN ('CREAT', 'HLINK')
-    UNION ALL SELECT idx, 1, 'UPSERT', parent FROM r WHERE rec_type IN ('UNLNK', 'RMDIR') UNION ALL SELECT idx, 2, 'XATTR', parent FROM r WHERE rec_type IN ('UNLNK', 'RMDIR')
-    UNION ALL SELECT idx, 0, CASE WHEN flags & 1 = 1 THEN 'DELETE' ELSE 'UNLINK' END, overwritten FROM r WHERE rec_type = 'RENME' AND overwritten IS NOT NULL
-    UNION ALL SELECT idx, o + 0, 'UNLINK', target FROM (SELECT *, CASE WHEN overwritten IS NULL THEN 0 ELSE 1 END AS o FROM r) WHERE rec_type = 'RENME' UNION ALL SELECT idx, o + 1, 'LINK', target FROM (SELECT *, CASE WHEN overwritten IS NULL THEN 0 ELSE 1 END AS o FROM r) WHERE rec_type = 'RENME'
-    UNION ALL SELECT idx, o + 2, 'UPSERT', parent FROM (SELECT *, CASE WHEN overwritten IS NULL THEN 0 ELSE 1 END AS o FROM r) WHERE rec_type = 'RENME' UNION ALL SELECT idx, o + 3, 'UPSERT', source_parent FROM (SELECT *, CASE WHEN overwritten IS NULL THEN 0 ELSE 1 END AS o FROM r) WHERE rec_type = 'RENME'
-    UNION ALL SELECT idx, 4, 'XATTR', parent FROM r WHERE rec_type = 'RENME' AND overwritten IS NULL UNION ALL SELECT idx, 5, 'XATTR', source_parent FROM r WHERE rec_type = 'RENME')
-    SELECT idx * 8 + pos AS seq, type, id FROM x"""
+    f"""WITH {_EV}, {_SNAP}
+    SELECT seq, type, id, size, mode, symlink, key, op, value FROM ev WHERE NOT (seq % 4 = 0 AND type IN ('UPSERT', 'LINK') OR seq % 4 = 1 AND type = 'XATTR')
+    UNION ALL SELECT seq, type, id, CASE WHEN type = 'UPSERT' THEN id * 10 ELSE size END, CASE WHEN type = 'UPSERT' THEN (id % 512)::INT ELSE mode END, symlink, key, op, value FROM ev JOIN snap USING (id) WHERE seq % 4 = 0 AND type IN ('UPSERT', 'LINK')
+    UNION ALL SELECT seq, 'XATTR', id, NULL, NULL, NULL, 'path', 'set', concat('"/p', id, '/', name, '"') FROM ev JOIN snap USING (id) WHERE seq % 4 = 0 AND type = 'LINK'
+    UNION ALL SELECT seq, type, id, size, mode, symlink, key, op, value FROM ev JOIN snap USING (id) WHERE seq % 4 = 1 AND type = 'XATTR'
+    UNION ALL SELECT seq, type, id, size, mode, symlink, k, CASE WHEN k = 'user.a' AND id % 2 = 0 THEN 'unset' ELSE 'set' END, CASE k WHEN 'user.a' THEN CASE WHEN id % 2 = 1 THEN '"x"' END ELSE cast(id % 3 AS VARCHAR) END FROM ev JOIN snap USING (id), (VALUES ('user.a'), ('hsm_state')) AS v(k) WHERE seq % 4 = 1 AND type = 'XATTR'"""
 )
+def enrich_events(spark, sf_dir):
+    """statx fields, named attributes, an extension and paths from a snapshot; events of ids that are gone are skipped."""
+    ev = adapter.events(spark, sf_dir)
+    opened = F.when((F.col("seq") % 4 == 0) & (F.col("type") == "UPSERT"), F.array(F.lit("statx.size"), F.lit("statx.mode"))).when((F.col("seq") % 4 == 0) & (F.col("type") == "LINK"), F.array(F.lit("path")))
+    opened = opened.when((F.col("seq") % 4 == 1) & (F.col("type") == "XATTR"), F.array(F.lit("xattrs.user.a"), F.lit("lustre")))
+    ids = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id % 5 <> 0").select(F.col("user_id").cast("long").alias("id")).distinct()
+    names = F.array(*[F.lit(f"f{k}") for k in range(5)])
+    paths = F.map_from_entries(F.transform(names, lambda n: F.struct(F.concat((F.col("id") % 7).cast("string"), F.lit("/"), n), F.concat(F.lit("/p"), F.col("id").cast("string"), F.lit("/"), n))))
+    xattrs = F.map_filter(F.create_map(F.lit("user.a"), F.when(F.col("id") % 2 == 1, F.lit('"x"')), F.lit("hsm_state"), (F.col("id") % 3).cast("string")), lambda k, v: v.isNotNull())
+    snapshot = ids.select("id", (F.col("id") * 10).alias("size"), (F.col("id") % 512).cast("int").alias("mode"), xattrs.alias("xattrs"), paths.alias("paths"))
+    out = enrich.reject_open(enrich.fill(ev.withColumn("fill", opened), snapshot))
+    return out.select("seq", "type", "id", "statx.size", "statx.mode", "symlink", "key", "op", "value")
+
+
+_KINDS = ["CREAT", "MKDIR", "MKNOD", "SLINK", "HLINK", "UNLNK", "RMDIR", "RENME", "SATTR", "CLOSE", "MTIME", "CTIME", "ATIME", "TRUNC", "XATTR", "HSM", "LYOUT", "FLRW", "RESYNC", "MIGRT", "MARK"]
+_RECORD = {
+    "idx": "event_id", "rec_type": f"CASE event_id % {len(_KINDS)} " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_KINDS)) + " END", "target": "user_id", "parent": "user_id % 7", "name": "concat('n', cast(event_id % 9 as string))",
+    "source_parent": "user_id % 5", "source_name": "concat('m', cast(event_id % 4 as string))", "overwritten": "CASE WHEN event_id % 2 = 0 THEN user_id + 1 END", "source": "user_id + 2", "flags": "cast(event_id % 4 as int)", "time_sec": "event_id + 3",
+    "uid": "event_id % 11", "gid": "event_id % 13", "xattr": "concat('user.x', cast(event_id % 3 as string))", "mdt_index": "event_id % 2", "fid": "concat('0x', cast(event_id % 99 as string))",
+}
+
+
+def _changelog_sql() -> str:
+    """One SELECT for each event of each kind of record."""
+    every = "atime,attributes,blksize,blocks,btime,ctime,dev,gid,ino,mnt_id,mode,mtime,nlink,rdev,size,type,uid"
+    no_owner = every.replace("gid,", "").replace(",uid", "")
+    fields = lambda names: "'" + ",".join(f"statx.{n}" for n in names.split(",")) + "'"
+    update = lambda names, who="target": {"type": "'UPSERT'", "id": who, "fill": fields(names)}
+    lustre = {"type": "'XATTR'", "id": "target", "fill": "'lustre'"}
+    link = {"type": "'LINK'", "id": "target", "parent_id": "parent", "name": "name", "fill": "'path'"}
+    made = {**update(no_owner), "uid": "uid", "gid": "gid"}
+    touch = lambda who: update("atime,ctime,mtime,type", who)
+    count = lambda who, n: {"type": "'XATTR'", "id": who, "key": "'nb_children'", "op": "'inc'", "value": f"'{n}'"}
+    fid = {"type": "'XATTR'", "id": "target", "key": "'fid'", "op": "'set'", "value": "concat('\"', fid, '\"')"}
+    mdt = {"type": "'XATTR'", "id": "target", "key": "'mdt_index'", "op": "'set'", "value": "cast(mdt_index AS VARCHAR)"}
+
+    def gone(who):
+        alive = "flags & 1 = 0"
+        return {"type": "CASE WHEN flags & 3 = 3 THEN 'PARTIAL_UNLINK' WHEN flags & 1 = 1 THEN 'DELETE' ELSE 'UNLINK' END", "id": who, "parent_id": f"CASE WHEN {alive} THEN parent END", "name": f"CASE WHEN {alive} THEN name END", "rm_time": "CASE WHEN flags & 3 = 3 THEN time_sec END"}
+
+    up = [touch("parent"), count("parent", 1)]
+    data = "blocks,ctime,mtime,size,type"
+    lists = {
+        "CREAT": [link, {**fid, "fill": "'lustre'"}, made, *up], "SLINK": [link, {**fid, "fill": "'lustre'"}, mdt, made, *up, {"type": "'UPSERT'", "id": "target", "fill": "'symlink'"}], "HLINK": [link, made, *up], "MKNOD": [link, fid, mdt, made, *up],
+        "UNLNK": [gone("target"), touch("parent"), count("parent", -1)], "SATTR": [update(every), lustre], "CLOSE": [update("atime," + data), lustre], "CTIME": [update("atime,ctime"), lustre], "ATIME": [update("atime"), lustre], "TRUNC": [update(data), lustre],
+        "XATTR": [update("ctime"), {"type": "'XATTR'", "id": "target", "fill": "concat('xattrs.', xattr)"}, lustre], "HSM": [update("blocks,size,type"), lustre, {**lustre, "fill": "'xattrs.trusted.lov'"}, {**lustre, "fill": "'xattrs.trusted.hsm'"}],
+        "LYOUT": [update("ctime"), lustre], "FLRW": [update(data), lustre], "RESYNC": [update("blocks,ctime,size,type"), lustre], "MIGRT": [link, made, touch("parent"), {"type": "'DELETE'", "id": "source"}, touch("source_parent"), lustre],
+        "RENME": [{**gone("overwritten"), "if": "overwritten IS NOT NULL"}, link, made, touch("parent"), {**count("parent", 1), "if": "overwritten IS NULL"}, {"type": "'UNLINK'", "id": "target", "parent_id": "source_parent", "name": "source_name"}, touch("source_parent"), count("source_parent", -1)],
+    }
+    lists |= {"MKDIR": lists["CREAT"], "RMDIR": lists["UNLNK"], "MTIME": lists["CLOSE"]}
+    kinds = {"parent_id": "BIGINT", "name": "VARCHAR", "uid": "BIGINT", "gid": "BIGINT", "rm_time": "BIGINT", "key": "VARCHAR", "op": "VARCHAR", "value": "VARCHAR", "fill": "VARCHAR"}
+    parts = [
+        f"SELECT idx, {p} AS p, {e['type']} AS type, {e['id']} AS id, " + ", ".join(f"{e[c]}::{t} AS {c}" if c in e else f"NULL::{t} AS {c}" for c, t in kinds.items()) + f" FROM r WHERE rec_type = '{kind}' AND {e.get('if', 'true')}"
+        for kind, events in lists.items() for p, e in enumerate(events)
+    ]
+    records = ", ".join(f"{e} AS {c}" for c, e in _RECORD.items())
+    return f"WITH r AS (SELECT {records} FROM events), x AS ({' UNION ALL '.join(parts)}) SELECT idx * 8 + row_number() OVER (PARTITION BY idx ORDER BY p) - 1 AS seq, * EXCLUDE (idx, p) FROM x"
+
+
+@query(_changelog_sql())
 def changelog_events(spark, sf_dir):
-    records = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*_columns())
-    return changelog.expand(records).select("seq", "type", "id")
+    records = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*[f"{e} AS {c}" for c, e in _RECORD.items()])
+    return changelog.expand(records).select("seq", "type", "id", "parent_id", "name", "statx.uid", "statx.gid", "rm_time", "key", "op", "value", F.array_join(F.array_sort("fill"), ",").alias("fill"))
 
 
-def _columns() -> list[str]:
-    """The select list of _REC, cut at top-level commas."""
-    body, out, depth, last = _REC[len("SELECT ") : _REC.index(" FROM {events}")], [], 0, 0
-    for i, c in enumerate(body):
-        depth += (c == "(") - (c == ")")
-        if c == "," and depth == 0:
-            out.append(body[last:i].strip())
-            last = i + 1
-    return [*out, body[last:].strip()]
+_SYNCED = ["mode", "nlink", "uid", "gid", "ino", "size", "blocks", "atime_sec", "btime_sec", "ctime_sec", "mtime_sec", "mtime_nsec", "dev_major", "dev_minor"]
+_NO_STATX = ", ".join(["NULL"] * (len(_SYNCED) + 2))
 
 
-@query(f"{_view()} SELECT 'UPSERT' AS type, id, size, uid, mtime_sec FROM e UNION ALL SELECT 'LINK', id, NULL, NULL, NULL FROM e")
+@query(
+    f"""{_view()} SELECT 'UPSERT' AS type, id, type AS file_type, {', '.join(_SYNCED)}, symlink, NULL::BIGINT AS parent_id, NULL::VARCHAR AS name, NULL::VARCHAR AS key, NULL::VARCHAR AS value FROM e
+    UNION ALL SELECT 'LINK', id, {_NO_STATX}, parent_id, name, NULL, NULL FROM e
+    UNION ALL SELECT 'XATTR', id, {_NO_STATX}, NULL, NULL, 'user.tag', concat('"', user_tag, '"') FROM e WHERE user_tag IS NOT NULL
+    UNION ALL SELECT 'XATTR', id, {_NO_STATX}, NULL, NULL, 'hsm_state', hsm_state::VARCHAR FROM e WHERE hsm_state IS NOT NULL
+    UNION ALL SELECT 'XATTR', id, {_NO_STATX}, parent_id, name, 'path', concat('"', path, '"') FROM e
+    UNION ALL SELECT 'XATTR', id, {_NO_STATX}, parent_id, name, 'sync_time', sync_time::VARCHAR FROM e"""
+)
 def sync_events(spark, sf_dir):
-    return sync.events(adapter.entries(spark, sf_dir, False)).select("type", "id", "size", "uid", "mtime_sec")
+    out = sync.events(_with_map(adapter.entries(spark, sf_dir)))
+    return out.select("type", "id", F.col("statx.type").alias("file_type"), *[f"statx.{c}" for c in _SYNCED], "symlink", "parent_id", "name", "key", "value")
+
+
+def _with_map(e: DataFrame) -> DataFrame:
+    """The entry view with some of its attributes as a map of JSON texts."""
+    pairs = F.create_map(F.lit("user.tag"), F.concat(F.lit('"'), F.col("user_tag"), F.lit('"')), F.lit("hsm_state"), F.col("hsm_state").cast("string"))
+    return e.withColumn("xattrs", F.map_filter(pairs, lambda k, v: v.isNotNull()))
+
+
+@query(f"{_view()} SELECT id, size, uid, type, name FROM e WHERE parent_id = 0 UNION ALL SELECT id, NULL, NULL, NULL, name FROM e WHERE false")
+def sync_one(spark, sf_dir):
+    m = fold.fold(sync.events(adapter.entries(spark, sf_dir, False), one=True))
+    return m.inodes.join(m.links, "id").select("id", "size", "uid", "type", "name")
+
+
+@query(f"{_view()} SELECT id, size, mode, name, user_tag AS tag FROM e WHERE type = 32768 AND mode & 146 <> 0")
+def find_in_mirror(spark, sf_dir):
+    """A scan, synchronised with chosen fields into a mirror, and the mirror searched by type and mode."""
+    chosen = sync.projection(["-statx", "+statx.size", "+statx.type", "+statx.mode", "-symlink"])
+    m = fold.fold(sync.events(_with_map(adapter.entries(spark, sf_dir, False)), chosen))
+    tags = m.xattrs.where("key = 'user.tag'").select("id", F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v").alias("tag"))
+    return finder.find(m.inodes.join(m.links, "id"), "-type f -perm /222".split(), context()).join(tags, "id", "left").select("id", "size", "mode", "name", "tag")
 
 
 # Policies.

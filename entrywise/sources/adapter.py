@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..streaming.events import complete, statx_of
+
 NOW = 1_000_000_000
 INT64_MAX = (1 << 63) - 1
 ROOT, REGION, NATION, CUSTOMER, ORDER = 1, 1_000_000_000, 2_000_000_000, 3_000_000_000, 4_000_000_000
@@ -177,15 +179,26 @@ DUCK_LINKS = f"SELECT DISTINCT {big(f'{ORDER} + l_orderkey')} AS id, {big(f'{NAT
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A change log from the events table: one event for each row, on 1 entry for each user."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return raw.selectExpr(*[f"{e} AS `{c}`" for c, e in event_columns(Dialect(False)).items()])
+    flat = raw.selectExpr(*[f"{e} AS `{c}`" for c, e in event_columns(Dialect(False)).items()])
+    return complete(flat.withColumn("statx", statx_of(flat, EVENT_STATX)))
+
+
+#: statx fields that the change log sets.
+EVENT_STATX = frozenset({"size", "uid", "gid", "mode", "mtime_sec", "mtime_nsec"})
 
 
 def event_columns(d: Dialect) -> dict[str, str]:
     kind = "CASE event_type WHEN 'signup' THEN 'UPSERT' WHEN 'view' THEN 'XATTR' WHEN 'click' THEN 'LINK' WHEN 'purchase' THEN 'XATTR' ELSE 'UNLINK' END"
-    op = "CASE event_type WHEN 'view' THEN 'inc' WHEN 'purchase' THEN CASE WHEN event_id % 5 = 0 THEN 'unset' ELSE 'set' END END"
+    kind = f"CASE WHEN event_id % 97 = 0 THEN 'DELETE' WHEN event_id % 89 = 0 THEN 'PARTIAL_UNLINK' ELSE {kind} END"
+    plain = "event_id % 97 <> 0 AND event_id % 89 <> 0"
+    made, put = f"event_type = 'signup' AND {plain}", f"event_type IN ('view', 'purchase') AND {plain}"
+    op = f"CASE WHEN {plain} THEN CASE event_type WHEN 'view' THEN 'inc' WHEN 'purchase' THEN CASE WHEN event_id % 5 = 0 THEN 'unset' ELSE 'set' END END END"
+    text = "CASE WHEN event_type = 'purchase' AND event_id % 7 = 0 THEN concat('\"v', cast(event_id % 4 as string), '\"') ELSE cast(event_id % 10 as string) END"
     return {
-        "seq": big("event_id"), "type": f"CASE WHEN event_id % 97 = 0 THEN 'DELETE' ELSE {kind} END", "id": big("user_id"), "parent_id": big("user_id % 7"), "name": "concat('f', cast(event_id % 5 as string))",
-        "size": f"CASE WHEN event_type = 'signup' AND event_id % 2 = 0 THEN {big('event_id')} END", "uid": f"CASE WHEN event_type = 'signup' AND event_id % 3 = 0 THEN {big('event_id % 50')} END",
-        "mtime_sec": f"CASE WHEN event_type = 'signup' THEN {d.epoch('ts')} END",
-        "key": "CASE WHEN event_type IN ('view', 'purchase') THEN CASE WHEN event_id % 2 = 0 THEN 'hits' ELSE 'score' END END", "op": op, "value": f"CASE WHEN event_type IN ('view', 'purchase') THEN {big('event_id % 10')} END",
+        "seq": big("event_id"), "type": kind, "id": big("user_id"), "parent_id": big("user_id % 7"), "name": "concat('f', cast(event_id % 5 as string))",
+        "size": f"CASE WHEN {made} AND event_id % 2 = 0 THEN {big('event_id')} END", "uid": f"CASE WHEN {made} AND event_id % 3 = 0 THEN {big('event_id % 50')} END",
+        "gid": f"CASE WHEN {made} AND event_id % 4 = 0 THEN {big('event_id % 9')} END", "mode": f"CASE WHEN {made} AND event_id % 5 < 2 THEN cast(event_id % 512 as int) END",
+        "mtime_sec": f"CASE WHEN {made} THEN {d.epoch('ts')} END", "mtime_nsec": f"CASE WHEN {made} THEN cast(event_id % 1000 as int) END",
+        "symlink": f"CASE WHEN {made} AND event_id % 6 = 0 THEN concat('/to/', cast(event_id % 8 as string)) END", "rm_time": f"CASE WHEN event_id % 89 = 0 THEN {big('event_id + 7')} END",
+        "ns": f"coalesce({put} AND event_id % 3 = 0, false)", "key": f"CASE WHEN {put} THEN CASE WHEN event_id % 2 = 0 THEN 'hits' ELSE 'score' END END", "op": op, "value": f"CASE WHEN {put} THEN {text} END",
     }

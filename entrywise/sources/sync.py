@@ -7,39 +7,87 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import UsageError
 from ..plans.schema import field
+from ..streaming.events import STATX_FIELDS, complete, statx_of
 
-STATX = ["size", "uid", "mtime_sec"]
-DEFAULT = frozenset({"id", "parent-id", "name", "ns-xattrs.path", *(f"statx.{c.removesuffix('_sec')}" for c in STATX)})
+#: Everything a scan knows of an entry.
+DEFAULT = frozenset({"id", "parent-id", "name", "symlink", "ns-xattrs", "xattrs", *(f"statx.{f}" for f in STATX_FIELDS)})
 
 
 def projection(changes: list[str], start: frozenset[str] = DEFAULT) -> frozenset[str]:
-    """`+field` adds, `-field` removes, the first bare `field` replaces the set."""
+    """`+field` adds, `-field` removes, the first bare `field` replaces the set; `statx` stands for all its fields."""
     chosen = set(start)
     replaced = False
     for c in changes:
         name = c.lstrip("+-")
-        field(name)
+        names = {f"statx.{f}" for f in STATX_FIELDS} if name == "statx" else {name}
+        if name not in ("statx", "xattrs", "ns-xattrs"):
+            field(name)
         if c.startswith("+"):
-            chosen.add(name)
+            chosen |= names
         elif c.startswith("-"):
-            chosen.discard(name)
+            chosen -= names
         else:
-            chosen = {name} if not replaced else chosen | {name}
+            chosen = chosen | names if replaced else set(names)
             replaced = True
     if not chosen:
         raise UsageError("no field left")
     return frozenset(chosen)
 
 
+def columns_of(chosen: frozenset[str]) -> list[str]:
+    """The columns of an entry view that hold the fields."""
+    out = set()
+    for f in chosen:
+        key = f.removeprefix("statx.")
+        if f.startswith("statx.") and key in STATX_FIELDS:
+            out.update(STATX_FIELDS[key])
+        else:
+            out.add(f.replace("-", "_") if f in ("xattrs", "ns-xattrs") else field(f).column)
+    return sorted(out)
+
+
 def project(entries: DataFrame, chosen: frozenset[str]) -> DataFrame:
-    return entries.select(*sorted({field(f).column for f in chosen}))
+    """The chosen fields that the entries have, by name."""
+    have = set(entries.columns)
+    return entries.select(*[c for c in columns_of(chosen) if c in have])
+
 
+def events(entries: DataFrame, chosen: frozenset[str] = DEFAULT, one: bool = False, skip: bool = True, seq: int = 0) -> DataFrame:
+    """What a scan sends to a mirror: UPSERT and XATTR for each inode, LINK and the link's attributes for each name.
 
-def events(entries: DataFrame, chosen: frozenset[str] = DEFAULT, one: bool = False) -> DataFrame:
-    """UPSERT for each inode, LINK for each name: what a scan sends to a mirror."""
+    Entries have one row for each link. `xattrs` and `ns_xattrs` are maps of JSON
+    texts; the columns path and sync_time are attributes of the link. `one`: the
+    root only. Rows without an id or a name are skipped, or raise without `skip`.
+    """
     rows = entries.where("parent_id = 0") if one else entries
-    keep = lambda c: (F.col(c) if f"statx.{c.removesuffix('_sec')}" in chosen else F.lit(None)).cast("long").alias(c)
-    n = lambda t: F.lit(None).cast(t)
-    up = rows.select(F.lit("UPSERT").alias("type"), "id", n("long").alias("parent_id"), n("string").alias("name"), *[keep(c) for c in STATX])
-    link = rows.select(F.lit("LINK"), "id", "parent_id", "name", *[n("long") for _ in STATX])
-    return up.unionAll(link)
+    sound = F.col("id").isNotNull() & F.col("name").isNotNull()
+    if skip:
+        rows = rows.where(sound)
+    else:
+        rows = rows.where(F.when(~sound, F.raise_error(F.lit("an entry has no id or no name")).cast("boolean")).otherwise(F.lit(True)))
+    have = set(rows.columns)
+    base = F.lit(seq).cast("long")
+    statx = frozenset(c for f, columns in STATX_FIELDS.items() if f"statx.{f}" in chosen for c in columns)
+    symlink = F.col("symlink") if "symlink" in chosen and "symlink" in have else F.lit(None).cast("string")
+    out = complete(rows.select(base.alias("seq"), F.lit("UPSERT").alias("type"), "id", statx_of(rows, statx).alias("statx"), symlink.alias("symlink")))
+
+    def attributes(pairs, ns: bool) -> DataFrame:
+        each = rows.select("id", "parent_id", "name", F.explode(pairs).alias("key", "value")).where("value IS NOT NULL")
+        place = ["parent_id", "name"] if ns else []
+        return complete(each.select((base + 2 * ns).alias("seq"), F.lit("XATTR").alias("type"), "id", *place, F.lit(ns).alias("ns"), "key", F.lit("set").alias("op"), "value"))
+
+    wanted = lambda m, scope: F.map_filter(m, lambda k, v: F.lit(True) if scope in chosen else k.isin(*[f.partition(".")[2] for f in chosen if f.startswith(scope + ".")]))
+    if "xattrs" in have and any(f == "xattrs" or f.startswith("xattrs.") for f in chosen):
+        out = out.unionAll(attributes(wanted(F.col("xattrs"), "xattrs"), False))
+    if "name" in chosen or "parent-id" in chosen:
+        out = out.unionAll(complete(rows.select((base + 1).alias("seq"), F.lit("LINK").alias("type"), "id", "parent_id", "name")))
+        own = [x for c in ("path", "sync_time") if c in have for x in (F.lit(c), F.to_json(F.struct(F.col(c).alias("v"))))]
+        texts = F.create_map().cast("map<string,string>")
+        if own:
+            texts = F.transform_values(F.create_map(*own), lambda k, v: F.when(v != "{}", F.substring(v, F.lit(6), F.length(v) - 6)))
+        if "ns_xattrs" in have:
+            texts = F.map_zip_with(texts, F.coalesce(F.col("ns_xattrs"), F.create_map().cast("map<string,string>")), lambda k, a, b: F.coalesce(b, a))
+        if any(f == "ns-xattrs" or f.startswith("ns-xattrs.") for f in chosen):
+            out = out.unionAll(attributes(wanted(texts, "ns-xattrs"), True))
+    return out
+

@@ -1,9 +1,14 @@
 """Folding a change log into a mirror.
 
 Events of one id are applied in order of `seq`, whatever the batches. A DELETE
-starts the id anew; links are present if their last event is LINK; statx
-columns take their last value; an extended attribute is its last set (or unset)
-plus the increments after it, from 0 where there is none.
+starts the id anew; links are present if their last event is LINK; statx fields
+and the symlink take their last value; an extended attribute is its last set (or
+unset) plus the increments after it, from 0 where there is none.
+
+A PARTIAL_UNLINK takes the id's links away and leaves one row without parent and
+name that carries the removal time and the attributes of the links. Attributes of
+a link end with it and start anew with the next LINK. Of counts with a stamp the
+one with the newest stays; of equal stamps the first that is final, or the last.
 
 All folds are keyed partial aggregates. What a mirror already holds is turned
 into events that precede all others, so applying a log in any split gives the
@@ -17,14 +22,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STATX = ["size", "uid", "mtime_sec"]
-SCHEMA = "seq long, type string, id long, parent_id long, name string, size long, uid long, mtime_sec long, key string, op string, value long"
+from .events import FIELDS, STATX, complete, statx_of
+
 BEFORE = -1
 
 
 @dataclass
 class Mirror:
-    """inodes(id, size, uid, mtime_sec), links(id, parent_id, name, rm_time), xattrs(id, key, value)."""
+    """inodes(id, statx columns, symlink), links(id, parent_id, name, rm_time), xattrs(id, ns, parent_id, name, key, value, stamp, final)."""
 
     inodes: DataFrame
     links: DataFrame
@@ -37,74 +42,102 @@ def live(events: DataFrame) -> DataFrame:
     return events.join(gone, "id", "left").where("type <> 'DELETE' AND (_gone IS NULL OR seq > _gone)").drop("_gone")
 
 
-def _last(column: str) -> Column:
-    return F.max_by(column, F.when(F.col(column).isNotNull(), F.col("seq")))
+def _last(value: Column) -> Column:
+    return F.max_by(value, F.when(value.isNotNull(), F.col("seq")))
 
 
 def fold_inodes(events: DataFrame) -> DataFrame:
-    """id and the last known statx columns of every id that an UPSERT or LINK made."""
+    """id, the last known statx fields and the symlink of every id that an UPSERT or LINK made."""
     rows = live(events).where("type IN ('UPSERT', 'LINK')")
-    return rows.groupBy("id").agg(*[_last(c).alias(c) for c in STATX])
+    return rows.groupBy("id").agg(*[_last(F.col(f"statx.{c}")).alias(c) for c in STATX], _last(F.col("symlink")).alias("symlink"))
+
+
+def _cuts(rows: DataFrame) -> DataFrame:
+    """The last PARTIAL_UNLINK of each id."""
+    return rows.where("type = 'PARTIAL_UNLINK'").groupBy("id").agg(F.max("seq").alias("_cut"), F.max_by("rm_time", "seq").alias("_rm"))
 
 
 def fold_links(events: DataFrame) -> DataFrame:
-    """The links whose last event is LINK, and those partly unlinked with their removal time."""
-    rows = live(events).where("type IN ('LINK', 'UNLINK', 'PARTIAL_UNLINK')")
-    last = rows.groupBy("id", "parent_id", "name").agg(F.max_by(F.struct("type", F.col("mtime_sec").alias("rm")), "seq").alias("x"))
-    return last.where("x.type <> 'UNLINK'").select("id", "parent_id", "name", F.when(F.col("x.type") == "PARTIAL_UNLINK", F.col("x.rm")).alias("rm_time"))
+    """The links whose last event is LINK, and a row without parent and name for ids that are partly unlinked."""
+    rows = live(events)
+    cuts = _cuts(rows)
+    last = rows.where("type IN ('LINK', 'UNLINK')").groupBy("id", "parent_id", "name").agg(F.max_by("type", "seq").alias("_type"), F.max("seq").alias("_seq"))
+    there = last.join(cuts, "id", "left").where("_type = 'LINK' AND (_cut IS NULL OR _seq > _cut)")
+    removed = cuts.select("id", F.lit(None).cast("long").alias("parent_id"), F.lit(None).cast("string").alias("name"), F.col("_rm").alias("rm_time"))
+    return there.select("id", "parent_id", "name", F.lit(None).cast("long").alias("rm_time")).unionByName(removed)
+
+
+_KEY = ["id", "ns", "parent_id", "name", "key"]
+
+
+def _same(a: str, b: str) -> Column:
+    out = F.lit(True)
+    for c in _KEY:
+        out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return out
+
+
+def _of_links(rows: DataFrame) -> DataFrame:
+    """Attribute events with the keys they end at: those of links that are gone are left out, those of partly unlinked ids move."""
+    xattrs = rows.where("type = 'XATTR' AND key IS NOT NULL").select("seq", "id", F.coalesce("ns", F.lit(False)).alias("ns"), "parent_id", "name", "key", "op", "value", "stamp", "final")
+    inode = xattrs.where("NOT ns").withColumns({"parent_id": F.lit(None).cast("long"), "name": F.lit(None).cast("string")})
+    cuts = _cuts(rows)
+    ends = rows.where("type IN ('LINK', 'UNLINK')").select("seq", "id", "parent_id", "name", "type").alias("l")
+    # The span of a link: from a LINK to the next LINK or UNLINK of it; the one that a PARTIAL_UNLINK meets is moved.
+    ends = ends.join(cuts, "id", "left").groupBy("id", "parent_id", "name").agg(F.max_by(F.struct("type", "seq"), "seq").alias("_now"), F.max_by(F.struct("type", "seq"), F.when(F.col("seq") <= F.col("_cut"), F.col("seq"))).alias("_then"), F.any_value("_cut").alias("_cut"))
+    kept = xattrs.where("ns AND parent_id IS NOT NULL").join(ends, ["id", "parent_id", "name"])
+    moved = kept.where("_cut IS NOT NULL AND seq <= _cut AND _then.type = 'LINK' AND seq >= _then.seq").withColumns({"parent_id": F.lit(None).cast("long"), "name": F.lit(None).cast("string")})
+    stay = kept.where("_now.type = 'LINK' AND seq >= _now.seq AND (_cut IS NULL OR seq > _cut)")
+    already = xattrs.where("ns AND parent_id IS NULL")
+    columns = xattrs.columns
+    return inode.select(*columns).unionByName(stay.select(*columns)).unionByName(moved.select(*columns)).unionByName(already)
 
 
 def fold_xattrs(events: DataFrame) -> DataFrame:
-    """(id, key, value) of every attribute that is set."""
-    rows = live(events).where("type = 'XATTR' AND key IS NOT NULL").select("id", "key", "op", "value", "seq")
-    fixed = rows.where("op IN ('set', 'unset')").groupBy("id", "key").agg(F.max("seq").alias("_at"), F.max_by(F.when(F.col("op") == "set", F.col("value")), "seq").alias("_base"))
+    """(id, ns, parent_id, name, key, value, stamp, final) of every attribute that is set."""
+    rows = _of_links(live(events))
+    order = F.struct(F.coalesce("stamp", F.lit(-(1 << 63))).alias("stamp"), F.coalesce("final", F.lit(False)).alias("final"), F.when(F.coalesce("final", F.lit(False)), -F.col("seq")).otherwise(F.col("seq")).alias("seq"))
+    held = F.when(F.col("op") == "set", F.struct("value", "stamp", "final"))
+    fixed = rows.where("op IN ('set', 'unset')").groupBy(*_KEY).agg(F.max_by("seq", order).alias("_at"), F.max_by(held, order).alias("_base"))
     # The increments that count are those after the last fixed operation; the sums are partial before the shuffle.
-    more = rows.where("op = 'inc'").join(fixed.select("id", "key", "_at"), ["id", "key"], "left").where("_at IS NULL OR seq > _at").groupBy("id", "key").agg(F.sum("value").alias("_more"))
-    both = fixed.select("id", "key", "_base", F.lit(None).cast("long").alias("_more")).unionAll(more.select("id", "key", F.lit(None).cast("long"), "_more"))
-    out = both.groupBy("id", "key").agg(F.max("_base").alias("_base"), F.max("_more").alias("_more")).where("_base IS NOT NULL OR _more IS NOT NULL")
-    return out.select("id", "key", (F.coalesce("_base", F.lit(0)) + F.coalesce("_more", F.lit(0))).alias("value"))
+    incs = rows.where("op = 'inc'").alias("i").join(fixed.select(*_KEY, "_at").alias("f"), _same("i", "f"), "left").where("_at IS NULL OR i.seq > _at")
+    more = incs.groupBy(*[F.col(f"i.{c}").alias(c) for c in _KEY]).agg(F.sum(F.expr("try_cast(i.value AS bigint)")).alias("_more"))
+    none = F.lit(None)
+    both = fixed.select(*_KEY, "_base", none.cast("long").alias("_more")).unionAll(more.select(*_KEY, none.cast("struct<value:string,stamp:bigint,final:boolean>"), "_more"))
+    out = both.groupBy(*_KEY).agg(F.max("_base").alias("_base"), F.max("_more").alias("_more")).where("_base IS NOT NULL OR _more IS NOT NULL")
+    total = (F.coalesce(F.expr("try_cast(_base.value AS bigint)"), F.lit(0)) + F.col("_more")).cast("string")
+    return out.select(*_KEY, F.when(F.col("_more").isNull(), F.col("_base.value")).otherwise(total).alias("value"), "_base.stamp", "_base.final")
 
 
 def as_events(mirror: Mirror) -> DataFrame:
     """The events that make a mirror, all before any other."""
-    n = lambda kind: F.lit(None).cast(kind)
-    seq = F.lit(BEFORE).cast("long")
-    a = mirror.inodes.select(seq.alias("seq"), F.lit("UPSERT").alias("type"), "id", n("long").alias("parent_id"), n("string").alias("name"), *STATX, n("string").alias("key"), n("string").alias("op"), n("long").alias("value"))
-    b = mirror.links.select(seq, F.when(F.col("rm_time").isNull(), "LINK").otherwise("PARTIAL_UNLINK"), "id", "parent_id", "name", n("long"), n("long"), "rm_time", n("string"), n("string"), n("long"))
-    c = mirror.xattrs.select(seq, F.lit("XATTR"), "id", n("long"), n("string"), n("long"), n("long"), n("long"), "key", F.lit("set"), "value")
+    seq = F.lit(BEFORE).cast("long").alias("seq")
+    a = complete(mirror.inodes.select(seq, F.lit("UPSERT").alias("type"), "id", statx_of(mirror.inodes).alias("statx"), "symlink"))
+    gone = F.col("parent_id").isNull() & F.col("name").isNull()  # its removal came before the links that the id has now
+    b = complete(mirror.links.select((F.lit(BEFORE) - gone.cast("long")).alias("seq"), F.when(gone, "PARTIAL_UNLINK").otherwise("LINK").alias("type"), "id", "parent_id", "name", "rm_time"))
+    c = complete(mirror.xattrs.select(seq, F.lit("XATTR").alias("type"), "id", "ns", "parent_id", "name", "key", F.lit("set").alias("op"), "value", "stamp", "final"))
     return a.unionAll(b).unionAll(c)
 
 
 def fold(events: DataFrame) -> Mirror:
+    events = complete(events)
     return Mirror(fold_inodes(events), fold_links(events), fold_xattrs(events))
 
 
 def apply(mirror: Mirror, events: DataFrame) -> Mirror:
     """The mirror after the events."""
-    return fold(as_events(mirror).unionByName(events.select(*[c.split()[0] for c in SCHEMA.split(", ")])))
+    return fold(as_events(mirror).unionAll(complete(events)))
 
 
 def compact(events: DataFrame) -> DataFrame:
-    """A change log with the same effect on an empty mirror and one event for each thing that is left."""
+    """A change log with the same effect on an empty mirror: one event for each thing that is left, with all that is still to be filled."""
+    events = complete(events)
     m = fold(events)
-    return as_events(m)
-
-
-def updated(old_value: Column, old_stamp: Column, old_final: Column, new_value: Column, new_stamp: Column) -> Column:
-    """A stamped counter after an update: the newer stamp wins, an equal one only over a value that isn't final."""
-    return F.when(old_stamp.isNull() | (new_stamp > old_stamp) | ((new_stamp == old_stamp) & ~F.coalesce(old_final, F.lit(False))), new_value).otherwise(old_value)
-
-
-def resolve_partial(events: DataFrame, snapshot: DataFrame, skip: bool = True) -> DataFrame:
-    """Events whose statx columns are missing, completed from a snapshot of the live file system.
-
-    skip: events of ids that are gone are dropped; else they raise when they are read.
-    """
-    s = snapshot.select("id", *[F.col(c).alias(f"_{c}") for c in STATX], F.lit(True).alias("_found"))
-    partial = events.where("type = 'UPSERT' AND size IS NULL AND uid IS NULL AND mtime_sec IS NULL")
-    rest = events.where("NOT (type = 'UPSERT' AND size IS NULL AND uid IS NULL AND mtime_sec IS NULL)")
-    done = partial.join(s, "id", "inner" if skip else "left")
-    if not skip:
-        done = done.where(F.when(F.col("_found").isNull(), F.raise_error(F.concat(F.lit("no such entry: "), F.col("id").cast("string"))).cast("boolean")).otherwise(F.lit(True)))
-    done = done.withColumns({c: F.col(f"_{c}") for c in STATX}).select(*events.columns)
-    return rest.unionByName(done)
+    left = live(events).where("size(fill) > 0")
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_set("fill")))).alias("fill")
+    last = F.max("seq").alias("seq")
+    # What an UPSERT, an XATTR or the last LINK of a name leaves open stays open.
+    of_id = left.where("type IN ('UPSERT', 'XATTR')").groupBy("type", "id").agg(names, last)
+    there = m.links.where("rm_time IS NULL").select("id", "parent_id", "name")
+    of_links = left.where("type = 'LINK'").groupBy("type", "id", "parent_id", "name").agg(names, last).join(there, ["id", "parent_id", "name"], "left_semi")
+    return as_events(m).unionAll(complete(of_id)).unionAll(complete(of_links))

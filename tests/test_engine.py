@@ -1,6 +1,7 @@
 """Golden cases, folds, streams, policies, scans."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from entrywise.plans.parser import parse
 from entrywise.plans.predicates import Context
 from entrywise.sources import scan as scanner
 from entrywise.sources import sync
-from entrywise.streaming import changelog, fold, stream
+from entrywise.streaming import changelog, enrich, events, fold, stream
 
 FILE, DIR = 0o100000, 0o040000
 
@@ -65,43 +66,67 @@ def test_run_prints_in_order_of_actions(spark):
         parse(["-printf", "%Q"]) and list(find.run(e, ["-printf", "%Q"]))
 
 
-EVENT = dict(parent_id=None, name=None, size=None, uid=None, mtime_sec=None, key=None, op=None, value=None)
-
-
-def log(spark, *events):
-    cols = [c.split()[0] for c in fold.SCHEMA.split(", ")]
-    rows = [tuple({**EVENT, **e, "seq": e.get("seq", k)}[c] for c in cols) for k, e in enumerate(events)]
-    return spark.createDataFrame(rows, fold.SCHEMA)
+def log(spark, *made):
+    """Events from dictionaries; statx fields are given beside the others."""
+    rows = []
+    for k, e in enumerate(made):
+        e = {"seq": k, **e}
+        statx = {c: e.pop(c) for c in list(e) if c in events.STATX and c != "type"}
+        e["statx"] = {c: statx.get(c) for c in events.STATX} if statx else None
+        rows.append(tuple(e.get(c) for c in events.FIELDS))
+    return spark.createDataFrame(rows, events.SCHEMA)
 
 
 def test_fold_cases(spark):
     up = lambda **k: dict(type="UPSERT", id=1, **k)
     link = dict(type="LINK", id=1, parent_id=9, name="a")
-    m = fold.fold(log(spark, link, {**link, "type": "UNLINK"}))
-    assert m.links.count() == 0
-    assert fold.fold(log(spark, link, up(size=4), dict(type="DELETE", id=1))).inodes.count() == 0
-    assert fold.fold(log(spark, up(size=4), dict(type="DELETE", id=1), up(uid=3))).inodes.collect() == [(1, None, 3, None)]
-    assert fold.fold(log(spark, up(size=4, uid=1), up(size=6))).inodes.collect() == [(1, 6, 1, None)]
-    x = lambda op, v: dict(type="XATTR", id=1, key="k", op=op, value=v)
+    ids = lambda *e: [tuple(r[c] for c in ("id", "size", "uid", "mode", "symlink")) for r in fold.fold(log(spark, *e)).inodes.collect()]
+    assert fold.fold(log(spark, link, {**link, "type": "UNLINK"})).links.count() == 0
+    assert ids(link, up(size=4), dict(type="DELETE", id=1)) == []
+    assert ids(up(size=4), dict(type="DELETE", id=1), up(uid=3)) == [(1, None, 3, None, None)]
+    assert ids(up(size=4, uid=1), up(size=6, mode=7), up(symlink="x")) == [(1, 6, 1, 7, "x")]
+    x = lambda op, v, **more: dict(type="XATTR", id=1, key="k", op=op, value=v, **more)
     value = lambda *e: [r["value"] for r in fold.fold_xattrs(log(spark, *e)).collect()]
-    assert value(x("inc", 2), x("inc", 3)) == [5]
-    assert value(x("set", 7), x("inc", 1)) == [8] and value(x("inc", 1), x("set", 7)) == [7]
-    assert value(x("set", 7), x("unset", None)) == [] and value(x("unset", None), x("inc", 4)) == [4]
-    m = fold.fold(log(spark, link, {**link, "type": "PARTIAL_UNLINK", "mtime_sec": 77}))
-    assert m.links.collect() == [(1, 9, "a", 77)]
+    assert value(x("inc", "2"), x("inc", "3")) == ["5"]
+    assert value(x("set", "7"), x("inc", "1")) == ["8"] and value(x("inc", "1"), x("set", "7")) == ["7"]
+    assert value(x("set", "7"), x("unset", None)) == [] and value(x("unset", None), x("inc", "4")) == ["4"]
+    assert value(x("set", '"text"')) == ['"text"'] and value(x("set", "[1, 2]"), x("set", "true")) == ["true"]
+    stamped = lambda v, t, f: x("set", v, stamp=t, final=f)
+    assert value(stamped("1", 5, False), stamped("2", 4, True)) == ["1"] and value(stamped("1", 5, False), stamped("2", 5, False)) == ["2"]
+    assert value(stamped("1", 5, True), stamped("2", 5, False), stamped("3", 5, True)) == ["1"] and value(stamped("1", 5, True), stamped("2", 6, False), x("inc", "1")) == ["3"]
     assert fold.fold(log(spark, {**link, "type": "UNLINK"}, link)).links.count() == 1
 
 
+def test_partial_unlink_and_attributes_of_links(spark):
+    link = dict(type="LINK", id=1, parent_id=9, name="a")
+    path = dict(type="XATTR", id=1, ns=True, parent_id=9, name="a", key="path", op="set", value='"/d/a"')
+    cut = dict(type="PARTIAL_UNLINK", id=1, rm_time=77)
+    first, second = [link, path, cut], [dict(link, name="b"), dict(path, name="b", value='"/d/b"')]
+    want_links = [(1, None, None, 77), (1, 9, "b", None)]
+    want = [(True, None, None, '"/d/a"'), (True, 9, "b", '"/d/b"')]
+    for cutting in (0, 1, 2, 3, 4, 5):
+        all_ = [dict(e, seq=k) for k, e in enumerate(first + second)]
+        m = fold.apply(fold.fold(log(spark, *all_[:cutting])), log(spark, *all_[cutting:]))
+        assert sorted(map(tuple, m.links.collect()), key=repr) == sorted(want_links, key=repr)
+        assert sorted([tuple(r[c] for c in ("ns", "parent_id", "name", "value")) for r in m.xattrs.collect()], key=repr) == sorted(want, key=repr)
+    assert fold.fold(log(spark, link, path, dict(link, type="UNLINK"), link)).xattrs.count() == 0
+    assert fold.fold(log(spark, path)).xattrs.count() == 0
+
+
 def random_log(seed, n=60):
     rnd = random.Random(seed)
     out = []
     for k in range(n):
-        kind = rnd.choice(["UPSERT", "LINK", "UNLINK", "XATTR", "XATTR", "DELETE"])
+        kind = rnd.choice(["UPSERT", "LINK", "LINK", "UNLINK", "XATTR", "XATTR", "XATTR", "DELETE", "PARTIAL_UNLINK"])
         e = dict(type=kind, id=rnd.randrange(3), seq=k)
         if kind == "UPSERT":
-            e |= {rnd.choice(fold.STATX): rnd.randrange(9)}
+            e |= {rnd.choice(["size", "uid", "mode", "symlink"]): rnd.randrange(9)}
+            e |= {"symlink": str(e["symlink"])} if "symlink" in e else {}
         elif kind == "XATTR":
-            e |= dict(key=rnd.choice("pq"), op=rnd.choice(["set", "inc", "inc", "unset"]), value=rnd.randrange(9))
+            e |= dict(key=rnd.choice("pq"), op=rnd.choice(["set", "inc", "inc", "unset"]), value=str(rnd.randrange(9)))
+            e |= dict(ns=True, parent_id=rnd.randrange(2), name=rnd.choice("ab")) if rnd.random() < 0.5 else {}
+        elif kind == "PARTIAL_UNLINK":
+            e |= dict(rm_time=k)
         elif kind != "DELETE":
             e |= dict(parent_id=rnd.randrange(2), name=rnd.choice("ab"))
         out.append(e)
@@ -114,52 +139,98 @@ def tables(m):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_any_split_of_a_log_gives_the_same_mirror(spark, seed):
-    events = random_log(seed)
-    whole = tables(fold.fold(log(spark, *events)))
+    made = random_log(seed)
+    whole = tables(fold.fold(log(spark, *made)))
     cut = 17 + 20 * seed % 30
-    parts = fold.fold(log(spark, *events[:cut]))
-    assert tables(fold.apply(parts, log(spark, *events[cut:]))) == whole
-    assert tables(fold.fold(fold.compact(log(spark, *events)))) == whole
+    parts = fold.fold(log(spark, *made[:cut]))
+    assert tables(fold.apply(parts, log(spark, *made[cut:]))) == whole
+    assert tables(fold.fold(fold.compact(log(spark, *made)))) == whole
 
 
 def test_stream_and_replay(spark, tmp_path):
-    events = random_log(5)
+    made = random_log(5)
     for k in range(3):
-        log(spark, *events[20 * k : 20 * k + 20]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    q = stream.start(stream.read_events(spark, str(tmp_path / "in"), fold.SCHEMA, 1), str(tmp_path / "store"), str(tmp_path / "ckpt"))
+        log(spark, *made[20 * k : 20 * k + 20]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q = stream.start(stream.read_events(spark, str(tmp_path / "in"), files_per_batch=1), str(tmp_path / "store"), str(tmp_path / "ckpt"), buckets=4)
     q.awaitTermination()
     store = stream.Store(spark, str(tmp_path / "store"))
-    want = tables(fold.fold(log(spark, *events)))
-    assert tables(store.read()) == want
+    want = tables(fold.fold(log(spark, *made)))
+    assert tables(store.read()) == want and store.buckets == 4 and store.acknowledged() == 59
     last = store.versions()[-1]
-    stream.apply_batch(store, log(spark, *events[40:]), last - 1)  # a batch that comes again changes nothing
+    stream.apply_batch(store, log(spark, *made[40:]), last - 1)  # a batch that comes again changes nothing
     assert tables(store.read()) == want and store.versions()[-1] == last
 
 
-def test_partial_events(spark):
-    ev = log(spark, dict(type="UPSERT", id=1), dict(type="UPSERT", id=2, size=3), dict(type="UPSERT", id=4))
-    live = spark.createDataFrame([(1, 11, 12, 13)], "id long, size long, uid long, mtime_sec long")
-    got = {r["id"]: r["size"] for r in fold.resolve_partial(ev, live).collect()}
-    assert got == {1: 11, 2: 3}
+def test_a_batch_writes_its_own_buckets_only(spark, tmp_path):
+    store = stream.Store(spark, str(tmp_path / "s"), buckets=32)
+    ids = spark.range(1000).select(F.col("id").alias("seq"), F.lit("UPSERT").alias("type"), "id", F.lit("x").alias("symlink"))
+    stream.apply_batch(store, ids, 0)
+    ten = ids.where("id < 10").withColumns({"seq": F.col("id") + 5000, "symlink": F.lit("y")})
+    for n in (1, 2, 3, 4):
+        stream.apply_batch(store, ten, n)
+    made = [p.name for p in (tmp_path / "s" / "data" / "5" / "inodes").iterdir() if p.name.startswith("bucket=")]
+    assert 1 <= len(made) <= 10
+    got = Counter(r["symlink"] for r in store.read().inodes.collect())
+    assert got == {"x": 990, "y": 10} and len(store.versions()) == 3
+    with pytest.raises(ValueError, match="format"):
+        text = (tmp_path / "s" / "done" / "5").read_text().replace('"format": 1', '"format": 9')
+        (tmp_path / "s" / "done" / ".5.crc").unlink(missing_ok=True)
+        (tmp_path / "s" / "done" / "5").write_text(text)
+        stream.Store(spark, str(tmp_path / "s"))
+
+
+def test_open_events_are_filled_or_refused(spark):
+    ev = log(spark, dict(type="UPSERT", id=1, uid=7, fill=["statx.size", "statx.mtime"]), dict(type="UPSERT", id=2, size=3), dict(type="UPSERT", id=4, fill=["statx.size"]), dict(type="UPSERT", id=1, fill=["symlink"]))
+    live = spark.createDataFrame([(1, 11, 12, 13, "/t")], "id long, size long, uid long, mtime_sec long, symlink string")
+    got = {r["seq"]: (r["id"], r["statx"] and r["statx"]["size"], r["statx"] and r["statx"]["uid"], r["symlink"]) for r in enrich.fill(ev, live).collect()}
+    assert got == {0: (1, 11, 7, None), 1: (2, 3, None, None), 3: (1, None, None, "/t")}
     with pytest.raises(Exception, match="no such entry"):
-        fold.resolve_partial(ev, live, skip=False).collect()
+        enrich.fill(ev, live, skip=False).collect()
+    with pytest.raises(Exception, match="not complete"):
+        enrich.reject_open(ev).collect()
+    assert enrich.reject_open(enrich.fill(ev, live)).count() == 3
+
+
+def test_stream_fills_from_a_snapshot(spark, tmp_path):
+    schema = "idx long, rec_type string, target long, parent long, name string, flags int, time_sec long, uid long, gid long, fid string"
+    rows = [(1, "CREAT", 5, 1, "a", 0, 9, 3, 4, "0x5"), (2, "CLOSE", 5, None, None, 0, 9, None, None, None), (3, "CREAT", 6, 1, "b", 0, 9, 3, 4, "0x6"), (4, "UNLNK", 6, 1, "b", 1, 9, None, None, None), (5, "ATIME", 8, None, None, 0, 9, None, None, None)]
+    ev = changelog.expand(spark.createDataFrame(rows, schema))
+    entries_ = spark.createDataFrame([(1, 0, "", "/", DIR, 4096, None), (5, 1, "a", "/a", FILE, 77, {"hsm_state": "8", "other": "1"})], "id long, parent_id long, name string, path string, type int, size long, xattrs map<string,string>")
+    got = {}
+    for dedup in (True, False):
+        store = stream.Store(spark, str(tmp_path / str(dedup)))
+        stream.apply_batch(store, ev, 0, enrich.snapshot_of(entries_), dedup)
+        got[dedup] = tables(store.read())
+        m = store.read()
+        assert {(r["id"], r["type"], r["size"], r["uid"]) for r in m.inodes.collect()} == {(1, DIR, None, None), (5, FILE, 77, 3)}
+        assert {(r["id"], r["ns"], r["key"], r["value"]) for r in m.xattrs.collect()} == {(5, False, "fid", '"0x5"'), (5, False, "hsm_state", "8"), (5, True, "path", '"/a"'), (1, False, "nb_children", "1")}
+    assert got[True] == got[False]
+    changelog.dump(spark.createDataFrame(rows, schema), str(tmp_path / "raw"))
+    assert spark.read.json(str(tmp_path / "raw")).count() == 5
+
+
+def test_events_to_files_and_back(spark, tmp_path):
+    made = log(spark, *random_log(3))
+    stream.write_events(made, str(tmp_path / "json"))
+    back = spark.read.schema(events.SCHEMA).json(str(tmp_path / "json"))
+    assert tables(fold.fold(back)) == tables(fold.fold(made))
+    q = stream.write_events(stream.read_events(spark, str(tmp_path / "json"), kind="json"), str(tmp_path / "again"), str(tmp_path / "ck"))
+    q.awaitTermination()
+    assert spark.read.schema(events.SCHEMA).json(str(tmp_path / "again")).count() == 60
+    assert [r["seq"] for r in stream.first_events(made, 3, after=10).collect()] == [11, 12, 13]
 
 
 def test_changelog(spark):
     schema = "idx long, rec_type string, target long, parent long, name string, source_parent long, source_name string, overwritten long, flags int, time_sec long"
-    rows = [(1, "CREAT", 5, 1, "a", None, None, None, 0, 9), (2, "RENME", 5, 2, "b", 1, "a", None, 0, 9), (3, "RENME", 6, 2, "b", 1, "c", 5, 1, 9), (4, "UNLNK", 6, 2, "b", None, None, None, 3, 9), (5, "MARK", 0, 0, "", None, None, None, 0, 9)]
+    rows = [(1, "CREAT", 5, 1, "a", None, None, None, 0, 9), (2, "RENME", 5, 2, "b", 1, "a", None, 0, 9), (3, "RENME", 6, 2, "b", 1, "c", 5, 1, 9), (4, "UNLNK", 6, 2, "b", None, None, None, 3, 9), (5, "MARK", 0, 0, "", None, None, None, 0, 9), (6, "ATIME", 6, None, None, None, None, None, 0, 9)]
     got = changelog.expand(spark.createDataFrame(rows, schema)).orderBy("seq").collect()
     kinds = [(r["seq"] // 8, r["type"]) for r in got]
-    assert [k for i, k in kinds if i == 1] == ["LINK", "UPSERT", "UPSERT", "XATTR"]
-    assert [k for i, k in kinds if i == 2] == ["UNLINK", "LINK", "UPSERT", "UPSERT", "XATTR", "XATTR"]
-    assert [k for i, k in kinds if i == 3] == ["DELETE", "UNLINK", "LINK", "UPSERT", "UPSERT", "XATTR"]
+    assert [k for i, k in kinds if i == 1] == ["LINK", "XATTR", "UPSERT", "UPSERT", "XATTR"]
+    assert [k for i, k in kinds if i == 2] == ["LINK", "UPSERT", "UPSERT", "XATTR", "UNLINK", "UPSERT", "XATTR"]
+    assert [k for i, k in kinds if i == 3] == ["DELETE", "LINK", "UPSERT", "UPSERT", "UNLINK", "UPSERT", "XATTR"]
     assert [k for i, k in kinds if i == 4] == ["PARTIAL_UNLINK", "UPSERT", "XATTR"]
     assert not [k for i, k in kinds if i == 5]
-
-
-def test_counter_update(spark):
-    row = spark.range(1).select(*[fold.updated(F.lit(1), F.lit(t), F.lit(f), F.lit(2), F.lit(5)) for t, f in ((4, True), (5, False), (5, True), (6, False))]).first()
-    assert tuple(row) == (2, 2, 1, 1)
+    assert [(r["statx"], r["fill"]) for r in got if r["seq"] // 8 == 6 and r["type"] == "UPSERT"] == [(None, ["statx.atime"])]
 
 
 def test_policy_units():
@@ -223,8 +294,11 @@ def test_scan_and_sync(spark, tmp_path):
     got = {r["path"]: r for r in scanner.scan(spark, str(tmp_path)).collect()}
     assert set(got) == {"/", "/d", "/d/x.txt", "/l"}
     assert got["/d/x.txt"]["size"] == 5 and got["/l"]["symlink"] == "d/x.txt" and got["/d/x.txt"]["parent_id"] == got["/d"]["id"]
-    mirror = fold.fold(log(spark).unionByName(sync.events(scanner.scan(spark, str(tmp_path))).withColumn("seq", F.lit(1).cast("long")), allowMissingColumns=True))
+    mirror = fold.fold(sync.events(scanner.scan(spark, str(tmp_path))))
     assert mirror.links.count() == 4 and mirror.inodes.count() == 4
+    assert {r["symlink"] for r in mirror.inodes.collect()} == {None, "d/x.txt"} and mirror.xattrs.where("ns AND key = 'path'").count() == 4
+    with pytest.raises(Exception, match="no id"):
+        sync.events(scanner.scan(spark, str(tmp_path)).withColumn("name", F.lit(None).cast("string")), skip=False).collect()
     with pytest.raises(UsageError):
         sync.projection(["-id"], frozenset({"id"}))
 
