@@ -49,6 +49,11 @@ def dirname() -> Column:
     return F.regexp_replace(F.col("path"), r"^(.*)/[^/]*$", "$1")
 
 
+def below_start(start: str = "/") -> Column:
+    """The path without the start point."""
+    return F.ltrim(F.substring(F.col("path"), len(start.rstrip("/")) + 1, 1 << 30), F.lit("/"))
+
+
 def time_text(name: str) -> Column:
     return clock(F.col(f"{name}_sec"))
 
@@ -125,7 +130,7 @@ def _xattr(name: str) -> Column:
 DIRECTIVES = {
     "a": lambda: time_text("atime"), "A": lambda: F.col("atime_sec"), "b": lambda: F.col("blocks"), "c": lambda: time_text("ctime"), "d": depth, "D": device, "f": lambda: F.col("name"),
     "g": lambda: F.coalesce(F.col("group_name"), F.col("gid").cast("string")), "G": lambda: F.col("gid"), "h": dirname, "H": lambda: F.col("uri"), "i": lambda: F.col("ino"), "I": lambda: F.base64(F.col("id").cast("string").cast("binary")),
-    "l": lambda: F.col("symlink"), "m": octal_mode, "M": symbolic_mode, "n": lambda: F.col("nlink"), "p": lambda: F.col("path"), "P": lambda: F.ltrim(F.col("path"), F.lit("/")),
+    "l": lambda: F.col("symlink"), "m": octal_mode, "M": symbolic_mode, "n": lambda: F.col("nlink"), "p": lambda: F.col("path"), "P": below_start,
     "s": lambda: F.col("size"), "t": lambda: time_text("mtime"), "T": lambda: F.col("mtime_sec"), "u": lambda: F.coalesce(F.col("user_name"), F.col("uid").cast("string")), "U": lambda: F.col("uid"), "y": find_letter,
     "RLb": lambda: listed("begin"), "RLc": lambda: each("comp_flags", lambda x: F.when(x == 0, F.lit("0")).otherwise(flag_names(x, _table("COMP_FLAGS")))), "RLC": target_count, "RLd": lambda: F.when(F.col("mdt_hash_flags") != 0, flag_names(F.col("mdt_hash_flags"), HASH_FLAGS)),
     "RLD": lambda: names_of(F.col("mdt_hash"), _table("HASH_TYPES")), "RLe": lambda: listed("extension_size"), "RLE": lambda: listed("end"), "RLf": lambda: fid_text(F.col("fid")), "RLF": lambda: fid_text(F.col("parent_fid")), "RLg": lambda: _xattr("flags"),
@@ -177,8 +182,8 @@ def pieces(template: str) -> list[tuple[bool, str]]:
     return out
 
 
-def printf(template: str) -> Column:
-    """A template as a string Column; missing values read None."""
+def printf(template: str, start: str = "/") -> Column:
+    """A template as a string Column; missing values read None. `start`: where the search began."""
     parts, text = [], ""
     for directive, value in pieces(template):
         if not directive:
@@ -187,7 +192,7 @@ def printf(template: str) -> Column:
         if text:
             parts.append(F.lit(text))
             text = ""
-        parts.append(_text(DIRECTIVES[value]()))
+        parts.append(_text(below_start(start) if value == "P" else DIRECTIVES[value]()))
     if text or not parts:
         parts.append(F.lit(text))
     return F.concat(*parts)

@@ -12,24 +12,30 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import UsageError
 from ..plans import predicates as P
-from ..plans.ast import Cmp, In, Node, Not, Or
+from ..plans.ast import Cmp, In, Node, Not
 from ..plans.compile import compile_filter
 from ..plans.parser import SORT_COLUMNS
 
-#: Minutes of time units, and quantities.
-MINUTES = {"m": 1, "minute": 1, "h": 60, "hour": 60, "d": 1440, "day": 1440, "w": 10_080, "week": 10_080, "mo": 43_200, "month": 43_200, "y": 525_600, "year": 525_600}
+#: Minutes of time units.
+MINUTES = {
+    "m": 1, "minute": 1, "minutes": 1, "h": 60, "hour": 60, "hours": 60, "d": 1440, "day": 1440, "days": 1440, "w": 10_080, "week": 10_080, "weeks": 10_080,
+    "mo": 43_200, "month": 43_200, "months": 43_200, "y": 525_600, "year": 525_600, "years": 525_600,
+}
+#: Quantities.
 QUANTITIES = {"": 1, "k": 10**3, "M": 10**6, "B": 10**9, "T": 10**12}
+#: Units of sizes and the suffixes of -size.
 STORAGE = {"B": "c", "c": "c", "KB": "k", "k": "k", "MB": "M", "M": "M", "GB": "G", "G": "G", "TB": "T", "T": "T", "PB": "P", "P": "P", "EB": "E", "E": "E"}
+#: Names of file types.
 KINDS = {"file": "f", "dir": "d", "symlink": "l", "block": "b", "char": "c", "fifo": "p", "socket": "s"}
-DATES = ["%Y-%m-%d", "%Y-%m-%d %H:%M", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y/%m/%d", "%d/%m/%Y", "%Y-%m-%dT%H:%M"]
+#: Forms of dates.
+DATES = ["%Y-%m-%d", "%Y-%m-%dT%H:%M:%S", "%d/%m/%Y", "%d-%m-%Y", "%Y/%m/%d", "%Y.%m.%d", "%d.%m.%Y"]
 
 
 def parse_time(text: str) -> tuple[int, str]:
     """(N, 'min') below a day, else (whole days, 'day')."""
     m = re.fullmatch(r"(\d+)\s?([a-zA-Z]+)", text)
-    unit = m and m[2].lower()
-    minutes = MINUTES.get(unit) or (MINUTES.get(unit[:-1]) if unit and unit.endswith("s") and len(unit) > 2 else None)
-    if not m or not minutes:
+    minutes = m and MINUTES.get(m[2].lower())
+    if not minutes:
         raise UsageError(f"invalid time: {text!r}")
     total = int(m[1]) * minutes
     return (total, "min") if total < 1440 else (total // 1440, "day")
@@ -58,9 +64,19 @@ def parse_date(text: str) -> int | None:
     return None
 
 
-def signed(n: int, op: str) -> str:
-    """A find argument for a comparison with a whole number."""
-    return {"=": f"{n}", ">": f"+{n}", ">=": f"+{max(n - 1, 0)}", "<": f"-{n}", "<=": f"-{n + 1}"}[op]
+def in_units(op: str, name: str, n: int, unit: int) -> Node:
+    """A comparison with n units, where a value counts as the units that it begins."""
+    if op == "=":
+        return Cmp(">", name, max(n - 1, 0) * unit) & Cmp("<", name, n * unit + 1 if n else unit + 1)
+    return {">": lambda: Cmp(">", name, n * unit), ">=": lambda: Cmp(">", name, max(n - 1, 0) * unit), "<": lambda: Cmp("<=", name, max(n - 1, 0) * unit), "<=": lambda: Cmp("<=", name, n * unit)}[op]()
+
+
+def at_age(op: str, name: str, now: int, n: int, unit: int) -> Node:
+    """A comparison of an age in whole units with n."""
+    then = now - n * unit
+    if op == "=":
+        return Cmp(">", name, then - unit) & Cmp("<", name, then)
+    return {">": lambda: Cmp("<", name, then), ">=": lambda: Cmp("<", name, now - max(n - 1, 0) * unit), "<": lambda: Cmp(">", name, then), "<=": lambda: Cmp(">", name, then - unit)}[op]()
 
 
 @dataclass(frozen=True)
@@ -118,25 +134,24 @@ class Key:
             n = parse_quantity(value)
             return Condition(lambda ctx: Cmp(op, _NUMBER[name], n))
         if name == "DirCount":
-            return Condition(lambda ctx: P.PREDICATES["-dircount"][1](ctx, signed(parse_quantity(value), op)))
+            count = parse_quantity(value)
+            return Condition(lambda ctx: Cmp(op, "xattrs.nb_children", count))
         if name == "Size":
-            text = f"{value}c" if str(value).isdigit() else re.sub(r"[a-zA-Z]+$", lambda m: STORAGE.get(m[0]) or _bad(value), str(value))
-            number, unit = text[:-1], text[-1]
-            return Condition(lambda ctx: P.PREDICATES["-size"][1](ctx, signed(int(number), op) + unit))
+            m = re.fullmatch(r"(\d+)([a-zA-Z]*)", str(value))
+            if not m or (m[2] or "c") not in STORAGE:
+                raise UsageError(f"invalid size: {value!r}")
+            number, unit = int(m[1]), P.size_unit("1" + STORAGE[m[2] or "c"])[1]
+            return Condition(lambda ctx: in_units(op, "statx.size", number, unit))
         if name in _TIME:
             date = parse_date(str(value))
             if date is not None:
                 return Condition(lambda ctx: Cmp(op, f"statx.{_TIME[name]}", date))
             n, unit = parse_time(str(value))
-            token = f"-{_TIME[name]}" if unit == "day" else f"-{_TIME[name][0]}min"
-            return Condition(lambda ctx: P.PREDICATES[token][1](ctx, signed(n, op)))
+            seconds = 86_400 if unit == "day" else 60
+            return Condition(lambda ctx: at_age(op, f"statx.{_TIME[name]}", ctx.now, n, seconds))
         raise UsageError(f"no condition on {name}")
 
 
-def _bad(value):
-    raise UsageError(f"invalid size: {value!r}")
-
-
 _TEXT = {"Path": "-path", "Name": "-name", "IName": "-iname", "User": "-user", "Group": "-group"}
 _NUMBER = {"UID": "statx.uid", "GID": "statx.gid"}
 _TIME = {"LastAccess": "atime", "LastModification": "mtime", "LastChange": "ctime", "CreationDate": "btime"}
@@ -175,16 +190,37 @@ class Policy:
 
 @dataclass(frozen=True)
 class Trigger:
-    """A test of the store, combined with & and |."""
+    """A test of the store, combined with & and |.
+
+    `watch` gives the test for the entries that an action removes, one after the
+    other: it knows the store's state and is asked with each removed entry. By
+    default the store itself is tested again.
+    """
 
     test: Callable[[DataFrame, P.Context], bool]
     label: str = ""
+    watch_with: Callable[[DataFrame, P.Context], Callable[[object], bool]] | None = None
+
+    def watch(self, e: DataFrame, c: P.Context) -> Callable[[object], bool]:
+        return self.watch_with(e, c) if self.watch_with else lambda removed: self.test(e, c)
+
+    def _with(self, other: "Trigger", word: str, join: Callable) -> "Trigger":
+        def watch(e: DataFrame, c: P.Context) -> Callable[[object], bool]:
+            mine, theirs = self.watch(e, c), other.watch(e, c)
+
+            def told(removed) -> bool:  # both have to hear of it
+                a, b = mine(removed), theirs(removed)
+                return join((a, b))
+
+            return told
+
+        return Trigger(lambda e, c: join(t.test(e, c) for t in (self, other)), f"({self.label} {word} {other.label})", watch)
 
     def __and__(self, other: "Trigger") -> "Trigger":
-        return Trigger(lambda e, c: self.test(e, c) and other.test(e, c), f"({self.label} and {other.label})")
+        return self._with(other, "and", all)
 
     def __or__(self, other: "Trigger") -> "Trigger":
-        return Trigger(lambda e, c: self.test(e, c) or other.test(e, c), f"({self.label} or {other.label})")
+        return self._with(other, "or", any)
 
 
 Always_ = Trigger(lambda e, c: True, "always")
@@ -219,23 +255,39 @@ def statistic(entries: DataFrame, node: Node, what: str) -> int:
 
 def mirror_trigger(owner: str, names: list, what: str, op: str, threshold) -> Trigger:
     """owner: User or Group; what: FileCount, InodeCount or DiskUsage, against a threshold."""
+    if owner not in ("User", "Group") or what not in ("FileCount", "InodeCount", "DiskUsage"):
+        raise UsageError(f"no trigger on {owner} {what}")
     limit = parse_bytes(threshold) if what == "DiskUsage" else parse_quantity(threshold)
+    column = "uid" if owner == "User" else "gid"
 
-    def node(ctx: P.Context) -> Node:
-        column, table = ("statx.uid", ctx.users) if owner == "User" else ("statx.gid", ctx.groups)
-        ids = tuple(n if isinstance(n, int) else table[n] for n in names)
-        test: Node = Or(tuple(Cmp("=", column, i) for i in ids)) if len(ids) > 1 else In(column, ids)
-        return test & P.file_type(ctx, "f") if what == "FileCount" else test
+    def ids(ctx: P.Context) -> tuple[int, ...]:
+        table = ctx.users if owner == "User" else ctx.groups
+        return tuple(n if isinstance(n, int) else table[n] for n in names)
 
-    return Trigger(lambda e, c: _COMPARE[op](statistic(e, node(c), "sum" if what == "DiskUsage" else "count"), limit), f"{what}({owner}) {op} {threshold}")
+    def count(e: DataFrame, c: P.Context) -> int:
+        test: Node = In(f"statx.{column}", ids(c))
+        return statistic(e, test & P.file_type(c, "f") if what == "FileCount" else test, "sum" if what == "DiskUsage" else "count")
+
+    def watch(e: DataFrame, c: P.Context) -> Callable[[object], bool]:
+        # Counted once; what is removed is taken off.
+        left, mine = [count(e, c)], set(ids(c))
+
+        def told(removed) -> bool:
+            if removed is not None and removed[column] in mine and (what != "FileCount" or removed["type"] == P.TYPES["f"]):
+                left[0] -= (removed["size"] or 0) if what == "DiskUsage" else 1
+            return _COMPARE[op](left[0], limit)
+
+        return told
+
+    return Trigger(lambda e, c: _COMPARE[op](count(e, c), limit), f"{what}({owner}) {op} {threshold}", watch)
 
 
 def plan(policy: Policy, entries: DataFrame, ctx: P.Context, fresh: DataFrame | None = None) -> DataFrame:
     """The entries to act on with `rule` (null: the policy's own action), in scan order, within the quotas.
 
     Entries that no longer match in `fresh` are left out. Quotas rank the
-    entries of a rule in the policy's order; a quota is the number of actions
-    of a run, so the ranking needs only the first rows of each rule.
+    entries of a rule in the policy's order. The largest quota limits the ranking
+    itself, so no more than that many rows of a rule leave a task.
     """
     rows = entries.where(compile_filter(policy.target.build(ctx)))
     if fresh is not None:
@@ -246,14 +298,19 @@ def plan(policy: Policy, entries: DataFrame, ctx: P.Context, fresh: DataFrame |
     rows = rows.withColumn("rule", rule)
     order = [F.col(SORT_COLUMNS.get(c, c)).asc_nulls_first() if up else F.col(SORT_COLUMNS.get(c, c)).desc_nulls_last() for c, up in policy.sort] or [F.asc("id")]
     quotas = {r.name: r.max_count for r in policy.rules} | {None: policy.max_count}
-    if any(q is not None for q in quotas.values()):
-        parts = []
-        for name, q in quotas.items():
-            mine = rows.where(F.col("rule").isNull() if name is None else F.col("rule") == name)
-            parts.append(mine if q is None else mine.orderBy(*order, F.asc("id")).limit(q))
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionAll(p)
+    limits = {name: q for name, q in quotas.items() if q is not None}
+    if limits:
+        mine = lambda name: F.col("rule").isNull() if name is None else F.col("rule") == name
+        quota = F.lit(None).cast("long")
+        for name, q in limits.items():
+            quota = F.when(mine(name), F.lit(q)).otherwise(quota)
+        w = Window.partitionBy("rule").orderBy(*order, F.asc("id"))
+        held = rows.withColumn("_quota", quota)
+        ranked = held.where("_quota IS NOT NULL").withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= max(limits.values())).where("_rank <= _quota")
+        free = [name for name in quotas if name not in limits]
+        rows = ranked.drop("_rank", "_quota")
+        if free:
+            rows = rows.unionAll(held.where("_quota IS NULL").drop("_quota"))
     return rows.orderBy(*order) if policy.sort else rows
 
 
@@ -266,26 +323,31 @@ class Outcome:
     by_rule: dict = field(default_factory=dict)
 
 
-def run(policy: Policy, entries: DataFrame, ctx: P.Context, act: Callable[[object, object], None] | None = None, manual: bool = False, fresh: DataFrame | None = None) -> Outcome:
-    """Evaluate the trigger, then act on each planned entry; rows come to the driver a partition at a time."""
+#: Actions after which an entry no longer counts.
+REMOVING = ("delete", "purge")
+
+
+def run(policy: Policy, entries: DataFrame, ctx: P.Context, act: Callable[[object, object], None] | None = None, manual: bool = False, fresh: DataFrame | None = None, removing: tuple = REMOVING) -> Outcome:
+    """Evaluate the trigger, then act on each planned entry; rows come to the driver a partition at a time.
+
+    The stop threshold is asked after each action. It counts the store once and
+    takes off what the actions in `removing` remove; a callable removes if it returns True.
+    """
     if policy.trigger is not None and not manual and not policy.trigger.test(entries, ctx):
         return Outcome(False)
     out = Outcome(True)
     actions = {r.name: r.action if r.action is not None else policy.action for r in policy.rules} | {None: policy.action}
+    stops = policy.stop.watch(entries, ctx) if policy.stop is not None else None
     for row in plan(policy, entries, ctx, fresh).toLocalIterator():
-        action = actions[row["rule"]]
+        action, removed = actions[row["rule"]], False
         try:
-            action(row) if callable(action) else act(action, row) if act else None
+            result = action(row) if callable(action) else act(action, row) if act else None
+            removed = result is True or (not callable(action) and action in removing)
             out.done += 1
             out.by_rule[row["rule"]] = out.by_rule.get(row["rule"], 0) + 1
         except Exception:  # one entry's failure doesn't end the run
             out.errors += 1
-        if policy.stop is not None and policy.stop.test(entries, ctx):
+        if stops is not None and stops(row if removed else None):
             out.stopped = True
             break
     return out
-
-
-def window_rank(rows: DataFrame, by: str, order: list) -> DataFrame:
-    """Rank within groups, for callers that need the rank itself."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))

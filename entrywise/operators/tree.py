@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from ..sources.folders import shared_folder
 
 
+def parent_of(entries: DataFrame, of: DataFrame) -> DataFrame:
+    """The parents of some entries, one row for each."""
+    return entries.join(of.select(F.col("parent_id").alias("id")).distinct(), "id", "left_semi")
+
+
+def root(entries: DataFrame) -> DataFrame:
+    """The entry without a parent."""
+    return entries.where((F.col("parent_id") == 0) | F.col("parent_id").isNull())
+
+
 def children(entries: DataFrame) -> DataFrame:
     """(id, n_children) of every directory that has children."""
     return entries.where(F.col("parent_id").isNotNull()).groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("n_children"))
@@ -21,7 +31,7 @@ def branch(entries: DataFrame, root_id) -> DataFrame:
     the checkpoint folder. The walk ends with an empty level, at any depth; an
     entry that is met again, as in a cycle, isn't walked again.
     """
-    directories = entries.where(F.col("type") == 0o040000).select("id", "parent_id")
+    directories = keep(entries.where(F.col("type") == 0o040000).select("id", "parent_id"))
     seen = level = entries.where(F.col("id") == root_id).select("id")
     depth = 0
     while True:
@@ -62,9 +72,9 @@ def derive_paths(entries: DataFrame) -> DataFrame:
     path in one join. The walk ends with an empty level, at any depth; a
     directory below itself, as in a cycle, isn't walked again.
     """
-    directories = entries.where(F.col("type") == 0o040000).select("id", "parent_id", "name")
-    root = entries.where(F.col("name") == "").select("id", "parent_id", "name", F.lit("/").alias("path"))
-    level = keep(root.withColumn("_ids", F.array("id")))
+    directories = keep(entries.where(F.col("type") == 0o040000).select("id", "parent_id", "name"))
+    top = entries.where(F.col("name") == "").select("id", "parent_id", "name", F.lit("/").alias("path"))
+    level = keep(top.withColumn("_ids", F.array("id")))
     done = level.drop("_ids")
     depth = 0
     while True:
@@ -85,7 +95,11 @@ def _join(up: str):
 
 
 def repair_paths(entries: DataFrame) -> DataFrame:
-    """Entries with paths that agree with their parents, and `repaired` where that changed something."""
+    """Entries with paths that agree with their parents, and `repaired` where that changed something.
+
+    A directory that has moved leaves wrong paths below it that look complete, so
+    all paths are compared with the derived ones; what agrees isn't changed.
+    """
     right = derive_paths(entries).select("id", "parent_id", "name", F.col("path").alias("_right"))
     out = entries.join(right, ["id", "parent_id", "name"], "left")
     return out.withColumn("repaired", F.col("_right").isNotNull() & ~F.col("path").eqNullSafe(F.col("_right"))).withColumn("path", F.coalesce("_right", "path")).drop("_right")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import UsageError
 from .ast import Always, And, Bits, Cmp, Elem, Exists, Get, In, Node, Not, Or, Regex
-from .schema import field
+from .schema import field, promote
 
 _DUAL = {"<": ">=", "<=": ">", ">": "<=", ">=": "<"}
 _BIT_DUAL = {"any_set": "all_clear", "all_set": "any_clear", "any_clear": "all_set", "all_clear": "any_set"}
@@ -110,3 +110,21 @@ def resolve(node: Node, entries: DataFrame) -> Node | None:
         part = resolve(node.part, entries)
         return None if part is None else Not(part)
     return node
+
+
+def fields_of(node: Node) -> dict[str, str | None]:
+    """The fields a tree refers to, with the SQL types of what they are compared with."""
+    if isinstance(node, (And, Or)):
+        return {k: v for p in node.parts for k, v in fields_of(p).items()}
+    if isinstance(node, Not):
+        return fields_of(node.part)
+    if isinstance(node, (Always, Get)):
+        return {}
+    value = node.value if isinstance(node, Cmp) else (node.values or (None,))[0] if isinstance(node, In) else 0 if isinstance(node, Bits) else None
+    kind = next((t for c, t in ((bool, "boolean"), (int, "bigint"), (float, "double"), (bytes, "binary")) if isinstance(value, c)), None)
+    return {node.field: kind}
+
+
+def with_fields(entries: DataFrame, node: Node) -> DataFrame:
+    """The entries with the attributes of maps that a tree refers to as columns."""
+    return promote(entries, fields_of(node))

@@ -135,7 +135,8 @@ def access(bit: int) -> Callable:
         is_owner = Cmp("=", "statx.uid", uid)
         in_group = In("statx.gid", gids)
         if not ctx.acls:
-            return Or((And((owns, is_owner)), other, And((group, in_group))))
+            # Without ACLs only the primary group counts, the first of a user's groups.
+            return Or((And((owns, is_owner)), other, *(And((group, Cmp("=", "statx.gid", g))) for g in gids[:1])))
         named_user = Elem("xattrs.acl_users", (("=", "id", uid),))
         user_can = Elem("xattrs.acl_users", (("=", "id", uid), ("all_set", "p", bit)))
         named_group = Or(tuple(Elem("xattrs.acl_groups", (("=", "id", g),)) for g in gids)) if gids else Not(Always())

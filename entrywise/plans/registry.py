@@ -571,10 +571,14 @@ def fold_xattrs(spark, sf_dir):
     return _xattrs(fold.fold_xattrs(adapter.events(spark, sf_dir)))
 
 
+def _stored(m: fold.Mirror) -> fold.Mirror:
+    return fold.Mirror(*(tree.keep(t) for t in (m.inodes, m.links, m.xattrs)))
+
+
 def _two_batches(spark, sf_dir) -> fold.Mirror:
     ev = adapter.events(spark, sf_dir)
     middle = ev.agg(F.expr("cast((min(seq) + max(seq)) / 2 as bigint)")).first()[0]
-    return fold.apply(fold.fold(ev.where(F.col("seq") <= middle)), ev.where(F.col("seq") > middle))
+    return fold.apply(_stored(fold.fold(ev.where(F.col("seq") <= middle))), ev.where(F.col("seq") > middle))
 
 
 @query(_INODES)
@@ -594,7 +598,7 @@ def fold_xattrs_two_batches(spark, sf_dir):
 
 @query(_INODES)
 def fold_compact(spark, sf_dir):
-    return _inodes(fold.fold(fold.compact(adapter.events(spark, sf_dir))).inodes)
+    return _inodes(fold.fold_inodes(fold.compact(adapter.events(spark, sf_dir))))
 
 
 @query(f"WITH {_EV}, s AS (SELECT * FROM ev WHERE type = 'XATTR' AND op = 'set' AND try_cast(value AS BIGINT) IS NOT NULL), t AS (SELECT id, max(seq % 4) AS stamp FROM s GROUP BY 1) SELECT id, t.stamp, coalesce(min_by(value, seq) FILTER (seq % 3 = 0), max_by(value, seq)) AS value FROM s JOIN t USING (id) WHERE s.seq % 4 = t.stamp GROUP BY ALL")
@@ -603,7 +607,7 @@ def fold_counters(spark, sf_dir):
     sets = adapter.events(spark, sf_dir).where("type = 'XATTR' AND op = 'set' AND try_cast(value AS bigint) IS NOT NULL")
     sets = sets.withColumns({"ns": F.lit(False), "key": F.lit("nb_children"), "stamp": F.col("seq") % 4, "final": F.col("seq") % 3 == 0})
     middle = sets.agg(F.expr("cast((min(seq) + max(seq)) / 2 as bigint)")).first()[0]
-    return fold.apply(fold.fold(sets.where(F.col("seq") <= middle)), sets.where(F.col("seq") > middle)).xattrs.select("id", "stamp", "value")
+    return fold.apply(_stored(fold.fold(sets.where(F.col("seq") <= middle))), sets.where(F.col("seq") > middle)).xattrs.select("id", "stamp", "value")
 
 
 def _streamed(spark, sf_dir) -> fold.Mirror:

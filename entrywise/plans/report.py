@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import TYPE_NAMES, UsageError
 from .ast import Always, Node
-from .compile import compile_filter, resolve
-from .schema import field
+from .compile import compile_filter, resolve, with_fields
+from .schema import field, promote
 
 ACCUMULATORS = ["avg", "count", "max", "min", "sum"]
 
@@ -106,7 +106,8 @@ def report(entries: DataFrame, group_by: str | None, output: str, node: Node = A
     known = resolve(node, entries)
     if known is None:
         raise UsageError("the predicate refers to an entry that doesn't exist")
-    rows = entries.where(compile_filter(known))
+    rows = with_fields(entries, known).where(compile_filter(known))
+    rows = promote(rows, {k.field: "bigint" if k.bounds else None for k in keys} | {o.field: "bigint" for o in outs if o.field})
     results = [_accumulate(o).alias(o.name) for o in outs]
     if not keys:
         return rows.agg(F.count(F.lit(1)).alias("_n"), *results).where("_n > 0").drop("_n")

@@ -1,4 +1,4 @@
-"""Store addresses: `rbh:BACKEND:NAME[#PATH or #[ID]]`."""
+"""Store addresses: `SCHEME:BACKEND:NAME[#PATH or #[ID]]`."""
 
 from __future__ import annotations
 
@@ -30,8 +30,12 @@ def percent_decode(text: str) -> bytes:
     return bytes(out)
 
 
-def parse_uri(text: str) -> Uri:
-    m = re.fullmatch(r"rbh:([^:#]+):([^#]*)(?:#(.*))?", text, re.S)
+#: Scheme of addresses unless another one is given.
+SCHEME = "entrywise"
+
+
+def parse_uri(text: str, scheme: str = SCHEME) -> Uri:
+    m = re.fullmatch(re.escape(scheme) + r":([^:#]+):([^#]*)(?:#(.*))?", text, re.S)
     if not m:
         raise UsageError(f"invalid address: {text!r}")
     backend, name, fragment = m[1], percent_decode(m[2]).decode(), m[3]

@@ -79,34 +79,32 @@ def _same(a: str, b: str) -> Column:
 
 def _of_links(rows: DataFrame) -> DataFrame:
     """Attribute events with the keys they end at: those of links that are gone are left out, those of partly unlinked ids move."""
+    named = rows.where("type IN ('LINK', 'UNLINK')").join(_cuts(rows), "id", "left")
+    # The attributes of a link are those since its last LINK; of one that a PARTIAL_UNLINK met, those since the LINK before that.
+    at = F.struct("type", "seq")
+    ends = named.groupBy("id", "parent_id", "name").agg(F.max_by(at, "seq").alias("_now"), F.max_by(at, F.when(F.col("seq") <= F.col("_cut"), F.col("seq"))).alias("_then"), F.any_value("_cut").alias("_cut"))
     xattrs = rows.where("type = 'XATTR' AND key IS NOT NULL").select("seq", "id", F.coalesce("ns", F.lit(False)).alias("ns"), "parent_id", "name", "key", "op", "value", "stamp", "final")
-    inode = xattrs.where("NOT ns").withColumns({"parent_id": F.lit(None).cast("long"), "name": F.lit(None).cast("string")})
-    cuts = _cuts(rows)
-    ends = rows.where("type IN ('LINK', 'UNLINK')").select("seq", "id", "parent_id", "name", "type").alias("l")
-    # The span of a link: from a LINK to the next LINK or UNLINK of it; the one that a PARTIAL_UNLINK meets is moved.
-    ends = ends.join(cuts, "id", "left").groupBy("id", "parent_id", "name").agg(F.max_by(F.struct("type", "seq"), "seq").alias("_now"), F.max_by(F.struct("type", "seq"), F.when(F.col("seq") <= F.col("_cut"), F.col("seq"))).alias("_then"), F.any_value("_cut").alias("_cut"))
-    kept = xattrs.where("ns AND parent_id IS NOT NULL").join(ends, ["id", "parent_id", "name"])
-    moved = kept.where("_cut IS NOT NULL AND seq <= _cut AND _then.type = 'LINK' AND seq >= _then.seq").withColumns({"parent_id": F.lit(None).cast("long"), "name": F.lit(None).cast("string")})
-    stay = kept.where("_now.type = 'LINK' AND seq >= _now.seq AND (_cut IS NULL OR seq > _cut)")
-    already = xattrs.where("ns AND parent_id IS NULL")
-    columns = xattrs.columns
-    return inode.select(*columns).unionByName(stay.select(*columns)).unionByName(moved.select(*columns)).unionByName(already)
+    both = xattrs.join(ends, (xattrs.ns) & (xattrs.id == ends.id) & (xattrs.parent_id == ends.parent_id) & (xattrs.name == ends.name), "left").drop(ends.id, ends.parent_id, ends.name)
+    stays = F.expr("_now.type = 'LINK' AND seq >= _now.seq AND (_cut IS NULL OR seq > _cut)")
+    moves = F.expr("seq <= _cut AND _then.type = 'LINK' AND seq >= _then.seq")
+    kept = both.where(~F.col("ns") | F.col("parent_id").isNull() | F.coalesce(stays, F.lit(False)) | F.coalesce(moves, F.lit(False)))
+    own = F.col("ns") & F.coalesce(stays, F.lit(False))
+    return kept.select("seq", "id", "ns", F.when(own, F.col("parent_id")).alias("parent_id"), F.when(own, F.col("name")).alias("name"), "key", "op", "value", "stamp", "final")
 
 
 def fold_xattrs(events: DataFrame) -> DataFrame:
     """(id, ns, parent_id, name, key, value, stamp, final) of every attribute that is set."""
     rows = _of_links(live(events))
     order = F.struct(F.coalesce("stamp", F.lit(-(1 << 63))).alias("stamp"), F.coalesce("final", F.lit(False)).alias("final"), F.when(F.coalesce("final", F.lit(False)), -F.col("seq")).otherwise(F.col("seq")).alias("seq"))
-    held = F.when(F.col("op") == "set", F.struct("value", "stamp", "final"))
-    fixed = rows.where("op IN ('set', 'unset')").groupBy(*_KEY).agg(F.max_by("seq", order).alias("_at"), F.max_by(held, order).alias("_base"))
-    # The increments that count are those after the last fixed operation; the sums are partial before the shuffle.
-    incs = rows.where("op = 'inc'").alias("i").join(fixed.select(*_KEY, "_at").alias("f"), _same("i", "f"), "left").where("_at IS NULL OR i.seq > _at")
-    more = incs.groupBy(*[F.col(f"i.{c}").alias(c) for c in _KEY]).agg(F.sum(F.expr("try_cast(i.value AS bigint)")).alias("_more"))
-    none = F.lit(None)
-    both = fixed.select(*_KEY, "_base", none.cast("long").alias("_more")).unionAll(more.select(*_KEY, none.cast("struct<value:string,stamp:bigint,final:boolean>"), "_more"))
-    out = both.groupBy(*_KEY).agg(F.max("_base").alias("_base"), F.max("_more").alias("_more")).where("_base IS NOT NULL OR _more IS NOT NULL")
-    total = (F.coalesce(F.expr("try_cast(_base.value AS bigint)"), F.lit(0)) + F.col("_more")).cast("string")
-    return out.select(*_KEY, F.when(F.col("_more").isNull(), F.col("_base.value")).otherwise(total).alias("value"), "_base.stamp", "_base.final")
+    fixes = F.col("op").isin("set", "unset")
+    # The last fixed operation of each key; the increments that count are those after it. Sums are partial before the shuffle.
+    fixed = rows.where(fixes).groupBy(*_KEY).agg(F.max_by(F.struct((F.col("op") == "set").alias("is_set"), "value", "stamp", "final", "seq"), order).alias("_base"))
+    more = rows.alias("i").join(fixed.alias("f"), _same("i", "f"), "left")
+    counts = (F.col("i.op") == "inc") & (F.col("_base").isNull() | (F.col("i.seq") > F.col("_base.seq")))
+    anchor = fixes & (F.col("i.seq") == F.col("_base.seq"))
+    kept = more.where(counts | anchor).groupBy(*[F.col(f"i.{c}").alias(c) for c in _KEY]).agg(F.sum(F.when(counts, F.expr("try_cast(i.value AS bigint)"))).alias("_more"), F.max(F.when(anchor & F.col("_base.is_set"), F.struct("_base.value", "_base.stamp", "_base.final"))).alias("_held"))
+    total = (F.coalesce(F.expr("try_cast(_held.value AS bigint)"), F.lit(0)) + F.col("_more")).cast("string")
+    return kept.where("_held IS NOT NULL OR _more IS NOT NULL").select(*_KEY, F.when(F.col("_more").isNull(), F.col("_held.value")).otherwise(total).alias("value"), "_held.stamp", "_held.final")
 
 
 def as_events(mirror: Mirror) -> DataFrame:
@@ -125,7 +123,11 @@ def fold(events: DataFrame) -> Mirror:
 
 
 def apply(mirror: Mirror, events: DataFrame) -> Mirror:
-    """The mirror after the events."""
+    """The mirror after the events.
+
+    The plan reads the mirror several times, so it should be stored tables and
+    not the plan of another fold.
+    """
     return fold(as_events(mirror).unionAll(complete(events)))
 
 

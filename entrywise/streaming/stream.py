@@ -145,7 +145,7 @@ def _merged(batch: DataFrame) -> DataFrame:
     open_ = "type = 'UPSERT' AND size(fill) > 0"
     names = F.array_sort(F.array_distinct(F.flatten(F.collect_set("fill")))).alias("fill")
     merged = left.where(open_).groupBy("type", "id").agg(names, F.max("seq").alias("seq"))
-    told = left.withColumn("fill", F.when(~F.expr(f"coalesce({open_}, false)"), F.col("fill")))
+    told = complete(left.withColumn("fill", F.when(~F.expr(f"coalesce({open_}, false)"), F.col("fill"))))
     return told.unionAll(complete(merged))
 
 

@@ -60,7 +60,7 @@ def test_time_predicates():
     assert parse(["-mmin", "5"], CTX).filter == And((Cmp(">", "statx.mtime", CTX.now - 360), Cmp("<", "statx.mtime", CTX.now - 300)))
 
 
-@pytest.mark.parametrize("args", ["-o -type f", "-type f -o", "( -type f", "( )", "-type x", "-type", "-nosuch", "-type f rbh:mongo:x", "-user bob", "-limit 1 -limit 2", "-prune", "-true", "-a -type f", "! -print", "-sort nothing", "-size q", ")"])
+@pytest.mark.parametrize("args", ["-o -type f", "-type f -o", "( -type f", "( )", "-type x", "-type", "-nosuch", "-type f entrywise:mongo:x", "-user bob", "-limit 1 -limit 2", "-prune", "-true", "-a -type f", "! -print", "-sort nothing", "-size q", ")"])
 def test_usage_errors(args):
     with pytest.raises(UsageError):
         parse(args.split(), CTX)
@@ -87,10 +87,10 @@ def test_aliases():
 
 
 def test_uris():
-    assert parse_uri("rbh:mongo:a%20b#x/y") == Uri("mongo", "a b", "x/y")
-    assert parse_uri("rbh:mongo:t#[0x1:0x2:0x3]").id == (1).to_bytes(8, "little") + (2).to_bytes(4, "little") + (3).to_bytes(4, "little")
-    assert parse_uri("rbh:posix:/mnt") == Uri("posix", "/mnt")
-    for bad in ("mongo:x", "rbh:mongo:", "rbh::x", "rbh:mongo:a%zz"):
+    assert parse_uri("entrywise:mongo:a%20b#x/y") == Uri("mongo", "a b", "x/y")
+    assert parse_uri("entrywise:mongo:t#[0x1:0x2:0x3]").id == (1).to_bytes(8, "little") + (2).to_bytes(4, "little") + (3).to_bytes(4, "little")
+    assert parse_uri("entrywise:posix:/mnt") == Uri("posix", "/mnt")
+    for bad in ("mongo:x", "entrywise:mongo:", "entrywise::x", "entrywise:mongo:a%zz"):
         with pytest.raises(UsageError):
             parse_uri(bad)
 
