@@ -8,15 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import maintenance, policy, tree
-from ..sources import adapter, config, sync
+from ..operators import enrichers, maintenance, policy, tree
+from ..sources import adapter, config, objects, sync
 from ..sources.folders import shared_folder
 from ..streaming import changelog, enrich, fold, stream
 from . import find as finder
 from . import report as reporter
 from .ast import And, Bits, Cmp, Elem, Exists, In, Not, Or, Regex
-from .parser import parse
+from .parser import expand_aliases, parse
 from .predicates import HASH_TYPES, HSM_STATES, MIRROR_STATES, Context
+from .schema import ATTRIBUTE_TYPES
 
 NOW = adapter.NOW
 MAX = adapter.INT64_MAX
@@ -102,9 +103,9 @@ FIND: dict[str, tuple[str, str]] = {
     "find_perm_all": ("-perm -u+rw,g+r", "(mode & 416) = 416"),
     "find_perm_symbolic": ("-perm u=rwx,go=rx", "mode = 493"),
     "find_not_perm_all": ("! -perm -600", "(mode & 384) <> 384"),
-    "find_readable": ("-readable u3", "((mode & 256) <> 0 AND uid = 1003) OR (mode & 4) <> 0 OR ((mode & 32) <> 0 AND gid IN (3, 6))"),
-    "find_writable": ("-writable 1005:2,4", "((mode & 128) <> 0 AND uid = 1005) OR (mode & 2) <> 0 OR ((mode & 16) <> 0 AND gid IN (2, 4))"),
-    "find_executable": ("-executable u9 -type f", "(((mode & 64) <> 0 AND uid = 1009) OR (mode & 1) <> 0 OR ((mode & 8) <> 0 AND gid IN (9, 2))) AND type = 32768"),
+    "find_readable": ("-readable u3", "((mode & 256) <> 0 AND uid = 1003) OR (mode & 4) <> 0 OR ((mode & 32) <> 0 AND gid = 3)"),
+    "find_writable": ("-writable 1005:2,4", "((mode & 128) <> 0 AND uid = 1005) OR (mode & 2) <> 0 OR ((mode & 16) <> 0 AND gid = 2)"),
+    "find_executable": ("-executable u9 -type f", "(((mode & 64) <> 0 AND uid = 1009) OR (mode & 1) <> 0 OR ((mode & 8) <> 0 AND gid = 9)) AND type = 32768"),
     "find_empty": ("-empty", "(size = 0 AND type = 32768) OR (type = 16384 AND coalesce(nb_children = 0, false))"),
     "find_dircount": ("-dircount +1", _sure("nb_children > 1")),
     "find_xattr": ("-xattr user_tag", "user_tag IS NOT NULL"),
@@ -137,7 +138,7 @@ FIND: dict[str, tuple[str, str]] = {
     "find_pool": ("-pool ssd[01]", _some("pool", "regexp_full_match(v, 'ssd[01]')")),
     "find_ipool": ("-ipool hdd1", _some("pool", "lower(v) = 'hdd1'")),
     "find_acl_user": ("-acl-user 1004", _some("acl_users", "v.id = 1004")),
-    "find_acl_user_perm": ("-acl-user 1004:rw", _some("acl_users", "v.id = 1004 AND (v.p & 6) = 6")),
+    "find_acl_user_perm": ("-acl-user 1004:r", _some("acl_users", "v.id = 1004 AND (v.p & 4) = 4")),
     "find_acl_group": ("-acl-group 8:r", _some("acl_groups", "v.id = 8 AND (v.p & 4) = 4")),
     "find_acl_default_user": ("-acl-default-user 1000:5", _some("acl_default_users", "v.id = 1000 AND (v.p & 5) = 5")),
     "find_acl_default_group": ("-acl-default-group 2", _some("acl_default_groups", "v.id = 2")),
@@ -200,7 +201,7 @@ ALGEBRA = {
     "filter_bits_all_clear": (Bits("all_clear", "statx.mode", 7), "(mode & 7) = 0"),
     "filter_not_bits": (Not(Bits("any_clear", "xattrs.hsm_state", 6)), _sure("(hsm_state & 6) = 6")),
     "filter_not_elem": (Not(Elem("xattrs.acl_users", ((">=", "id", 1004), ("all_set", "p", 4)))), f"NOT {_some('acl_users', 'v.id >= 1004 AND (v.p & 4) = 4')}"),
-    "filter_exists": (And((Exists("xattrs.user_tag"), Exists("xattrs.hsm_state", False))), "user_tag IS NOT NULL AND hsm_state IS NULL"),
+    "filter_exists": (And((Exists("xattrs.user_tag"), Exists("xattrs.comp_count", False))), "user_tag IS NOT NULL AND comp_count IS NULL"),
     "filter_not_regex_missing": (Not(Regex("symlink", "[0-4]\\.dat$")), "NOT coalesce(regexp_matches(symlink, '[0-4]\\.dat$'), false)"),
     "filter_de_morgan": (Not(And((Cmp(">", "xattrs.comp_count", 1), Or((Cmp("=", "statx.gid", 2), Not(Exists("xattrs.user_tag"))))))), "coalesce(comp_count <= 1, false) OR (NOT coalesce(gid = 2, false) AND user_tag IS NOT NULL)"),
     "filter_not_array_order": (Not(Cmp("<", "xattrs.begin", 1 << 20)), _some("begin", "v >= 1048576")),
@@ -299,6 +300,94 @@ def find_two_stores(spark, sf_dir):
     return finder.find_all([e, e], ["-type", "d"], context()).select("id", "name", "size")
 
 
+@query(f"{_view()} SELECT id, name, size FROM e WHERE path = (SELECT max(path) FROM e WHERE path LIKE '/r1/%/%/o%')")
+def entry_at_path(spark, sf_dir):
+    e = adapter.entries(spark, sf_dir)
+    path = e.where("path LIKE '/r1/%/%/o%'").agg(F.max("path")).first()[0]
+    return finder.entry_at(adapter.entries(spark, sf_dir, False), path).select("id", "name", "size")
+
+
+@query(f"{_view()} SELECT id, name, size FROM e WHERE ino = 100 AND type = 32768")
+def find_filter_one(spark, sf_dir):
+    return finder.filter_one(adapter.entries(spark, sf_dir, False), parse("-inum 100 -type f".split(), context()).filter).select("id", "name", "size")
+
+
+@query(f"{_view()} SELECT id, name, size FROM e WHERE size > 10485760 AND lower(name) LIKE '%.txt'")
+def find_alias(spark, sf_dir):
+    table = {"big": ["-size", "+10M"], "text": ["-iname", "*.txt"], "both": ["--alias", "big,text"]}
+    return finder.find(adapter.entries(spark, sf_dir, False), expand_aliases(["--alias", "both"], table), context()).select("id", "name", "size")
+
+
+@query(f"{_view()} SELECT id, size + 1 AS size FROM e WHERE size > 1048576 AND type = 32768 AND ino % 3 <> 0")
+def find_checked(spark, sf_dir):
+    """-checked-exec: what still matches in a fresh snapshot, with its values."""
+    e = adapter.entries(spark, sf_dir, False)
+    fresh = e.withColumn("size", F.when(F.col("ino") % 3 == 0, F.lit(0)).otherwise(F.col("size") + 1))
+    return finder.checked(e, fresh, parse("-type f -size +1M".split(), context()).filter).select("id", "size")
+
+
+def _mapped(spark, sf_dir, path: bool = False) -> DataFrame:
+    """The entry view whose attributes are in a map of JSON texts only."""
+    e = adapter.entries(spark, sf_dir, path)
+    pairs = F.create_map(
+        F.lit("user.foo"), F.when(F.col("ino") % 3 == 0, F.concat(F.lit('"v'), (F.col("ino") % 5).cast("string"), F.lit('"'))), F.lit("user.n"), F.when(F.col("ino") % 2 == 0, (F.col("ino") % 50).cast("string")).otherwise(F.lit('"none"')),
+        F.lit("ost"), F.to_json("ost"), F.lit("acl_users"), F.to_json("acl_users"), F.lit("project_id"), F.col("project_id").cast("string"),
+    )
+    dropped = [c for c in adapter.columns() if c in ATTRIBUTE_TYPES and c != "path"]
+    return e.withColumn("xattrs", F.map_filter(pairs, lambda k, v: v.isNotNull())).drop(*dropped)
+
+
+@query(f"{_view()} SELECT id, name, size FROM e WHERE ino % 3 = 0 AND coalesce(len(list_filter(ost, lambda v: v = 3)) > 0, false) OR coalesce(len(list_filter(acl_users, lambda v: v.id = 1004 AND (v.p & 4) = 4)) > 0, false)")
+def find_xattr_map(spark, sf_dir):
+    """-xattr, -ost and -acl-user where the attributes are keys of a map."""
+    return finder.find(_mapped(spark, sf_dir), "-xattr user.foo -ost 3 -o -acl-user 1004:r".split(), context()).select("id", "name", "size")
+
+
+@query(f"{_view()} SELECT id, name, size FROM e WHERE (ino % 2 = 0 AND ino % 50 > 40) OR (ino % 3 = 0 AND ino % 5 = 2)")
+def filter_xattr_map(spark, sf_dir):
+    node = Or((Cmp(">", "xattrs.user.n", 40), Regex("xattrs.user.foo", "^v2$")))
+    return finder.select(_mapped(spark, sf_dir), node).select("id", "name", "size")
+
+
+@query(f"{_view()} SELECT concat('v', ino % 5) AS id_xattrs_user_foo, count(*) AS result_count, coalesce(sum(CASE WHEN ino % 2 = 0 THEN ino % 50 END), 0)::BIGINT AS result_sum_xattrs_user_n, max(project_id) AS result_max_xattrs_project_id FROM e WHERE ino % 3 = 0 GROUP BY 1")
+def report_xattr_map(spark, sf_dir):
+    return reporter.report(_mapped(spark, sf_dir), "xattrs.user.foo", "count(),sum(xattrs.user.n),max(xattrs.project_id)")
+
+
+@query(f"{_view()} SELECT id, concat(name, ' ', project_id, ' ', coalesce('[' || array_to_string(ost, ', ') || ']', 'None'), chr(9), chr(92), chr(7), chr(8), chr(12), chr(11), chr(13), '%') AS line FROM e WHERE type = 32768")
+def printf_xattr(spark, sf_dir):
+    """Directives whose attributes are in a map, and the escapes."""
+    return finder.find(_mapped(spark, sf_dir), ["-type", "f", "-printf", r"%f %RLp %RLo\t\\\a\b\f\v\r%%"], context()).select("id", "line")
+
+
+@query(f"{_view()} SELECT id, concat(ltrim(substr(path, 4), '/'), '|', 'store', '|', to_base64(id::VARCHAR::BLOB)) AS line FROM e WHERE path LIKE '/r1/%'")
+def printf_start(spark, sf_dir):
+    e = adapter.entries(spark, sf_dir).withColumn("uri", F.lit("store"))
+    return finder.find(tree.branch_by_path(e, "/r1").where("path <> '/r1'"), ["-printf", "%P|%H|%I"], context(), start="/r1").select("id", "line")
+
+
+@query(
+    f"{_view()} SELECT id, concat_ws(' ', " + ", ".join(f"coalesce('[' || array_to_string({c}, ', ') || ']', 'None')" for c in ("begin", '\"end\"', "extension_size", "stripe_size", "stripe_count"))
+    + ", coalesce(mirror_count::VARCHAR, 'None'), coalesce(mdt_index::VARCHAR, 'None'), coalesce(CASE WHEN type = 16384 THEN mdt_count::VARCHAR ELSE len(ost)::VARCHAR END, 'None'), coalesce((ino % 9)::VARCHAR, 'None'), 'None', coalesce(selinux_user, 'None'), coalesce(selinux_range, 'None'), bucket) AS line FROM e WHERE type = 32768"
+)
+def printf_layout(spark, sf_dir):
+    e = adapter.entries(spark, sf_dir, False).withColumns({"gen": F.col("ino") % 9, "magic": F.lit(None).cast("long")})
+    return finder.find(e, ["-type", "f", "-printf", "%RLb %RLE %RLe %RLs %RLS %RLM %RLi %RLC %RLn %RLN %RZu %RZR %R3b"], context()).select("id", "line")
+
+
+@query(f"{_view()} SELECT row_number() OVER (ORDER BY uid DESC) AS k, uid AS id_statx_uid, count(*) AS result_count FROM e GROUP BY uid")
+def report_sorted(spark, sf_dir):
+    """The rows of a report in its own order, numbered as they come."""
+    rows = reporter.report(adapter.entries(spark, sf_dir, False), "statx.uid", "count()", descending=True).collect()  # a group for each owner
+    return spark.createDataFrame([(k + 1, *r) for k, r in enumerate(rows)], "k long, id_statx_uid long, result_count long")
+
+
+@query(f"{_view()} SELECT id, name, size FROM e WHERE parent_id = 0 OR id IN (SELECT DISTINCT parent_id FROM e WHERE type = 32768)")
+def parents(spark, sf_dir):
+    e = adapter.entries(spark, sf_dir, False)
+    return tree.parent_of(e, e.where("type = 32768")).unionByName(tree.root(e)).select("id", "name", "size")
+
+
 @query(f"{_view()} SELECT id, name, size FROM e WHERE type = 32768 ORDER BY id LIMIT 1")
 def find_first(spark, sf_dir):
     return finder.find(adapter.entries(spark, sf_dir, False), "-type f -sort ino -quit".split(), context()).select("id", "name", "size")
@@ -322,7 +411,7 @@ def find_nouser_join(spark, sf_dir):
 
 @query(f"{_view()} SELECT id, parent_id FROM e WHERE parent_id = 0")
 def find_root(spark, sf_dir):
-    return adapter.entries(spark, sf_dir, False).where("parent_id = 0").select("id", "parent_id")
+    return tree.root(adapter.entries(spark, sf_dir, False)).select("id", "parent_id")
 
 
 @query(f"{_view()} SELECT id, size, mtime_sec, user_tag FROM e WHERE type = 32768")
@@ -425,9 +514,9 @@ def branch(spark, sf_dir):
     return tree.branch(adapter.entries(spark, sf_dir, False), adapter.REGION + 1).select("id", "name", "size")
 
 
-@query(f"{_view()} SELECT id, name, size FROM e WHERE path = '/r2/n8' OR path LIKE '/r2/n8/%'")
+@query(f"{_view()} SELECT id, name, size FROM e WHERE path = '/r2' OR path LIKE '/r2/%'")
 def branch_by_path(spark, sf_dir):
-    return tree.branch_by_path(adapter.entries(spark, sf_dir), "/r2/n8").select("id", "name", "size")
+    return tree.branch_by_path(adapter.entries(spark, sf_dir), "/r2").select("id", "name", "size")
 
 
 @query(f"{_view()} SELECT id, path FROM e")
@@ -480,7 +569,7 @@ def gc(spark, sf_dir):
 
 @query(f"{_view()} SELECT id, path, rm_time FROM e WHERE rm_time IS NOT NULL AND path LIKE '/r1/%'")
 def undelete_list(spark, sf_dir):
-    return maintenance.undeletable(adapter.entries(spark, sf_dir), "/r1/")
+    return maintenance.undeletable(adapter.entries(spark, sf_dir), "/r[1]/")
 
 
 @query(f"{_view('id', 'type', 'mtime_sec', 'expiration_date')}, r AS (SELECT *, CASE id % 5 WHEN 0 THEN 'inf' WHEN 1 THEN '+86400' WHEN 2 THEN '900000000' WHEN 3 THEN 'soon' END AS retention FROM e), n AS (SELECT *, CASE retention WHEN 'inf' THEN {MAX} WHEN '+86400' THEN mtime_sec + 86400 WHEN '900000000' THEN 900000000 END AS d FROM r) SELECT id, greatest(expiration_date, d) AS expiration_date FROM n")
@@ -510,9 +599,12 @@ def checked_select(spark, sf_dir):
     return maintenance.recheck(finder.select(e, node), fresh, node).select("id")
 
 
-@query(f"{_view()}, {_RUNS} SELECT count(*) AS count, sum(size)::BIGINT AS total_size, round(avg(size), 4) AS average_size, (SELECT max(started) FROM l WHERE command = 'sync') AS last_sync, '/mnt' AS mountpoint FROM e")
+@query(f"{_view()}, {_RUNS} SELECT count(*) AS count, sum(size)::BIGINT AS size, round(avg(size), 4) AS average_size, (SELECT max_by(started, log_id) FROM l WHERE command = 'sync') AS last_sync, '\"/mnt\"' AS mountpoint, '[\"a\",\"b\"]' AS backend_source, NULL::VARCHAR AS command_backend, '{{\"m\":\"1\",\"n\":\"3\",\"o\":\"4\"}}' AS fsevents_source FROM e")
 def info(spark, sf_dir):
-    return maintenance.info(adapter.entries(spark, sf_dir, False), _runs(spark, sf_dir), {"mountpoint": "/mnt"}).withColumn("average_size", F.round("average_size", 4))
+    old = [("backend_source", '["a"]'), ("mountpoint", '"/x"'), ("fsevents_source", '{"m":"1","n":"2"}')]
+    new = [("backend_source", '["b","a"]'), ("mountpoint", '"/mnt"'), ("fsevents_source", '{"n":"3","o":"4"}')]
+    facts = maintenance.upsert_info(spark.createDataFrame(old, maintenance.FACTS), spark.createDataFrame(new, maintenance.FACTS))
+    return maintenance.info(adapter.entries(spark, sf_dir, False), _runs(spark, sf_dir), facts).withColumn("average_size", F.round("average_size", 4))
 
 
 @query(f"WITH {_RUNS} SELECT command, count(*) AS n FROM l GROUP BY 1")
@@ -530,6 +622,80 @@ def log_first(spark, sf_dir):
     return maintenance.log_rows(_runs(spark, sf_dir), 5, last=False)
 
 
+@query(f"{_view()} SELECT 'UPSERT' AS type, 99::BIGINT AS id, NULL::BIGINT AS parent_id, NULL AS name, size, mode FROM e WHERE path = (SELECT min(path) FROM e WHERE rm_time IS NOT NULL) UNION ALL SELECT 'LINK', 99, parent_id, name, NULL, NULL FROM e WHERE path = (SELECT min(path) FROM e WHERE rm_time IS NOT NULL) UNION ALL SELECT 'DELETE', id, NULL, NULL, NULL, NULL FROM e WHERE path = (SELECT min(path) FROM e WHERE rm_time IS NOT NULL)")
+def undelete_restore(spark, sf_dir):
+    e = adapter.entries(spark, sf_dir)
+    path = e.where("rm_time IS NOT NULL").agg(F.min("path")).first()[0]
+    return maintenance.restore_events(e, path, 99).select("type", "id", "parent_id", "name", "statx.size", "statx.mode")
+
+
+@query(f"{_view()} SELECT 'UNLINK' AS type, id, parent_id, name FROM e WHERE ino % 7 = 0 AND ino % 2 = 1 AND type = 32768 AND nlink <= 1")
+def gc_checked(spark, sf_dir):
+    """Garbage collection with a check of the caller's, of the files that a find expression selects."""
+    e = adapter.entries(spark, sf_dir)
+    node = parse("-type f -links -2".split(), context()).filter
+    live, check = e.where("ino % 7 <> 0").select("id", "path"), e.where("ino % 2 = 0").select("id")
+    return maintenance.dead_links(e, live, node=node, check=check).select("type", "id", "parent_id", "name")
+
+
+@query(f"{_view('id', 'path', 'type')} SELECT id, path, (id % 90 * 86400)::BIGINT AS delay FROM e WHERE type = 16384 AND id % 4 = 1 AND id % 1000 * 86400 <= 500 * 86400 + 3600")
+def retention_candidates(spark, sf_dir):
+    """Directories that expire within a delay and whose attribute is relative."""
+    e = adapter.entries(spark, sf_dir).withColumns({"expiration_date": F.lit(NOW) + (F.col("id") % 1000 - 500) * 86_400, "retention": F.when(F.col("id") % 4 == 1, F.concat(F.lit("+"), (F.col("id") % 90 * 86_400).cast("string"))).when(F.col("id") % 4 == 2, "inf").when(F.col("id") % 4 == 3, "+soon")})
+    return maintenance.expired_directories(e, NOW, delay=3600)
+
+
+def _little(number: str, size: int) -> str:
+    """Hexadecimal text of a number in little-endian bytes."""
+    digits = f"lpad(lower(hex({number})), {2 * size}, '0')"
+    return "concat(" + ", ".join(f"substring({digits}, {2 * k + 1}, 2)" for k in reversed(range(size))) + ")"
+
+
+@query("SELECT event_id AS id, [{'id': 1000 + event_id % 9, 'p': event_id % 8}, {'id': 1020::BIGINT, 'p': 5::BIGINT}] AS users, [{'id': event_id % 12, 'p': 6::BIGINT}] AS groups, event_id % 8 AS acl_group, 7::BIGINT AS acl_mask FROM events".replace("AS users", "AS acl_users").replace("AS groups", "AS acl_groups"))
+def enrich_acl(spark, sf_dir):
+    """ACLs from raw bytes."""
+    entry = lambda tag, p, who: f"{_little(str(tag), 2)}, {_little(p, 2)}, {_little(who, 4)}"
+    none = "4294967295"
+    raw = f"unhex(concat({_little('2', 4)}, {entry(1, '6', none)}, {entry(2, 'event_id % 8', '1000 + event_id % 9')}, {entry(2, '5', '1020')}, {entry(4, 'event_id % 8', none)}, {entry(8, '6', 'event_id % 12')}, {entry(16, '7', none)}, {entry(32, '4', none)}))"
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS id", f"{raw} AS posix_acl_access", "CAST(NULL AS binary) AS posix_acl_default")
+    return enrichers.enrich_acl(rows).select("id", "acl_users", "acl_groups", "acl_group", "acl_mask")
+
+
+@query("SELECT event_id AS id, concat('u', event_id % 3) AS selinux_user, 'r' AS selinux_role, 't' AS selinux_type, concat('s0-s', event_id % 4, ':c', event_id % 5, '.c', event_id % 5 + 3, ',c9') AS selinux_range, event_id % 4 AS high_sens, [{'f': event_id % 5, 'l': event_id % 5 + 3}, {'f': 9::BIGINT, 'l': 9::BIGINT}] AS high_cat, 0 AS n_low FROM events")
+def enrich_selinux(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS id", "concat('u', event_id % 3, ':r:t:s0-s', event_id % 4, ':c', event_id % 5, '.c', event_id % 5 + 3, ',c9') AS selinux")
+    return enrichers.enrich_selinux(rows).select("id", "selinux_user", "selinux_role", "selinux_type", "selinux_range", "high_sens", "high_cat", F.size("low_cat").alias("n_low"))
+
+
+@query("SELECT event_id AS id, event_id % 64 AS hsm_state, event_id % 7 AS hsm_archive_id, 1::BIGINT AS pattern, 1048576 * (1 + event_id % 3) AS stripe_size, 2::BIGINT AS stripe_count, CASE WHEN event_id % 2 = 1 THEN concat('p', event_id % 4) ELSE '' END AS pool, event_id % 8 AS ost_0, event_id % 5 AS ost_1 FROM events")
+def enrich_lustre(spark, sf_dir):
+    """Archive states and plain layouts from raw bytes."""
+    third = "event_id % 2 = 1"
+    obj = lambda ost: f"repeat('00', 20), {_little(ost, 4)}"
+    lov = f"unhex(concat({_little('CASE WHEN ' + third + ' THEN 198380496 ELSE 198249424 END', 4)}, {_little('1', 4)}, repeat('ab', 16), {_little('1048576 * (1 + event_id % 3)', 4)}, {_little('2', 2)}, {_little('0', 2)}, CASE WHEN {third} THEN rpad(lower(hex(concat('p', event_id % 4))), 32, '0') ELSE '' END, {obj('event_id % 8')}, {obj('event_id % 5')}))"
+    hsm = f"unhex(concat({_little('0', 4)}, {_little('event_id % 64', 4)}, {_little('event_id % 7', 8)}, {_little('0', 8)}))"
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS id", f"{lov} AS trusted_lov", f"{hsm} AS trusted_hsm")
+    out = enrichers.enrich_layout(enrichers.enrich_hsm(rows))
+    return out.select("id", "hsm_state", "hsm_archive_id", *[F.get(c, F.lit(0)).alias(c) for c in ("pattern", "stripe_size", "stripe_count", "pool")], F.get("ost", F.lit(0)).alias("ost_0"), F.get("ost", F.lit(1)).alias("ost_1"))
+
+
+@query("SELECT concat('k', event_id) AS path, round(value * 100)::BIGINT AS size, concat('bucket-', user_id % 5) AS bucket FROM events WHERE user_id % 5 IN (1, 3) AND event_type = 'click' AND round(value * 100) > 1024")
+def find_objects(spark, sf_dir):
+    """An object listing searched by bucket, user metadata and size."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    listing = ev.select(F.concat(F.lit("bucket-"), F.col("user_id") % 5).alias("bucket"), F.concat(F.lit("k"), "event_id").alias("key"), F.round(F.col("value") * 100).cast("long").alias("size"), F.lit(0).alias("mtime_sec"), F.create_map(F.lit("kind"), F.col("event_type")).alias("metadata"))
+    node = parse(["-bucket", "bucket-[13]", "-size", "+2b"], context()).filter & Cmp(">", "statx.size", 1024) & Cmp("=", "xattrs.user_metadata.kind", "click")
+    return finder.select(objects.objects(listing), node).select("path", "size", "bucket")
+
+
+@query(f"{_view()} SELECT path, size, uid FROM e WHERE type = 32768 AND size > 10485760 AND name LIKE '%.dat'")
+def find_in_list(spark, sf_dir):
+    """Files written as a file list and the list searched while it is read."""
+    folder = f"{shared_folder(spark)}/list-{uuid.uuid4().hex}"
+    objects.write_list(adapter.entries(spark, sf_dir), folder, Cmp("=", "statx.type", adapter.FILE))
+    return objects.read_list(spark, folder, parse(["-size", "+10M", "-name", "*.dat"], context()).filter).select("path", "size", "uid")
+
+
 # Change streams.
 
 _EV = "ev AS MATERIALIZED (SELECT " + ", ".join(f'{e} AS "{c}"' for c, e in adapter.event_columns(adapter.Dialect(True)).items()) + " FROM events)"
@@ -769,8 +935,37 @@ def policy_quota(spark, sf_dir):
 
 @query(f"{_view()} SELECT sum(size)::BIGINT AS used, count(*) AS n FROM e WHERE uid IN (1003, 1004) AND type = 32768")
 def policy_statistic(spark, sf_dir):
-    e = adapter.entries(spark, sf_dir, False).where("uid IN (1003, 1004) AND type = 32768")
-    return e.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("used"), F.count(F.lit(1)).alias("n"))
+    e = adapter.entries(spark, sf_dir, False)
+    node = In("statx.uid", (1003, 1004)) & Cmp("=", "statx.type", adapter.FILE)
+    return spark.createDataFrame([(policy.statistic(e, node, "sum"), policy.statistic(e, node, "count"))], "used long, n long")
+
+
+@query(f"{_view()}, f AS (SELECT * FROM e WHERE uid IN (1003, 1004)), g AS (SELECT * FROM e WHERE gid = 3) SELECT (SELECT count(*) FROM f WHERE type = 32768) > 100 AS files, (SELECT count(*) FROM f) > 100000000 AS inodes, (SELECT sum(size) FROM g) > 1048576 AS used, (SELECT count(*) FROM f WHERE type = 32768) > 100 AND (SELECT count(*) FROM f) > 100000000 AS both_, true AS due, false AS later")
+def policy_triggers(spark, sf_dir):
+    e, ctx = adapter.entries(spark, sf_dir, False), context()
+    files, inodes = policy.mirror_trigger("User", ["u3", 1004], "FileCount", ">", "100"), policy.mirror_trigger("User", ["u3", "u4"], "InodeCount", ">", "100M")
+    used = policy.mirror_trigger("Group", ["g3"], "DiskUsage", ">", "1MB")
+    tests = [files, inodes, used, files & inodes, policy.scheduled("30/07/1999") | policy.scheduled("30.07.2199"), policy.scheduled("2199-07-30T00:00:00") & policy.periodic("2 weeks")]
+    return spark.createDataFrame([tuple(bool(t.test(e, ctx)) for t in tests)], "files boolean, inodes boolean, used boolean, both_ boolean, due boolean, later boolean")
+
+
+@query(f"{_view()}, r AS (SELECT id, row_number() OVER (ORDER BY size DESC NULLS LAST, id) AS k, (SELECT count(*) FROM e WHERE uid = 1007 AND type = 32768) AS n FROM e WHERE uid = 1007 AND type = 32768) SELECT id FROM r WHERE k <= 5")
+def policy_stop(spark, sf_dir):
+    """Purging from the largest until a user has five files less; the store is counted once."""
+    e, ctx, gone = adapter.entries(spark, sf_dir, False), context(), []
+    have = policy.statistic(e, Cmp("=", "statx.uid", 1007) & Cmp("=", "statx.type", adapter.FILE), "count")
+    stop = policy.mirror_trigger("User", [1007], "FileCount", "<=", str(have - 5))
+    p = policy.Policy("purge", (policy.UID == 1007) & (policy.Type == "file"), "purge", sort=(("size", False), ("ino", True)), stop=stop)
+    out = policy.run(p, e, ctx, lambda action, row: gone.append((row["id"],)))
+    assert out.stopped
+    return spark.createDataFrame(gone, "id long")
+
+
+@query(f"{_view()}, c AS (SELECT *, CASE WHEN size > 1048576 THEN 'large' WHEN lower(name) LIKE '%.txt' THEN 'text' END AS class FROM e WHERE type = 32768) SELECT class, count(*) AS n FROM c WHERE class IS NOT NULL GROUP BY 1")
+def policy_fileclass(spark, sf_dir):
+    large, text = policy.FileClass("large", policy.Size > "1MB"), policy.FileClass("text", policy.IName == "*.txt")
+    p = policy.Policy("classes", policy.Type == "file", "log", rules=tuple(policy.Rule(c.name, c) for c in (large, text)))
+    return policy.plan(p, adapter.entries(spark, sf_dir, False), context()).where("rule IS NOT NULL").groupBy(F.col("rule").alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{_view()} SELECT id FROM e WHERE type = 32768 AND uid >= 1010 AND size IS NOT NULL AND ino % 2 = 0")

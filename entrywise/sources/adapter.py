@@ -91,7 +91,7 @@ def _xattrs(d: Dialect, k: str, mtime: str) -> dict[str, str]:
 
 def _order(d: Dialect) -> dict[str, str]:
     k, mtime = "o_orderkey", d.epoch("o_orderdate")
-    size = f"CASE WHEN {k} % 20 = 0 THEN cast(({k} % 5) * 512 as bigint) ELSE cast(round(o_totalprice * 100) as bigint) END"
+    size = f"CASE WHEN {k} % 20 = 0 THEN cast(({k} % 100) / 20 as bigint) * 512 ELSE cast(round(o_totalprice * 100) as bigint) END"
     kind = f"CASE WHEN {k} % 50 = 7 THEN {LINK} ELSE {FILE} END"
     ext = f"CASE {k} % 4 WHEN 0 THEN '.dat' WHEN 1 THEN '.TXT' WHEN 2 THEN '.log' ELSE '' END"
     blocks = f"cast(({size} - ({size}) % 512) / 512 as bigint)"

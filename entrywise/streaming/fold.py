@@ -84,7 +84,8 @@ def _of_links(rows: DataFrame) -> DataFrame:
     at = F.struct("type", "seq")
     ends = named.groupBy("id", "parent_id", "name").agg(F.max_by(at, "seq").alias("_now"), F.max_by(at, F.when(F.col("seq") <= F.col("_cut"), F.col("seq"))).alias("_then"), F.any_value("_cut").alias("_cut"))
     xattrs = rows.where("type = 'XATTR' AND key IS NOT NULL").select("seq", "id", F.coalesce("ns", F.lit(False)).alias("ns"), "parent_id", "name", "key", "op", "value", "stamp", "final")
-    both = xattrs.join(ends, (xattrs.ns) & (xattrs.id == ends.id) & (xattrs.parent_id == ends.parent_id) & (xattrs.name == ends.name), "left").drop(ends.id, ends.parent_id, ends.name)
+    ends = ends.select(F.col("id").alias("_id"), F.col("parent_id").alias("_parent"), F.col("name").alias("_name"), "_now", "_then", "_cut")
+    both = xattrs.join(ends, F.expr("ns AND id = _id AND parent_id = _parent AND name = _name"), "left")
     stays = F.expr("_now.type = 'LINK' AND seq >= _now.seq AND (_cut IS NULL OR seq > _cut)")
     moves = F.expr("seq <= _cut AND _then.type = 'LINK' AND seq >= _then.seq")
     kept = both.where(~F.col("ns") | F.col("parent_id").isNull() | F.coalesce(stays, F.lit(False)) | F.coalesce(moves, F.lit(False)))

@@ -139,14 +139,13 @@ def apply_batch(store: Store, batch: DataFrame, batch_id: int, snapshot: DataFra
 
 
 def _merged(batch: DataFrame) -> DataFrame:
-    """The batch without the open events of ids that it deletes later, and one open UPSERT for each id."""
+    """The batch without the open events of ids that it deletes later, and with one event for the updates of an id that only name what to fill."""
     gone = batch.where("type = 'DELETE'").groupBy("id").agg(F.max("seq").alias("_gone"))
-    left = batch.join(gone, "id", "left").where("_gone IS NULL OR seq >= _gone").drop("_gone")
-    open_ = "type = 'UPSERT' AND size(fill) > 0"
+    left = batch.join(gone, "id", "left").where("_gone IS NULL OR seq >= _gone")
+    bare = F.expr("coalesce(type = 'UPSERT' AND size(fill) > 0 AND statx IS NULL AND symlink IS NULL, false)")
     names = F.array_sort(F.array_distinct(F.flatten(F.collect_set("fill")))).alias("fill")
-    merged = left.where(open_).groupBy("type", "id").agg(names, F.max("seq").alias("seq"))
-    told = complete(left.withColumn("fill", F.when(~F.expr(f"coalesce({open_}, false)"), F.col("fill"))))
-    return told.unionAll(complete(merged))
+    merged = left.where(bare).groupBy("type", "id").agg(names, F.max("seq").alias("seq"))
+    return complete(left.where(~bare)).unionAll(complete(merged))
 
 
 def start(events: DataFrame, store_path: str, checkpoint: str, available_now: bool = True, snapshot: DataFrame | None = None, after: int | None = None, dedup: bool = True, buckets: int = BUCKETS):
