@@ -91,7 +91,12 @@ def enrich_layout(entries: DataFrame, raw: str = "trusted_lov") -> DataFrame:
     n = F.when(composite, number(c, 14, 2)).otherwise(F.lit(1)).cast("int")
     head = lambda i: F.lit(32) + i * 48
     start = lambda i: F.when(composite, number(c, head(i) + 24, 4)).otherwise(F.lit(0)).cast("int")
-    parts = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: _plain_layout(c, start(i))), lambda p: p.isNotNull())
+    # The components are a column of their own, so that they are decoded once.
+    held = "_components"
+    while held in entries.columns:
+        held += "_"
+    entries = entries.withColumn(held, F.filter(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: _plain_layout(c, start(i))), lambda p: p.isNotNull()))
+    parts = F.col(held)
     each = lambda name: F.when(F.size(parts) > 0, F.transform(parts, lambda p: p[name]))
     of_heads = lambda offset, size: F.when(composite & (n > 0), F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: number(c, head(i) + offset, size)))
     end = F.transform(of_heads(16, 8), lambda e: F.coalesce(e, F.lit((1 << 63) - 1)))
@@ -99,4 +104,4 @@ def enrich_layout(entries: DataFrame, raw: str = "trusted_lov") -> DataFrame:
         "magic": magic, "gen": F.when(composite, number(c, 8, 4)).otherwise(F.get(parts, F.lit(0))["gen"]), "comp_count": F.when(composite, n.cast("bigint")), "mirror_count": F.when(composite, number(c, 16, 2) + 1),
         "comp_flags": of_heads(4, 4), "begin": of_heads(8, 8), "end": end,
         "pattern": each("pattern"), "stripe_size": each("stripe_size"), "stripe_count": each("stripe_count"), "pool": each("pool"), "ost": F.when(F.size(parts) > 0, F.flatten(F.transform(parts, lambda p: p["ost"]))),
-    })
+    }).drop(held)

@@ -651,20 +651,24 @@ def _little(number: str, size: int) -> str:
     return "concat(" + ", ".join(f"substring({digits}, {2 * k + 1}, 2)" for k in reversed(range(size))) + ")"
 
 
-@query("SELECT event_id AS id, [{'id': 1000 + event_id % 9, 'p': event_id % 8}, {'id': 1020::BIGINT, 'p': 5::BIGINT}] AS users, [{'id': event_id % 12, 'p': 6::BIGINT}] AS groups, event_id % 8 AS acl_group, 7::BIGINT AS acl_mask FROM events".replace("AS users", "AS acl_users").replace("AS groups", "AS acl_groups"))
+@query("SELECT event_id AS id, concat(1000 + event_id % 9, ':', event_id % 8, ',1020:5') AS users, concat(event_id % 12, ':6') AS groups, event_id % 8 AS acl_group, 7::BIGINT AS acl_mask FROM events")
 def enrich_acl(spark, sf_dir):
     """ACLs from raw bytes."""
     entry = lambda tag, p, who: f"{_little(str(tag), 2)}, {_little(p, 2)}, {_little(who, 4)}"
     none = "4294967295"
     raw = f"unhex(concat({_little('2', 4)}, {entry(1, '6', none)}, {entry(2, 'event_id % 8', '1000 + event_id % 9')}, {entry(2, '5', '1020')}, {entry(4, 'event_id % 8', none)}, {entry(8, '6', 'event_id % 12')}, {entry(16, '7', none)}, {entry(32, '4', none)}))"
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS id", f"{raw} AS posix_acl_access", "CAST(NULL AS binary) AS posix_acl_default")
-    return enrichers.enrich_acl(rows).select("id", "acl_users", "acl_groups", "acl_group", "acl_mask")
+    return enrichers.enrich_acl(rows).select("id", _pairs("acl_users", "id", "p").alias("users"), _pairs("acl_groups", "id", "p").alias("groups"), "acl_group", "acl_mask")
 
 
-@query("SELECT event_id AS id, concat('u', event_id % 3) AS selinux_user, 'r' AS selinux_role, 't' AS selinux_type, concat('s0-s', event_id % 4, ':c', event_id % 5, '.c', event_id % 5 + 3, ',c9') AS selinux_range, event_id % 4 AS high_sens, [{'f': event_id % 5, 'l': event_id % 5 + 3}, {'f': 9::BIGINT, 'l': 9::BIGINT}] AS high_cat, 0 AS n_low FROM events")
+def _pairs(array: str, a: str, b: str) -> F.Column:
+    return F.array_join(F.transform(array, lambda x: F.concat_ws(":", x[a].cast("string"), x[b].cast("string"))), ",")
+
+
+@query("SELECT event_id AS id, concat('u', event_id % 3) AS selinux_user, 'r' AS selinux_role, 't' AS selinux_type, concat('s0-s', event_id % 4, ':c', event_id % 5, '.c', event_id % 5 + 3, ',c9') AS selinux_range, event_id % 4 AS high_sens, concat(event_id % 5, ':', event_id % 5 + 3, ',9:9') AS high_cat, 0 AS n_low FROM events")
 def enrich_selinux(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS id", "concat('u', event_id % 3, ':r:t:s0-s', event_id % 4, ':c', event_id % 5, '.c', event_id % 5 + 3, ',c9') AS selinux")
-    return enrichers.enrich_selinux(rows).select("id", "selinux_user", "selinux_role", "selinux_type", "selinux_range", "high_sens", "high_cat", F.size("low_cat").alias("n_low"))
+    return enrichers.enrich_selinux(rows).select("id", "selinux_user", "selinux_role", "selinux_type", "selinux_range", "high_sens", _pairs("high_cat", "f", "l").alias("high_cat"), F.size("low_cat").alias("n_low"))
 
 
 @query("SELECT event_id AS id, event_id % 64 AS hsm_state, event_id % 7 AS hsm_archive_id, 1::BIGINT AS pattern, 1048576 * (1 + event_id % 3) AS stripe_size, 2::BIGINT AS stripe_count, CASE WHEN event_id % 2 = 1 THEN concat('p', event_id % 4) ELSE '' END AS pool, event_id % 8 AS ost_0, event_id % 5 AS ost_1 FROM events")
@@ -705,10 +709,12 @@ _INODES = f"WITH {_LIVE} SELECT id, " + ", ".join(f"max_by({c}, seq) FILTER ({c}
 _CUTS = "cuts AS (SELECT id, max(seq) AS cut, max_by(rm_time, seq) AS rm FROM live WHERE type = 'PARTIAL_UNLINK' GROUP BY 1)"
 _LINKS = f"WITH {_LIVE}, {_CUTS} SELECT id, parent_id, name, NULL::BIGINT AS rm_time FROM (SELECT id, parent_id, name, max_by(type, seq) AS t, max(seq) AS s FROM live WHERE type IN ('LINK', 'UNLINK') GROUP BY ALL) LEFT JOIN cuts USING (id) WHERE t = 'LINK' AND (cut IS NULL OR s > cut) UNION ALL SELECT id, NULL, NULL, rm FROM cuts"
 _XATTRS = f"""WITH {_LIVE}, {_CUTS},
-    ends AS (SELECT l.id, l.parent_id, l.name, any_value(cut) AS cut, max_by(type, seq) AS now, max(seq) AS now_at, max_by(type, seq) FILTER (seq <= cut) AS before, max(seq) FILTER (seq <= cut) AS before_at FROM live l LEFT JOIN cuts USING (id) WHERE type IN ('LINK', 'UNLINK') GROUP BY ALL),
+    marks AS (SELECT id, parent_id, name, seq, type FROM live WHERE type IN ('LINK', 'UNLINK')
+      UNION ALL SELECT l.id, l.parent_id, l.name, p.seq, 'CUT' FROM (SELECT DISTINCT id, parent_id, name FROM live WHERE type IN ('LINK', 'UNLINK')) l JOIN live p ON p.id = l.id AND p.type = 'PARTIAL_UNLINK'),
+    around AS (SELECT *, (SELECT max_by(m.type, m.seq) FROM marks m WHERE m.id = l.id AND m.parent_id = l.parent_id AND m.name = l.name AND m.seq < l.seq) AS before, (SELECT min_by(m.type, m.seq) FROM marks m WHERE m.id = l.id AND m.parent_id = l.parent_id AND m.name = l.name AND m.seq > l.seq) AS after FROM live l WHERE type = 'XATTR' AND ns),
     own AS (SELECT id, false AS ns, NULL::BIGINT AS parent_id, NULL::VARCHAR AS name, key, op, value, seq FROM live WHERE type = 'XATTR' AND NOT ns
-      UNION ALL SELECT l.id, true, l.parent_id, l.name, key, op, value, seq FROM live l JOIN ends USING (id, parent_id, name) WHERE type = 'XATTR' AND ns AND now = 'LINK' AND seq >= now_at AND (cut IS NULL OR seq > cut)
-      UNION ALL SELECT l.id, true, NULL, NULL, key, op, value, seq FROM live l JOIN ends USING (id, parent_id, name) WHERE type = 'XATTR' AND ns AND seq <= cut AND before = 'LINK' AND seq >= before_at),
+      UNION ALL SELECT id, true, parent_id, name, key, op, value, seq FROM around WHERE before = 'LINK' AND after IS NULL
+      UNION ALL SELECT id, true, NULL, NULL, key, op, value, seq FROM around WHERE before = 'LINK' AND after = 'CUT'),
     x AS (SELECT *, max(CASE WHEN op IN ('set', 'unset') THEN seq END) OVER (PARTITION BY id, ns, parent_id, name, key) AS base_at FROM own),
     y AS (SELECT id, ns, parent_id, name, key, max(CASE WHEN seq = base_at AND op = 'set' THEN value END) AS base, sum(CASE WHEN op = 'inc' AND (base_at IS NULL OR seq > base_at) THEN try_cast(value AS BIGINT) END) AS more FROM x GROUP BY ALL)
     SELECT id, ns, parent_id, name, key, CASE WHEN more IS NULL THEN base ELSE (coalesce(try_cast(base AS BIGINT), 0) + more)::BIGINT::VARCHAR END AS value FROM y WHERE base IS NOT NULL OR more IS NOT NULL"""
@@ -898,7 +904,7 @@ def _with_map(e: DataFrame) -> DataFrame:
 
 @query(f"{_view()} SELECT id, size, uid, type, name FROM e WHERE parent_id = 0 UNION ALL SELECT id, NULL, NULL, NULL, name FROM e WHERE false")
 def sync_one(spark, sf_dir):
-    m = fold.fold(sync.events(adapter.entries(spark, sf_dir, False), one=True))
+    m = fold.fold(tree.keep(sync.events(adapter.entries(spark, sf_dir, False), one=True)))
     return m.inodes.join(m.links, "id").select("id", "size", "uid", "type", "name")
 
 
@@ -906,7 +912,7 @@ def sync_one(spark, sf_dir):
 def find_in_mirror(spark, sf_dir):
     """A scan, synchronised with chosen fields into a mirror, and the mirror searched by type and mode."""
     chosen = sync.projection(["-statx", "+statx.size", "+statx.type", "+statx.mode", "-symlink"])
-    m = fold.fold(sync.events(_with_map(adapter.entries(spark, sf_dir, False)), chosen))
+    m = fold.fold(tree.keep(sync.events(_with_map(adapter.entries(spark, sf_dir, False)), chosen)))
     tags = m.xattrs.where("key = 'user.tag'").select("id", F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v").alias("tag"))
     return finder.find(m.inodes.join(m.links, "id"), "-type f -perm /222".split(), context()).join(tags, "id", "left").select("id", "size", "mode", "name", "tag")
 

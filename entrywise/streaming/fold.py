@@ -6,8 +6,8 @@ and the symlink take their last value; an extended attribute is its last set (or
 unset) plus the increments after it, from 0 where there is none.
 
 A PARTIAL_UNLINK takes the id's links away and leaves one row without parent and
-name that carries the removal time and the attributes of the links. Attributes of
-a link end with it and start anew with the next LINK. Of counts with a stamp the
+name that carries the removal time and the attributes that the links had. Attributes
+of a link end with it and start anew with the next LINK. Of counts with a stamp the
 one with the newest stays; of equal stamps the first that is final, or the last.
 
 All folds are keyed partial aggregates. What a mirror already holds is turned
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .events import FIELDS, STATX, complete, statx_of
@@ -78,19 +78,27 @@ def _same(a: str, b: str) -> Column:
 
 
 def _of_links(rows: DataFrame) -> DataFrame:
-    """Attribute events with the keys they end at: those of links that are gone are left out, those of partly unlinked ids move."""
-    named = rows.where("type IN ('LINK', 'UNLINK')").join(_cuts(rows), "id", "left")
-    # The attributes of a link are those since its last LINK; of one that a PARTIAL_UNLINK met, those since the LINK before that.
-    at = F.struct("type", "seq")
-    ends = named.groupBy("id", "parent_id", "name").agg(F.max_by(at, "seq").alias("_now"), F.max_by(at, F.when(F.col("seq") <= F.col("_cut"), F.col("seq"))).alias("_then"), F.any_value("_cut").alias("_cut"))
-    xattrs = rows.where("type = 'XATTR' AND key IS NOT NULL").select("seq", "id", F.coalesce("ns", F.lit(False)).alias("ns"), "parent_id", "name", "key", "op", "value", "stamp", "final")
-    ends = ends.select(F.col("id").alias("_id"), F.col("parent_id").alias("_parent"), F.col("name").alias("_name"), "_now", "_then", "_cut")
-    both = xattrs.join(ends, F.expr("ns AND id = _id AND parent_id = _parent AND name = _name"), "left")
-    stays = F.expr("_now.type = 'LINK' AND seq >= _now.seq AND (_cut IS NULL OR seq > _cut)")
-    moves = F.expr("seq <= _cut AND _then.type = 'LINK' AND seq >= _then.seq")
-    kept = both.where(~F.col("ns") | F.col("parent_id").isNull() | F.coalesce(stays, F.lit(False)) | F.coalesce(moves, F.lit(False)))
-    own = F.col("ns") & F.coalesce(stays, F.lit(False))
-    return kept.select("seq", "id", "ns", F.when(own, F.col("parent_id")).alias("parent_id"), F.when(own, F.col("name")).alias("name"), "key", "op", "value", "stamp", "final")
+    """Attribute events with the keys they end at.
+
+    An attribute of a link counts if the last thing that happened to the link
+    before it is a LINK. If the next thing is a PARTIAL_UNLINK of the id, it moves
+    to the row without parent and name; if it is a LINK or an UNLINK, it has ended.
+    """
+    xattrs = F.expr("type = 'XATTR' AND key IS NOT NULL")
+    columns = ["seq", "id", F.coalesce("ns", F.lit(False)).alias("ns"), "parent_id", "name", "key", "op", "value", "stamp", "final", "type"]
+    of_links = rows.where("type IN ('LINK', 'UNLINK')").select(*columns)
+    cuts = rows.where("type = 'PARTIAL_UNLINK'").select("id", F.col("seq").alias("_cut"))
+    met = of_links.select("id", "parent_id", "name").distinct().join(cuts, "id").select("id", "parent_id", "name", F.col("_cut").alias("seq"), F.lit("CUT").alias("type"))
+    all_ = rows.where(xattrs).select(*columns)
+    inside = all_.where("ns AND parent_id IS NOT NULL").unionAll(of_links).unionByName(met, allowMissingColumns=True)
+    w = Window.partitionBy("id", "parent_id", "name").orderBy("seq", F.col("type") == "XATTR")
+    mark = F.when(F.col("type") != "XATTR", F.col("type"))
+    before = F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last(mark, ignorenulls=True).over(Window.partitionBy("id", "parent_id", "name").orderBy(F.desc("seq"), F.col("type") != "XATTR").rowsBetween(Window.unboundedPreceding, -1))
+    kept = inside.withColumns({"_before": before, "_after": after}).where("type = 'XATTR' AND _before = 'LINK' AND (_after IS NULL OR _after = 'CUT')")
+    moves = F.col("_after").isNotNull()
+    kept = kept.withColumns({"parent_id": F.when(~moves, F.col("parent_id")), "name": F.when(~moves, F.col("name"))}).drop("_before", "_after")
+    return all_.where("NOT ns OR parent_id IS NULL").withColumns({"parent_id": F.lit(None).cast("long"), "name": F.lit(None).cast("string")}).unionByName(kept)
 
 
 def fold_xattrs(events: DataFrame) -> DataFrame:
