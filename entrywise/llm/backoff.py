@@ -37,7 +37,7 @@ from .textops import LOWER, Block, RollingHash, SpanHash, blocks, words
 
 CHUNK_BYTES = 4 << 20
 #: Bytes of text for each part of the count tables, the fewest parts, and bytes of text for each task that scores.
-PART_BYTES = 16 << 20
+PART_BYTES = 4 << 20
 FEWEST_PARTS = 64
 TASK_BYTES = 32 << 20
 ALPHA = 0.4
@@ -91,7 +91,7 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of consecutive texts: keys, offsets and bytes, compressed."""
     task = TaskContext.get()
     chunk = (task.partitionId() if task else 0) << 32
-    zip_ = zstandard.ZstdCompressor(level=3).compress
+    zip_ = zstandard.ZstdCompressor(level=9).compress
     keys, sizes, data, held = [], [], [], 0
 
     def made() -> pa.RecordBatch:
@@ -209,7 +209,7 @@ def backoff_scores(df: DataFrame, key: str = "doc_id", text: str = "text", order
         return pa.table({"chunk": lists["chunk"], "part": lists["part"], "totals": pa.array(totals, pa.binary())})
 
     asked = chunks.mapInArrow(ask, "part long, chunk long, keys binary, counts binary")
-    asked = asked.repartition(max(least, 1 << (bits - 1)), "part")
+    asked = asked.repartition(max(least, 1 << bits), "part")
     totals = asked.groupBy("part").applyInArrow(add_up, "chunk long, part long, totals binary")
 
     def score(own: pa.Table, found: pa.Table) -> pa.Table:
