@@ -28,6 +28,8 @@ SHINGLE = 5
 #: Ranges of consecutive keys, in which the next document is found; their table of firsts is broadcast.
 MOST_RANGES = 65_536
 RANGE_ROWS = 64
+#: Rows that one task compares with their next rows, about.
+TASK_ROWS = 20_000
 #: Parts that rows without a key are dealt into.
 KEYLESS = 4_096
 _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
@@ -144,6 +146,9 @@ def with_next(df: DataFrame, key: str, *columns: str) -> DataFrame:
     home = F.struct(F.col(at_).alias("at"), F.lit(0).alias("guest"))
     away = F.struct(F.col(before_).alias("at"), F.col(guest_).alias("guest"))
     rows = rows.withColumn(to_, F.explode(F.when(F.col(first_).isNull(), F.array(home)).otherwise(F.array(home, away))))
+    tasks = n // TASK_ROWS
+    if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rows = rows.repartition(tasks, F.col(f"{to_}.at"))
     w = Window.partitionBy(f"{to_}.at").orderBy(f"{to_}.guest", key, *columns[:1])
     rows = rows.withColumns({f"next_{c}": F.when(F.col(key).isNotNull(), F.lead(c).over(w)) for c in columns})
     return rows.where(f"{to_}.guest = 0").drop(at_, first_, before_, guest_, to_)
