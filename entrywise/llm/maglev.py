@@ -69,18 +69,16 @@ def assign_shards(df: DataFrame, shards: list[str], key: str = "doc_id", size: i
     return rows.join(F.broadcast(small), F.col("slot") == F.col(at), "left").withColumn("shard", F.col(name)).drop(at, name)
 
 
-def deal_shards(df: DataFrame, shards: list[str], key: str = "doc_id", size: int = TABLE_SIZE, files: int = 8) -> DataFrame:
-    """Whole rows with slot and shard, moved so that a shard's rows lie in at most `files` partitions.
+def deal_shards(df: DataFrame, shards: list[str], key: str = "doc_id", size: int = TABLE_SIZE) -> DataFrame:
+    """Whole rows with slot and shard, moved to partitions by shard.
 
-    No task holds a whole shard; rows without a key are dealt out by all their columns.
+    A rebalanced exchange splits large shards and joins small ones, so partitions
+    are of one size whatever the size of the table, and no task holds a whole shard.
     """
     placed = assign_shards(df, shards, key, size)
-    plain = [f"`{c}`" for c, t in df.dtypes if "map" not in t]
-    own = F.xxhash64(F.col(f"`{key}`"))
-    spread = F.pmod(F.when(F.col(f"`{key}`").isNull(), F.xxhash64(*plain)).otherwise(own), F.lit(files))
-    return placed.repartition(F.col("shard"), spread)
+    return placed.hint("rebalance", F.col("shard"))
 
 
-def write_shards(df: DataFrame, path: str, shards: list[str], key: str = "doc_id", size: int = TABLE_SIZE, files: int = 8) -> None:
-    """Write Parquet folders shard=<name> of `files` files at most."""
-    deal_shards(df, shards, key, size, files).drop("slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+def write_shards(df: DataFrame, path: str, shards: list[str], key: str = "doc_id", size: int = TABLE_SIZE) -> None:
+    """Write Parquet folders shard=<name>."""
+    deal_shards(df, shards, key, size).drop("slot").write.partitionBy("shard").mode("overwrite").parquet(path)
