@@ -24,7 +24,8 @@ AWKWARD = [
     (1, None, None, None, "x", 1), (2, "", "en", "a", "x", 2), (3, " \n\t ", "en", "a", None, 3), (4, "one", "en", "a", "x", 4), (5, "one", None, "b", "x", 4),
     (None, "no key at all here", "en", "b", "x", 5), (6, LONG, "en", "b", "x", 6), (7, "Été ÀÉ 日本 ¡hola! 🙂 mit LICENSE", "fr", "b", "x", 7), (7, "Été ÀÉ 日本 ¡hola! 🙂 mit LICENSE", "fr", "b", "x", 7), (8, "12 34 ## $$", "en", "c", "x", 8),
 ]
-SCHEMA = "doc_id long, text string, lang string, source string, kept string, slot int"
+AWKWARD = [(*row, 0, 1, 0.5, 2) for row in AWKWARD]
+SCHEMA = "doc_id long, text string, lang string, source string, kept string, slot int, q int, _at int, score double, copy int"
 
 
 @pytest.fixture(scope="module")
@@ -67,6 +68,20 @@ def test_every_operator_takes_awkward_and_empty_tables(spark, odd):
     assert mixing.mix_sources(odd).columns == odd.columns
 
 
+def test_a_text_longer_than_blocks_and_chunks(spark):
+    n = 600_000
+    long = " ".join(f"w{k % 977}x{k}" for k in range(n))
+    assert len(long) > max(backoff.CHUNK_BYTES, 4 << 20)
+    df = spark.createDataFrame([(1, long), (2, long), (3, "a b c d e f")], "doc_id long, text string")
+    by = lambda d: {r["doc_id"]: r for r in d.collect()}
+    rules_, lm, near = by(repetition.add_repetition_rules(df)), by(backoff.backoff_scores(df)), by(neardup.near_duplicates(df))
+    assert rules_[1]["n_words"] == lm[1]["n_words"] == n and rules_[1]["n_repeat_words"] == 0 and not rules_[1]["base_failed"]
+    assert near[1]["n_shingles"] == n - 4 and near[2]["component_id"] == 1 and near[3]["component_id"] == 3
+    assert lm[1]["n_backoff"] == 0 and lm[3]["n_backoff"] == 5  # every n-gram of the long text occurs twice
+    weights = by(importance.resample(df, np.array([1]), 0.4))
+    assert weights[1]["n_ngrams"] == 2 * n - 1 and [i for i, r in weights.items() if r["kept"]] == [1]
+
+
 def test_words_and_hashes():
     parts = ["a b", "", "  ", "é b a b", "x"]
     data = np.frombuffer("".join(parts).encode(), np.uint8)
@@ -244,6 +259,8 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     linked = {v for a, b in edges if a != b for v in (a, b)}
     assert got == {v: top[v] for v in linked}
+    odd_ends = spark.createDataFrame([(1, None), (None, 2), (3, 3), (None, None)], "a long, b long")
+    assert components.components(odd_ends).count() == 0 and components.components(odd_ends.limit(0)).count() == 0
 
 
 def test_lookup_table_is_balanced_and_moves_little():
@@ -264,7 +281,7 @@ def test_shards_on_disk(spark, docs, tmp_path):
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == docs.count() and set(back.columns) == {*docs.columns, "shard"}
     keyless = docs.withColumn("doc_id", F.lit(None).cast("long"))
-    dealt = maglev.deal_shards(keyless, ["a", "b", "c"], size=101, files=4)
+    dealt = maglev.deal_shards(keyless, ["a", "b", "c"], size=101)
     assert dealt.select("shard").distinct().count() == 1 and dealt.select("text").exceptAll(docs.select("text")).count() == 0
     assert dealt.where("slot IS NULL OR shard IS NULL").count() == 0 and set(dealt.columns) == {*docs.columns, "slot", "shard"}
     assert maglev.deal_shards(docs.limit(0), ["a"], size=13).count() == 0
