@@ -134,10 +134,10 @@ def _shown(key: Key, row) -> str:
 
 
 def csv_lines(entries: DataFrame, group_by: str | None, output: str, node: Node = Always(), descending: bool = False) -> list[str]:
-    """`k1,k2: v1,v2` for each group; the groups, not the entries, come to the driver."""
+    """`k1,k2: v1,v2` for each group; the groups come to the driver one partition at a time."""
     keys, outs = parse_group_by(group_by), parse_output(output)
     lines = []
-    for row in report(entries, group_by, output, node, descending).collect():
+    for row in report(entries, group_by, output, node, descending).toLocalIterator():
         values = ",".join(str(row[o.name]) for o in outs)
         lines.append(f"{','.join(_shown(k, row) for k in keys)}: {values}" if keys else values)
     return lines

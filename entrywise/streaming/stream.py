@@ -123,17 +123,18 @@ def apply_batch(store: Store, batch: DataFrame, batch_id: int, snapshot: DataFra
     earlier = [v for v in known if v < version]
     before = store.manifest(earlier[-1]) if earlier else None
     batch = complete(batch).persist()
+    events = batch
     try:
         touched, seq = batch.agg(F.collect_set(store.bucket()), F.max("seq")).first()  # at most as many numbers as buckets
         if not touched:
             return
-        events = batch
         if snapshot is not None:
             events = fill(_merged(batch) if dedup else batch, snapshot)
-        events = reject_open(events)
+        events = reject_open(events).persist()  # the folds read it several times
         old = store.read(earlier[-1], touched) if earlier else None
         store.write(fold(events) if old is None else apply(old, events), version, touched, before, seq)
     finally:
+        events.unpersist()
         batch.unpersist()
     store.drop_before(version)
 
