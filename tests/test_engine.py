@@ -10,9 +10,10 @@ from entrywise.functions.patterns import UsageError
 from entrywise.operators import maintenance, policy, tree
 from entrywise.plans import find, report
 from entrywise.plans.parser import parse
+from entrywise.plans.ast import And, Cmp
 from entrywise.plans.predicates import Context
+from entrywise.sources import objects, sync
 from entrywise.sources import scan as scanner
-from entrywise.sources import sync
 from entrywise.streaming import changelog, enrich, events, fold, stream
 
 FILE, DIR = 0o100000, 0o040000
@@ -241,8 +242,14 @@ def test_policy_units():
     assert policy.parse_time("2h") == (120, "min") and policy.parse_time("3 weeks") == (21, "day") and policy.parse_time("1mo") == (30, "day")
     assert policy.parse_quantity("3k") == 3000 and policy.parse_bytes("2KB") == 2048
     assert policy.parse_date("1970-01-02") == 86_400
-    assert [policy.signed(5, op) for op in ("=", ">", ">=", "<", "<=")] == ["5", "+5", "+4", "-5", "-6"]
-    for bad in (lambda: policy.parse_time("5 parsecs"), lambda: policy.Pool == "x", lambda: policy.Name > "a", lambda: policy.Size > "1XB", lambda: policy.parse_quantity("1.5")):
+    days = {policy.parse_date(t) for t in ("2024-07-30", "30/07/2024", "30-07-2024", "2024/07/30", "2024.07.30", "30.07.2024", "2024-07-30T00:00:00")}
+    assert len(days) == 1 and None not in days and policy.parse_date("2024-07-30 10:00") is None
+    size = lambda op: policy.in_units(op, "statx.size", 5, 1024)
+    assert (size(">"), size(">="), size("<"), size("<=")) == (Cmp(">", "statx.size", 5120), Cmp(">", "statx.size", 4096), Cmp("<=", "statx.size", 4096), Cmp("<=", "statx.size", 5120))
+    assert size("=") == And((Cmp(">", "statx.size", 4096), Cmp("<", "statx.size", 5121)))
+    age = lambda op: policy.at_age(op, "statx.mtime", 1000, 5, 60)
+    assert (age(">"), age(">="), age("<"), age("<=")) == (Cmp("<", "statx.mtime", 700), Cmp("<", "statx.mtime", 760), Cmp(">", "statx.mtime", 700), Cmp(">", "statx.mtime", 640))
+    for bad in (lambda: policy.parse_time("5 parsecs"), lambda: policy.parse_time("3 mos"), lambda: policy.Pool == "x", lambda: policy.Name > "a", lambda: policy.Size > "1XB", lambda: policy.parse_quantity("1.5")):
         with pytest.raises(UsageError):
             bad()
 
@@ -281,9 +288,42 @@ def test_trees_and_gc(spark):
 
 
 def test_facts(spark):
-    old = {"backend_source": [{"type": "a"}], "mountpoint": "/x", "fsevents_source": {"m": 1}}
-    new = maintenance.merge_info(old, {"backend_source": [{"type": "a"}, {"type": "b"}], "mountpoint": "/y", "fsevents_source": {"n": 2}})
-    assert new == {"backend_source": [{"type": "a"}, {"type": "b"}], "mountpoint": "/y", "fsevents_source": {"m": 1, "n": 2}}
+    old = [("backend_source", '["a"]'), ("mountpoint", '"/x"'), ("fsevents_source", '{"m":"1","n":"2"}'), ("command_backend", '"c"')]
+    new = [("backend_source", '["b","a"]'), ("mountpoint", '"/y"'), ("fsevents_source", '{"n":"3"}')]
+    got = maintenance.upsert_info(spark.createDataFrame(old, maintenance.FACTS), spark.createDataFrame(new, maintenance.FACTS))
+    assert {r["name"]: r["value"] for r in got.collect()} == {"backend_source": '["a","b"]', "mountpoint": '"/y"', "fsevents_source": '{"m":"1","n":"3"}', "command_backend": '"c"'}
+    runs = spark.createDataFrame([(1, "sync", 5)], "log_id long, command string, started long")
+    assert maintenance.append_log(runs, "gc", 9, {"removed": "3"}).count() == 2
+    for command, fields in (("dance", {}), ("gc", {"steps": "1"})):
+        with pytest.raises(UsageError):
+            maintenance.append_log(runs, command, 9, fields)
+
+
+def test_checked_actions(spark):
+    e = entries(spark, {"a": 5, "b": 7})
+    fresh = e.withColumn("size", F.when(F.col("name") == "a", 1).otherwise(F.col("size")))
+    done = []
+    assert list(find.run(e, "-size +4c -type f -checked-exec rm {} ;".split(), execute=done.append, fresh=fresh)) == [] and done == [["rm", "/b"]]
+    with pytest.raises(UsageError):
+        list(find.run(e, "-checked-exec rm {} ;".split(), execute=done.append))
+    assert find.entry_at(e, "/b").first()["size"] == 7 and find.entry_at(e, "/").first()["id"] == 1 and find.entry_at(e, "/b/c").count() == 0
+
+
+def test_file_lists_refuse_other_fields(spark, tmp_path):
+    objects.write_list(entries(spark, {"a": 5, "b": 7}), str(tmp_path / "l"))
+    assert objects.read_list(spark, str(tmp_path / "l"), parse("-size +5c".split()).filter).where("type = 32768").count() == 1
+    with pytest.raises(UsageError):
+        objects.read_list(spark, str(tmp_path / "l"), parse("-uid 5".split()).filter)
+
+
+def test_stop_thresholds_count_once(spark):
+    e = entries(spark, {f"f{k}": 10 for k in range(8)}).withColumns({"uid": F.lit(5).cast("long"), "gid": F.lit(1).cast("long")})
+    ctx, seen = Context(now=0, users={"u": 5}, groups={"g": 1}), []
+    p = policy.Policy("p", policy.Type == "file", "delete", stop=policy.mirror_trigger("User", ["u"], "FileCount", "<=", 5) & policy.mirror_trigger("Group", ["g"], "DiskUsage", "<", "145"))
+    out = policy.run(p, e, ctx, lambda action, row: seen.append(row["id"]))
+    assert out.stopped and out.done == 4 == len(seen)  # 100 + 8 * 10 bytes: after four removals 140 are left
+    kept = policy.run(policy.Policy("p", policy.Type == "file", "log", stop=p.stop), e, ctx, lambda action, row: None)
+    assert kept.done == 8 and not kept.stopped
 
 
 def test_restore(spark):
@@ -308,7 +348,7 @@ def test_scan_and_sync(spark, tmp_path):
 
 
 def test_trees_of_any_depth(spark):
-    deep = 70
+    deep = 68
     rows = [(1, 0, "", DIR)] + [(k, k - 1, "d", DIR) for k in range(2, deep + 2)] + [(900, deep + 1, "f", FILE), (500, 501, "a", DIR), (501, 500, "b", DIR), (502, 501, "g", FILE)]
     e = spark.createDataFrame(rows, "id long, parent_id long, name string, type int").coalesce(1).withColumn("path", F.lit("?"))
     assert sorted(r["id"] for r in tree.branch(e, 1).collect()) == [*range(1, deep + 2), 900]
