@@ -79,23 +79,27 @@ def log(spark, *made):
 
 
 def test_fold_cases(spark):
-    up = lambda **k: dict(type="UPSERT", id=1, **k)
-    link = dict(type="LINK", id=1, parent_id=9, name="a")
-    ids = lambda *e: [tuple(r[c] for c in ("id", "size", "uid", "mode", "symlink")) for r in fold.fold(log(spark, *e)).inodes.collect()]
-    assert fold.fold(log(spark, link, {**link, "type": "UNLINK"})).links.count() == 0
-    assert ids(link, up(size=4), dict(type="DELETE", id=1)) == []
-    assert ids(up(size=4), dict(type="DELETE", id=1), up(uid=3)) == [(1, None, 3, None, None)]
-    assert ids(up(size=4, uid=1), up(size=6, mode=7), up(symlink="x")) == [(1, 6, 1, 7, "x")]
-    x = lambda op, v, **more: dict(type="XATTR", id=1, key="k", op=op, value=v, **more)
-    value = lambda *e: [r["value"] for r in fold.fold_xattrs(log(spark, *e)).collect()]
-    assert value(x("inc", "2"), x("inc", "3")) == ["5"]
-    assert value(x("set", "7"), x("inc", "1")) == ["8"] and value(x("inc", "1"), x("set", "7")) == ["7"]
-    assert value(x("set", "7"), x("unset", None)) == [] and value(x("unset", None), x("inc", "4")) == ["4"]
-    assert value(x("set", '"text"')) == ['"text"'] and value(x("set", "[1, 2]"), x("set", "true")) == ["true"]
+    """Each case is an id of one log."""
+    link, up = dict(type="LINK", parent_id=9, name="a"), lambda **k: dict(type="UPSERT", **k)
+    unlink, gone = {**link, "type": "UNLINK"}, dict(type="DELETE")
+    x = lambda op, v, **more: dict(type="XATTR", key="k", op=op, value=v, **more)
     stamped = lambda v, t, f: x("set", v, stamp=t, final=f)
-    assert value(stamped("1", 5, False), stamped("2", 4, True)) == ["1"] and value(stamped("1", 5, False), stamped("2", 5, False)) == ["2"]
-    assert value(stamped("1", 5, True), stamped("2", 5, False), stamped("3", 5, True)) == ["1"] and value(stamped("1", 5, True), stamped("2", 6, False), x("inc", "1")) == ["3"]
-    assert fold.fold(log(spark, {**link, "type": "UNLINK"}, link)).links.count() == 1
+    values = [
+        ([x("inc", "2"), x("inc", "3")], "5"), ([x("set", "7"), x("inc", "1")], "8"), ([x("inc", "1"), x("set", "7")], "7"), ([x("set", "7"), x("unset", None)], None), ([x("unset", None), x("inc", "4")], "4"),
+        ([x("set", '"text"')], '"text"'), ([x("set", "[1, 2]"), x("set", "true")], "true"), ([stamped("1", 5, False), stamped("2", 4, True)], "1"), ([stamped("1", 5, False), stamped("2", 5, False)], "2"),
+        ([stamped("1", 5, True), stamped("2", 5, False), stamped("3", 5, True)], "1"), ([stamped("1", 5, True), stamped("2", 6, False), x("inc", "1")], "3"),
+    ]
+    inodes = [([link, up(size=4), gone], None), ([up(size=4), gone, up(uid=3)], (None, 3, None, None)), ([up(size=4, uid=1), up(size=6, mode=7), up(symlink="x")], (6, 1, 7, "x"))]
+    links = [([link, unlink], 0), ([unlink, link], 1)]
+    cases = [events_ for events_, _ in values + inodes + links]
+    m = fold.fold(log(spark, *[{**e, "id": k} for k, case in enumerate(cases) for e in case]))
+    got = {r["id"]: r["value"] for r in m.xattrs.collect()}
+    assert [got.get(k) for k in range(len(values))] == [v for _, v in values]
+    first = len(values)
+    got = {r["id"]: (r["size"], r["uid"], r["mode"], r["symlink"]) for r in m.inodes.collect()}
+    assert [got.get(first + k) for k in range(len(inodes))] == [v for _, v in inodes]
+    got = Counter(r["id"] for r in m.links.collect())
+    assert [got[first + len(inodes) + k] for k in range(len(links))] == [v for _, v in links]
 
 
 def test_partial_unlink_and_attributes_of_links(spark):
@@ -105,7 +109,7 @@ def test_partial_unlink_and_attributes_of_links(spark):
     first, second = [link, path, cut], [dict(link, name="b"), dict(path, name="b", value='"/d/b"')]
     want_links = [(1, None, None, 77), (1, 9, "b", None)]
     want = [(True, None, None, '"/d/a"'), (True, 9, "b", '"/d/b"')]
-    for cutting in (0, 2, 4):
+    for cutting in (0, 4):
         all_ = [dict(e, seq=k) for k, e in enumerate(first + second)]
         m = fold.apply(stored(fold.fold(log(spark, *all_[:cutting]))), log(spark, *all_[cutting:]))
         assert sorted(map(tuple, m.links.collect()), key=repr) == sorted(want_links, key=repr)
@@ -142,7 +146,7 @@ def tables(m):
     return [sorted(map(tuple, t.collect()), key=repr) for t in (m.inodes, m.links, m.xattrs)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_any_split_of_a_log_gives_the_same_mirror(spark, seed):
     made = random_log(seed)
     whole = tables(fold.fold(log(spark, *made)))
@@ -171,16 +175,16 @@ def test_a_batch_writes_its_own_buckets_only(spark, tmp_path):
     ids = spark.range(1000).select(F.col("id").alias("seq"), F.lit("UPSERT").alias("type"), "id", F.lit("x").alias("symlink"))
     stream.apply_batch(store, ids, 0)
     ten = ids.where("id < 10").withColumns({"seq": F.col("id") + 5000, "symlink": F.lit("y")})
-    for n in (1, 2, 3, 4):
+    for n in (1, 2, 3):
         stream.apply_batch(store, ten, n)
-    made = [p.name for p in (tmp_path / "s" / "data" / "5" / "inodes").iterdir() if p.name.startswith("bucket=")]
+    made = [p.name for p in (tmp_path / "s" / "data" / "4" / "inodes").iterdir() if p.name.startswith("bucket=")]
     assert 1 <= len(made) <= 10
     got = Counter(r["symlink"] for r in store.read().inodes.collect())
     assert got == {"x": 990, "y": 10} and len(store.versions()) == 3
     with pytest.raises(ValueError, match="format"):
-        text = (tmp_path / "s" / "done" / "5").read_text().replace('"format": 1', '"format": 9')
-        (tmp_path / "s" / "done" / ".5.crc").unlink(missing_ok=True)
-        (tmp_path / "s" / "done" / "5").write_text(text)
+        text = (tmp_path / "s" / "done" / "4").read_text().replace('"format": 1', '"format": 9')
+        (tmp_path / "s" / "done" / ".4.crc").unlink(missing_ok=True)
+        (tmp_path / "s" / "done" / "4").write_text(text)
         stream.Store(spark, str(tmp_path / "s"))
 
 
