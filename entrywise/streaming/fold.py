@@ -10,9 +10,10 @@ name that carries the removal time and the attributes that the links had. Attrib
 of a link end with it and start anew with the next LINK. Of counts with a stamp the
 one with the newest stays; of equal stamps the first that is final, or the last.
 
-All folds are keyed partial aggregates. What a mirror already holds is turned
-into events that precede all others, so applying a log in any split gives the
-same tables.
+Folds are keyed partial aggregates, but for attributes of links. What a mirror
+already holds is turned into events that precede all others, so applying a log in
+any split gives the same tables; `parts` keeps what the values of links don't show.
+Only an unset with a stamp, where nothing is left under its key, ends with its batch.
 """
 
 from __future__ import annotations
@@ -25,11 +26,14 @@ from pyspark.sql import functions as F
 from .events import FIELDS, STATX, complete, statx_of
 
 BEFORE = -1
+#: Links of a mirror come before the parts of their attributes.
+FIRST = -(1 << 62)
+PARTS = "array<struct<seq:bigint,parent_id:bigint,name:string,op:string,value:string,stamp:bigint,final:boolean>>"
 
 
 @dataclass
 class Mirror:
-    """inodes(id, statx columns, symlink), links(id, parent_id, name, rm_time), xattrs(id, ns, parent_id, name, key, value, stamp, final)."""
+    """inodes(id, statx columns, symlink), links(id, parent_id, name, rm_time), xattrs(id, ns, parent_id, name, key, value, stamp, final, parts)."""
 
     inodes: DataFrame
     links: DataFrame
@@ -101,19 +105,76 @@ def _of_links(rows: DataFrame) -> DataFrame:
     return all_.where("NOT ns OR parent_id IS NULL").withColumns({"parent_id": F.lit(None).cast("long"), "name": F.lit(None).cast("string")}).unionByName(kept)
 
 
+def _order() -> Column:
+    """The fixed operation that holds is the one with the largest of these."""
+    final = F.coalesce("final", F.lit(False))
+    return F.struct(F.coalesce("stamp", F.lit(-(1 << 63))).alias("stamp"), final.alias("final"), F.when(final, -F.col("seq")).otherwise(F.col("seq")).alias("seq"))
+
+
 def fold_xattrs(events: DataFrame) -> DataFrame:
-    """(id, ns, parent_id, name, key, value, stamp, final) of every attribute that is set."""
+    """(id, ns, parent_id, name, key, value, stamp, final, parts) of every attribute that is set."""
     rows = _of_links(live(events))
-    order = F.struct(F.coalesce("stamp", F.lit(-(1 << 63))).alias("stamp"), F.coalesce("final", F.lit(False)).alias("final"), F.when(F.coalesce("final", F.lit(False)), -F.col("seq")).otherwise(F.col("seq")).alias("seq"))
+    return _of_inodes(rows.where("NOT ns")).unionByName(_with_parts(rows.where("ns")))
+
+
+def _of_inodes(rows: DataFrame) -> DataFrame:
+    """What the attributes of inodes have come to."""
     fixes = F.col("op").isin("set", "unset")
     # The last fixed operation of each key; the increments that count are those after it. Sums are partial before the shuffle.
-    fixed = rows.where(fixes).groupBy(*_KEY).agg(F.max_by(F.struct((F.col("op") == "set").alias("is_set"), "value", "stamp", "final", "seq"), order).alias("_base"))
+    fixed = rows.where(fixes).groupBy(*_KEY).agg(F.max_by(F.struct((F.col("op") == "set").alias("is_set"), "value", "stamp", "final", "seq"), _order()).alias("_base"))
     more = rows.alias("i").join(fixed.alias("f"), _same("i", "f"), "left")
     counts = (F.col("i.op") == "inc") & (F.col("_base").isNull() | (F.col("i.seq") > F.col("_base.seq")))
     anchor = fixes & (F.col("i.seq") == F.col("_base.seq"))
     kept = more.where(counts | anchor).groupBy(*[F.col(f"i.{c}").alias(c) for c in _KEY]).agg(F.sum(F.when(counts, F.expr("try_cast(i.value AS bigint)"))).alias("_more"), F.max(F.when(anchor & F.col("_base.is_set"), F.struct("_base.value", "_base.stamp", "_base.final"))).alias("_held"))
+    return kept.where("_held IS NOT NULL OR _more IS NOT NULL").select(*_KEY, _total().alias("value"), "_held.stamp", "_held.final", F.lit(None).cast(PARTS).alias("parts"))
+
+
+def _total() -> Column:
+    """The text that is held plus the increments after it."""
     total = (F.coalesce(F.expr("try_cast(_held.value AS bigint)"), F.lit(0)) + F.col("_more")).cast("string")
-    return kept.where("_held IS NOT NULL OR _more IS NOT NULL").select(*_KEY, F.when(F.col("_more").isNull(), F.col("_held.value")).otherwise(total).alias("value"), "_held.stamp", "_held.final")
+    return F.when(F.col("_more").isNull(), F.col("_held.value")).otherwise(total)
+
+
+def _with_parts(rows: DataFrame) -> DataFrame:
+    """What the attributes of links have come to, and the parts that they are made of.
+
+    A PARTIAL_UNLINK puts attributes of several links under one key, in the order
+    of their events, and an UNLINK before it takes some of them out. So the parts
+    keep, for each link, the fixed operation that holds and the sums of increments
+    between those of all links of the id, numbered back from -1. An unset matters
+    if a set or an increment comes before it; if its own link shows nothing, the
+    first row of the id and the key carries it. An attribute that is one plain set,
+    alone under its id and key, has no parts.
+    """
+    group, own = ["id", "key"], Window.partitionBy(*_KEY)
+    fixes = F.col("op").isin("set", "unset")
+    rows = rows.repartition(*group)  # all that follows keeps this partitioning
+    rows = rows.withColumns({"_rank": F.when(fixes, _order()), "_n": F.expr("CASE WHEN op = 'inc' THEN try_cast(value AS bigint) END")})
+    rows = rows.withColumns({"_top": F.max("_rank").over(own), "_at": F.max_by("seq", "_rank").over(own)})
+    rows = rows.withColumn("_fixed", fixes & (F.col("seq") == F.col("_at")))
+    earlier = Window.partitionBy(*group).orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
+    ends = F.count(F.when(F.col("_fixed"), 1)).over(Window.partitionBy(*group)) - F.count(F.when(F.col("_fixed"), 1)).over(earlier)
+    # An increment may count if a fixed operation that the link's own doesn't outrank comes before it, or if there is none.
+    rows = rows.withColumns({"_pos": -2 * ends - F.when(F.col("_fixed"), 0).otherwise(1), "_before": F.max(F.when(F.col("_fixed"), F.col("_rank"))).over(earlier)})
+    rows = rows.where("_fixed OR _n IS NOT NULL AND (_top IS NULL OR _before >= _top)")
+    counts = F.expr("NOT _fixed AND (_at IS NULL OR seq > _at)")
+    parts = rows.groupBy(*_KEY, "_pos").agg(F.sum("_n").alias("_n"), F.max(counts).alias("_counts"), F.max(F.when(F.col("_fixed"), F.struct("op", "value", "stamp", "final"))).alias("_base"))
+    all_ = Window.partitionBy(*group)
+    parts = parts.withColumn("_from", F.min(F.when(F.expr("_base IS NULL OR _base.op = 'set'"), F.col("_pos"))).over(all_))
+    parts = parts.where("_base IS NULL OR _base.op = 'set' OR _pos > _from OR _base.stamp IS NOT NULL OR _base.final")
+    part = F.struct(
+        F.col("_pos").alias("seq"), "parent_id", "name", F.coalesce("_base.op", F.lit("inc")).alias("op"), F.when(F.col("_base").isNull(), F.col("_n").cast("string")).otherwise(F.col("_base.value")).alias("value"),
+        F.col("_base.stamp").alias("stamp"), F.col("_base.final").alias("final"),
+    )
+    held = F.max(F.when(F.col("_base.op") == "set", F.struct("_base.value", "_base.stamp", "_base.final")))
+    links = parts.groupBy(*_KEY).agg(held.alias("_held"), F.sum(F.when(F.col("_counts"), F.col("_n"))).alias("_more"), F.collect_list(part).alias("parts"))
+    links = links.withColumn("_seen", F.expr("_held IS NOT NULL OR _more IS NOT NULL"))
+    links = links.withColumns({"_by": F.min(F.when(F.col("_seen"), F.struct("parent_id", "name"))).over(all_), "_links": F.count(F.lit(1)).over(all_)})
+    links = links.withColumn("_alone", F.expr("_links = 1 AND size(parts) = 1 AND parts[0].op = 'set'"))
+    mine = F.when(F.col("_seen"), F.struct("parent_id", "name")).otherwise(F.col("_by"))
+    seen = F.max(F.when(F.col("_seen"), F.struct(_total().alias("value"), F.col("_held.stamp").alias("stamp"), F.col("_held.final").alias("final"))))
+    out = links.where("_by IS NOT NULL").groupBy("id", "ns", mine["parent_id"].alias("parent_id"), mine["name"].alias("name"), "key").agg(seen.alias("_row"), F.array_sort(F.flatten(F.collect_list(F.when(~F.col("_alone"), F.col("parts"))))).alias("parts"))
+    return out.select(*_KEY, "_row.value", "_row.stamp", "_row.final", F.when(F.size("parts") > 0, F.col("parts")).cast(PARTS).alias("parts"))
 
 
 def as_events(mirror: Mirror) -> DataFrame:
@@ -121,8 +182,10 @@ def as_events(mirror: Mirror) -> DataFrame:
     seq = F.lit(BEFORE).cast("long").alias("seq")
     a = complete(mirror.inodes.select(seq, F.lit("UPSERT").alias("type"), "id", statx_of(mirror.inodes).alias("statx"), "symlink"))
     gone = F.col("parent_id").isNull() & F.col("name").isNull()  # its removal came before the links that the id has now
-    b = complete(mirror.links.select((F.lit(BEFORE) - gone.cast("long")).alias("seq"), F.when(gone, "PARTIAL_UNLINK").otherwise("LINK").alias("type"), "id", "parent_id", "name", "rm_time"))
-    c = complete(mirror.xattrs.select(seq, F.lit("XATTR").alias("type"), "id", "ns", "parent_id", "name", "key", F.lit("set").alias("op"), "value", "stamp", "final"))
+    b = complete(mirror.links.select((F.lit(FIRST) - gone.cast("long")).alias("seq"), F.when(gone, "PARTIAL_UNLINK").otherwise("LINK").alias("type"), "id", "parent_id", "name", "rm_time"))
+    xattrs = mirror.xattrs if "parts" in mirror.xattrs.columns else mirror.xattrs.withColumn("parts", F.lit(None).cast(PARTS))
+    whole = F.array(F.struct(seq, "parent_id", "name", F.lit("set").alias("op"), "value", "stamp", "final")).cast(PARTS)
+    c = complete(xattrs.select(F.lit("XATTR").alias("type"), "id", "ns", "key", F.inline(F.coalesce("parts", whole))))
     return a.unionAll(b).unionAll(c)
 
 

@@ -156,6 +156,75 @@ def test_any_split_of_a_log_gives_the_same_mirror(spark, seed):
     assert tables(fold.fold(tree.keep(fold.compact(log(spark, *made))))) == whole
 
 
+def links_log(ids, n=40):
+    """Logs of many ids, rich in attributes of links and in partial unlinks, one event of each id in turn."""
+    rnd, out = random.Random(4), []
+    for seq in range(n * ids):
+        e = dict(type=rnd.choice(["LINK", "LINK", "UNLINK", "PARTIAL_UNLINK", *["XATTR"] * 6]), id=seq % ids, seq=seq)
+        e |= dict(rm_time=seq) if e["type"] == "PARTIAL_UNLINK" else dict(parent_id=1, name=rnd.choice("abc"))
+        if e["type"] == "XATTR":
+            e |= dict(ns=True, key=rnd.choice("pq"), op=rnd.choice(["set", "inc", "inc", "unset"]), value=rnd.choice(["1", "2", "30", '"x"']))
+        out.append(e)
+    return out
+
+
+def plain_attributes(made):
+    """(id, name, key): value of the attributes of links, by a loop over each id."""
+    out = {}
+    for i in {e["id"] for e in made}:
+        there, moved = {}, []  # the attribute events that count: of the links, and of the row without a name
+        for e in (e for e in made if e["id"] == i):
+            name = e.get("name")
+            if e["type"] == "LINK":
+                there[name] = []
+            elif e["type"] == "UNLINK":
+                there.pop(name, None)
+            elif e["type"] == "PARTIAL_UNLINK":
+                moved, there = moved + [x for own in there.values() for x in own], {}
+            elif name in there:
+                there[name].append(e)
+        for name, own in {**there, None: moved}.items():
+            for e in sorted(own, key=lambda e: e["seq"]):
+                at = i, name, e["key"]
+                number = lambda v: int(v) if v and v.isdigit() else 0
+                if e["op"] == "set":
+                    out[at] = e["value"]
+                elif e["op"] == "unset":
+                    out.pop(at, None)
+                elif e["value"].isdigit():
+                    out[at] = str(number(out.get(at)) + number(e["value"]))
+    return out
+
+
+def test_attributes_of_links_moved_in_a_later_batch(spark):
+    made = links_log(60)
+    whole = fold.fold(log(spark, *made))
+    want = plain_attributes(made)
+    assert {(r["id"], r["name"], r["key"]): r["value"] for r in whole.xattrs.collect()} == want and sum(k[1] is None for k in want) > 40
+    m = None
+    for k in range(3):
+        batch = log(spark, *made[800 * k : 800 * k + 800])
+        m = stored(fold.fold(batch) if m is None else fold.apply(m, batch))
+        assert {(r["id"], r["name"], r["key"]): r["value"] for r in m.xattrs.collect()} == plain_attributes(made[: 800 * k + 800])
+    assert tables(m) == tables(whole)
+    assert tables(fold.fold(tree.keep(fold.compact(log(spark, *made))))) == tables(whole)
+
+
+def test_parts_are_kept_where_they_matter(spark):
+    link = lambda n: dict(type="LINK", parent_id=1, name=n)
+    x = lambda op, v, n: dict(type="XATTR", ns=True, key="k", op=op, value=v, parent_id=1, name=n)
+    cases = [
+        [link("a"), x("set", "5", "a")], [link("a"), x("set", "5", "a"), x("inc", "1", "a")], [link("a"), link("b"), x("set", "5", "a"), x("unset", None, "b")],
+        [link("a"), link("b"), x("unset", None, "b"), x("set", "5", "a")], [dict(type="XATTR", key="k", op="inc", value="2")], [link("a"), link("b"), x("inc", "5", "a"), x("inc", "7", "a"), x("set", "1", "b")],
+    ]
+    m = fold.fold(log(spark, *[{**e, "id": k} for k, case in enumerate(cases) for e in case]))
+    got = {(r["id"], r["name"]): r["parts"] and [(p["seq"], p["name"], p["op"], p["value"]) for p in r["parts"]] for r in m.xattrs.collect()}
+    assert got == {
+        (0, "a"): None, (1, "a"): [(-2, "a", "set", "5"), (-1, "a", "inc", "1")], (2, "a"): [(-4, "a", "set", "5"), (-2, "b", "unset", None)],
+        (3, "a"): None, (4, None): None, (5, "a"): [(-3, "a", "inc", "12")], (5, "b"): [(-2, "b", "set", "1")],
+    }
+
+
 def test_stream_and_replay(spark, tmp_path):
     made = random_log(5)
     for k in range(3):
