@@ -239,6 +239,15 @@ def test_stream_and_replay(spark, tmp_path):
     assert tables(store.read()) == want and store.versions()[-1] == last
 
 
+def test_stream_of_attributes_moved_in_a_later_batch(spark, tmp_path):
+    made = links_log(30)
+    for k in range(3):
+        log(spark, *made[400 * k : 400 * k + 400]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream.start(stream.read_events(spark, str(tmp_path / "in"), files_per_batch=1), str(tmp_path / "store"), str(tmp_path / "ckpt"), buckets=4).awaitTermination()
+    got = stream.Store(spark, str(tmp_path / "store")).read().xattrs
+    assert {(r["id"], r["name"], r["key"]): r["value"] for r in got.collect()} == plain_attributes(made)
+
+
 def test_a_batch_writes_its_own_buckets_only(spark, tmp_path):
     store = stream.Store(spark, str(tmp_path / "s"), buckets=32)
     ids = spark.range(1000).select(F.col("id").alias("seq"), F.lit("UPSERT").alias("type"), "id", F.lit("x").alias("symlink"))
