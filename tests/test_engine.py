@@ -240,12 +240,14 @@ def test_stream_and_replay(spark, tmp_path):
 
 
 def test_stream_of_attributes_moved_in_a_later_batch(spark, tmp_path):
-    made = links_log(30)
-    for k in range(3):
-        log(spark, *made[400 * k : 400 * k + 400]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream.start(stream.read_events(spark, str(tmp_path / "in"), files_per_batch=1), str(tmp_path / "store"), str(tmp_path / "ckpt"), buckets=4).awaitTermination()
+    link, cut = lambda n: dict(type="LINK", id=1, parent_id=1, name=n), dict(type="PARTIAL_UNLINK", id=1, rm_time=7)
+    x = lambda op, v, n: dict(type="XATTR", id=1, ns=True, key="k", op=op, value=v, parent_id=1, name=n)
+    made = [dict(e, seq=k) for k, e in enumerate([link("a"), x("set", "2", "a"), cut, link("b"), x("inc", "3", "b"), cut])]
+    for part in (made[:5], made[5:]):
+        log(spark, *part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream.start(stream.read_events(spark, str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "ckpt"), buckets=4).awaitTermination()
     got = stream.Store(spark, str(tmp_path / "store")).read().xattrs
-    assert {(r["id"], r["name"], r["key"]): r["value"] for r in got.collect()} == plain_attributes(made)
+    assert [(r["name"], r["value"]) for r in got.collect()] == [(None, "5")] and plain_attributes(made) == {(1, None, "k"): "5"}
 
 
 def test_a_batch_writes_its_own_buckets_only(spark, tmp_path):
