@@ -87,13 +87,14 @@ def _of_links(rows: DataFrame) -> DataFrame:
     An attribute of a link counts if the last thing that happened to the link
     before it is a LINK. If the next thing is a PARTIAL_UNLINK of the id, it moves
     to the row without parent and name; if it is a LINK or an UNLINK, it has ended.
+    What has no id or no seq is neither of a link nor before or after anything.
     """
     xattrs = F.expr("type = 'XATTR' AND key IS NOT NULL")
     columns = ["seq", "id", F.coalesce("ns", F.lit(False)).alias("ns"), "parent_id", "name", "key", "op", "value", "stamp", "final", "type"]
-    of_links = rows.where("type IN ('LINK', 'UNLINK')").select(*columns)
-    cuts = rows.where("type = 'PARTIAL_UNLINK'").select("id", F.col("seq").alias("_cut"))
+    of_links = rows.where("type IN ('LINK', 'UNLINK') AND seq IS NOT NULL").select(*columns)
+    cuts = rows.where("type = 'PARTIAL_UNLINK' AND seq IS NOT NULL").select("id", F.col("seq").alias("_cut"))
     met = of_links.select("id", "parent_id", "name").distinct().join(cuts, "id").select("id", "parent_id", "name", F.col("_cut").alias("seq"), F.lit("CUT").alias("type"))
-    all_ = rows.where(xattrs).select(*columns)
+    all_ = rows.where(xattrs).select(*columns).where("NOT ns OR id IS NOT NULL AND seq IS NOT NULL")
     inside = all_.where("ns AND parent_id IS NOT NULL").unionAll(of_links).unionByName(met, allowMissingColumns=True)
     w = Window.partitionBy("id", "parent_id", "name").orderBy("seq", F.col("type") == "XATTR")
     mark = F.when(F.col("type") != "XATTR", F.col("type"))

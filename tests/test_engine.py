@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from entrywise.functions.patterns import UsageError
 from entrywise.operators import maintenance, policy, tree
-from entrywise.plans import find, report
+from entrywise.plans import find, registry, report
 from entrywise.plans.parser import parse
 from entrywise.plans.ast import And, Cmp
 from entrywise.plans.predicates import Context
@@ -250,6 +250,20 @@ def test_stream_of_attributes_moved_in_a_later_batch(spark, tmp_path):
     assert [(r["name"], r["value"]) for r in got.collect()] == [(None, "5")] and plain_attributes(made) == {(1, None, "k"): "5"}
 
 
+def test_stream_of_an_empty_table(spark, tmp_path):
+    empty = spark.createDataFrame([], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    empty.write.parquet(str(tmp_path / "events.parquet"))
+    assert registry.QUERIES["stream_xattrs"](spark, str(tmp_path)).collect() == []
+
+
+def test_attributes_of_links_without_an_id_or_a_seq(spark):
+    made = [dict(type=t, parent_id=1, name="a", **more) for t, more in [("LINK", {}), ("XATTR", dict(ns=True, key="k", op="set", value="1"))]]
+    nameless = [dict(e, id=None, parent_id=None) for e in made]  # as of a row without a user
+    late = [dict(made[0], id=2, seq=None), dict(made[1], id=2)]
+    known = [dict(e, id=3) for e in made]
+    assert [r["id"] for r in fold.fold_xattrs(log(spark, *made, *nameless, *late, *known)).collect()] == [3]
+
+
 def test_a_batch_writes_its_own_buckets_only(spark, tmp_path):
     store = stream.Store(spark, str(tmp_path / "s"), buckets=32)
     ids = spark.range(1000).select(F.col("id").alias("seq"), F.lit("UPSERT").alias("type"), "id", F.lit("x").alias("symlink"))
