@@ -28,7 +28,7 @@ class Dialect:
     duck: bool
 
     def epoch(self, ts: str) -> str:
-        return f"cast(floor(epoch({ts})) as bigint)" if self.duck else f"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})"
+        return f"cast(floor(epoch({ts})) as bigint)" if self.duck else f"floor(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {ts}) / 1000000)"
 
     def array(self, *items: str) -> str:
         return f"[{', '.join(items)}]" if self.duck else f"array({', '.join(items)})"
